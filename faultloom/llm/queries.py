@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultloom.llm.components import match_groups
+from faultloom.llm.leakage import leaked_spans
 from faultloom.session import table
 
 
@@ -12,5 +13,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "match_pairs"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
