@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultloom.llm.components import match_groups
 from faultloom.llm.leakage import leaked_spans
+from faultloom.llm.neardup import similar_pairs
+from faultloom.functions.text import row_terms
 from faultloom.session import table
 
 
@@ -13,9 +15,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "match_pairs"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "analyses"), row_terms())
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
