@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultloom.llm.components import match_groups
+from faultloom.llm.history_dedup import refused_records
 from faultloom.llm.leakage import leaked_spans
 from faultloom.llm.neardup import similar_pairs
 from faultloom.functions.text import row_terms
@@ -19,9 +20,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "analyses"), row_terms())
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refused_records(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "incoming"), row_terms(), row_terms())
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
