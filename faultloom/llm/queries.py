@@ -9,6 +9,7 @@ from faultloom.llm.history_dedup import refused_records
 from faultloom.llm.leakage import leaked_spans
 from faultloom.llm.neardup import similar_pairs
 from faultloom.functions.text import row_terms
+from faultloom.llm.packing import packed_containers
 from faultloom.llm.sentences import sentence_units
 from faultloom.session import table
 
@@ -25,6 +26,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refused_records(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "incoming"), row_terms(), row_terms())
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_containers(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -33,5 +38,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
