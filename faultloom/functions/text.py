@@ -70,11 +70,16 @@ def term_list(c: Column | str) -> Column:
     return F.filter(all_terms, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^\d+$"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def term_counts(c: Column | str) -> Column:
     """``map<string,int>``: terms of a text with their counts."""
-    terms = term_list(c)
-    return F.map_from_entries(
-        F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("key"), F.size(F.filter(terms, lambda x: x == t)).alias("value")))
+    return _let(
+        term_list(c),
+        lambda ts: F.map_from_entries(F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("key"), F.size(F.filter(ts, lambda x: x == t)).alias("value")))),
     )
 
 
@@ -90,11 +95,14 @@ def lines(c: Column | str) -> Column:
 
 def error_like_lines(text: Column | str) -> Column:
     """First five lines that speak of errors, else the last five non-blank ones."""
-    ls = lines(text)
-    bad = F.filter(ls, lambda x: F.lower(x).rlike("error|fail|exception"))
-    full = F.filter(ls, lambda x: x.rlike(r"\S"))
-    n = F.least(F.lit(5), F.size(full))
-    return F.when(F.size(bad) > 0, F.slice(bad, 1, 5)).when(F.size(full) > 0, F.slice(full, F.size(full) - n + 1, n)).otherwise(F.array().cast("array<string>"))
+
+    def pick(ls: Column) -> Column:
+        bad = F.filter(ls, lambda x: F.lower(x).rlike("error|fail|exception"))
+        full = F.filter(ls, lambda x: x.rlike(r"\S"))
+        last = lambda f: F.slice(f, F.size(f) - F.least(F.lit(5), F.size(f)) + 1, 5)
+        return _let(bad, lambda b: F.when(F.size(b) > 0, F.slice(b, 1, 5)).otherwise(_let(full, lambda f: F.when(F.size(f) > 0, last(f)).otherwise(F.array().cast("array<string>")))))
+
+    return _let(lines(text), pick)
 
 
 def fingerprint(rule_id: Column | str, signature: Column | str) -> Column:
