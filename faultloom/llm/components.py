@@ -68,8 +68,8 @@ def connected_groups(edges: DataFrame, scratch: Scratch | None = None) -> DataFr
     if visited is None:
         tops = labels
     else:
-        of_start = labels.where(F.col("vertex") == start).agg(F.max("component").alias("c"))
-        tops = labels.where(F.col("vertex") != start).union(visited.crossJoin(F.broadcast(of_start)).select("vertex", F.coalesce("c", F.lit(start)).alias("component")))  # one row
+        of_start = labels.where(F.col("vertex") == start).agg(F.max("component")).first()[0]
+        tops = labels.where(F.col("vertex") != start).union(visited.select("vertex", F.lit(start if of_start is None else of_start).cast("long").alias("component")))
     alone = loops.select(F.col("u").alias("vertex")).join(tops, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component"))
     return tops.union(alone)
 
