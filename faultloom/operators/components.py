@@ -25,9 +25,8 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(e: DataFrame) -> tuple:
-    r = e.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
-    return tuple(r)
+#: a table's size and the sum of its rows' hashes
+_STATE = {"n": "count(1)", "mark": "sum(cast(xxhash64(u, v) as decimal(38,0)))"}
 
 
 def min_label_components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
@@ -38,17 +37,17 @@ def min_label_components(edges: DataFrame, scratch: Scratch | None = None, max_r
     """
     scratch = scratch or Scratch(edges.sparkSession)
     e0 = scratch.save(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL").distinct())
-    e = scratch.save(e0.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(e)
-    for _ in range(max_rounds):
-        nxt = scratch.save(_small_star(_large_star(e)))
+    state = {k: F.expr(x) for k, x in _STATE.items()}
+    e, before = scratch.save_with(e0.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **state)
+    for _ in range(max_rounds if before["n"] else 0):
+        nxt, now = scratch.save_with(_small_star(_large_star(e)), **state)
         scratch.drop(e)
         e = nxt
-        now = _state(e)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if before["n"]:
+            raise RuntimeError("components did not settle")
     vertices = e0.select(F.col("u").alias("vertex")).union(e0.select("v")).distinct()
     return vertices.join(e.select(F.col("u").alias("vertex"), F.col("v").alias("component")), "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultloom.operators.rules import required_literal
+
 STRONG, WEAK, CLAIM = 3, 1, 2
 
 #: Markers by ecosystem, in order of precedence: (pattern, weight).
@@ -29,19 +31,33 @@ MARKERS: dict[str, tuple[tuple[str, int], ...]] = {
 def scores(text: Column) -> Column:
     """``array<struct<score, precedence, ecosystem>>``: one point sum per ecosystem; a marker
     counts once however often it occurs."""
-    out = []
+    low, out = F.lower(text), []
+
+    def hit(pattern: str) -> Column:
+        lit = required_literal(pattern, unicode_case=False)
+        found = text.rlike("(?dim)" + pattern)
+        return F.contains(low, F.lit(lit)) & found if lit else found
+
     for i, (name, markers) in enumerate(MARKERS.items()):
-        total = sum((F.when(text.rlike("(?dim)" + p), w).otherwise(0) for p, w in markers), F.lit(0))
+        total = sum((F.when(hit(p), w).otherwise(0) for p, w in markers), F.lit(0))
         out.append(F.struct(total.cast("int").alias("score"), F.lit(-i).alias("precedence"), F.lit(name).alias("ecosystem")))
     return F.array(*out)
 
 
-def ecosystem(text: Column) -> Column:
-    """The ecosystem of the highest score of at least two points, earlier ones first; else generic."""
-    best = F.array_max(scores(text))
+def best(text: Column) -> Column:
+    """``struct<score, precedence, ecosystem>`` of the highest score, earlier ecosystems first."""
+    return F.array_max(scores(text))
+
+
+def claimed(best: Column) -> Column:
+    """The best ecosystem if it has at least two points, else generic."""
     return F.when(best["score"] >= CLAIM, best["ecosystem"]).otherwise("generic")
 
 
+def ecosystem(text: Column) -> Column:
+    return F.element_at(F.transform(F.array(best(text)), claimed), 1)
+
+
 def detail(text: Column, shown: int = 4) -> Column:
     """The best-scoring ecosystems above zero."""
     return F.slice(F.reverse(F.array_sort(F.filter(scores(text), lambda s: s["score"] > 0))), 1, shown)

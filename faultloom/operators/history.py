@@ -96,9 +96,8 @@ def open_failures(h: DataFrame, repo: str | None = None) -> DataFrame:
 
 def next_ids(h: DataFrame, new: DataFrame) -> DataFrame:
     """New rows with status open and ids that follow the history's largest."""
-    top = h.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy("seq")))
-    return numbered.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__n")).withColumn("status", F.lit("open")).drop("top", "__n")  # one row
+    top = h.agg(F.max("id")).first()[0] or 0
+    return new.withColumn("id", F.row_number().over(Window.orderBy("seq")) + F.lit(top)).withColumn("status", F.lit("open"))
 
 
 def fold_resolutions(h: DataFrame, events: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def fold_resolutions(h: DataFrame, events: DataFrame) -> DataFrame:
     still open, the first of several. A manual one after an automatic one keeps its commit.
     """
     manual = events.where("kind = 'manual'").groupBy("id").agg(F.max_by(F.struct("note", "at"), "seq").alias("m"))
-    auto = events.where("kind = 'auto'").groupBy("id").agg(F.min_by(F.struct("note", "at", "commit", "seq"), "seq").alias("a"), )
+    auto = events.where("kind = 'auto'").groupBy("id").agg(F.min_by(F.struct("note", "at", "commit", "seq"), "seq").alias("a"))
     first_manual = events.where("kind = 'manual'").groupBy("id").agg(F.min("seq").alias("ms"))
     x = h.join(manual, "id", "left").join(auto, "id", "left").join(first_manual, "id", "left")
     was_open = F.coalesce(F.col("status"), F.lit("open")) == "open"

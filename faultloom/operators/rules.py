@@ -170,8 +170,8 @@ def renamed_groups(pattern: str) -> tuple[str, dict[str, list[int]]]:
     return "".join(out), names
 
 
-def required_literal(pattern: str) -> str:
-    """A literal that every match must hold, or nothing if none can be proven."""
+def required_literal(pattern: str, unicode_case: bool = True) -> str:
+    """A lower-case literal that every match must hold, or nothing if none can be proven."""
     if len(alternatives(pattern)) > 1:
         return ""
     best = run = ""
@@ -197,6 +197,8 @@ def required_literal(pattern: str) -> str:
                 depth -= 1
         i += 1
     best = max(best, run, key=len).lower()
+    if not unicode_case:
+        return best if len(best) >= 3 else ""
     # letters that fold to several characters cannot be compared by lower() alone
     return best if len(best) >= 4 and not set(best) & set("ksi") or len(best) >= 8 and best.isascii() and not re.search("[kK]", best) else ""
 
@@ -268,8 +270,3 @@ def with_evidence(matched: DataFrame, text: str = "text", around: int = 3) -> Da
         context_after(ls, n, around).alias("after"),
     )
 
-
-def matches_relational(logs: DataFrame, rules: DataFrame, text: str = "text", row_id: str = "id") -> DataFrame:
-    """The same matches (without ecosystems and guards) as a join on a column pattern, for
-    differential tests of small packs: ``(id, rule_id)``."""
-    return logs.join(F.broadcast(rules.limit(MAX_RULES)), F.expr(f"{text} rlike concat('{FLAGS}', match)")).select(F.col(f"{row_id}").alias("id"), F.col("rule_id"))

@@ -49,10 +49,29 @@ def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = No
     keys = ranked.where((F.col("rest") >= threshold * threshold * (1 - 1e-9)) & (F.col("df") > 1)).select("term", "id")
     a, b = keys.alias("a"), keys.alias("b")
     cand = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    vec = w.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
-    both = cand.join(vec.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-12)
+    vec = scratch.save(w.select("id", F.struct(F.xxhash64("term").alias("t"), "w").alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v")).select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w")))
+    side = lambda x: vec.select(F.col("id").alias(x), F.col("t").alias("t" + x), F.col("w").alias("w" + x))
+    both = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "wa", "tb", "wb")
+    return both.mapInArrow(_dots, "a long, b long, cosine double").where(F.col("cosine") >= threshold - 1e-12)
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    off = col.offsets.to_numpy()
+    return np.repeat(np.arange(len(col)), np.diff(off)), col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dot products of pairs of sparse vectors with hashed terms, a batch at a time."""
+    for b in batches:
+        (ia, ta), (ib, tb) = _flat(b.column("ta")), _flat(b.column("tb"))
+        wa, wb = _flat(b.column("wa"))[1], _flat(b.column("wb"))[1]
+        terms, rank = np.unique(np.append(ta, tb), return_inverse=True)
+        ka, kb = ia * len(terms) + rank[: len(ta)], ib * len(terms) + rank[len(ta) :]
+        order = np.argsort(kb)
+        at = np.minimum(np.searchsorted(kb, ka, sorter=order), max(len(kb) - 1, 0))
+        hit = kb[order[at]] == ka if len(kb) else np.zeros(len(ka), bool)
+        dot = np.bincount(ia[hit], wa[hit] * wb[order[at[hit]]], minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(dot, pa.float64())], names=["a", "b", "cosine"])
 
 
 def clusters(meta: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -9,7 +9,7 @@ from faultloom.functions import text as X
 from faultloom.operators import detect as D
 from faultloom.operators import rules as R
 from faultloom.operators import similarity as V
-from faultloom.session import table
+from faultloom.session import spread, table
 
 QUERIES = {}
 ORACLE = {}
@@ -43,7 +43,7 @@ def _scrub(text: str) -> str:
 
 
 def _a(s, d) -> DataFrame:
-    return table(s, d, "analyses")
+    return spread(table(s, d, "analyses"))
 
 
 @query(f"SELECT id, {_NORMAL} AS normalized FROM analyses")
@@ -139,7 +139,7 @@ _SCORES = ", ".join(f"{{'score': {' + '.join(f'CASE WHEN {_marker(p)} THEN {w} E
 
 @query(f"SELECT id, CASE WHEN best.score >= 2 THEN best.ecosystem ELSE 'generic' END AS detected, best.score::INT AS score FROM (SELECT id, list_max([{_SCORES}]) AS best FROM analyses)")
 def detect_ecosystem(s, d):
-    return _a(s, d).select("id", D.ecosystem(F.col("excerpt")).alias("detected"), F.array_max(D.scores(F.col("excerpt")))["score"].alias("score"))
+    return _a(s, d).select("id", D.best(F.col("excerpt")).alias("b")).select("id", D.claimed(F.col("b")).alias("detected"), F.col("b.score").alias("score"))
 
 
 _BAGS = "bags AS (SELECT id, unnest(map_entries(tokens)) AS e FROM {} WHERE tokens IS NOT NULL), t AS (SELECT id, e.key AS term, e.value AS tf FROM bags)"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/faultloom-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, str] = {}
+        atexit.register(self.clear)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -48,12 +50,28 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def save_with(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """Save and take aggregates over the rows in the same pass."""
+        seen = Observation()
+        out = self.save(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+        return out, seen.get
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *dfs: DataFrame | None) -> None:
         for df in dfs:
             path = self._paths.pop(id(df), None)
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+    def clear(self) -> None:
+        """Delete everything; runs at the end of the program, as results may read these tables."""
+        try:
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            pass
 
 
 def spread(df: DataFrame) -> DataFrame:
