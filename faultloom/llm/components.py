@@ -36,8 +36,8 @@ def peel_giant(edges: DataFrame, scratch: Scratch, tail: float = 0.125, max_roun
         # neighbours of level i lie in the levels i-1, i and i+1 only
         for old in levels[-2:]:
             reached = reached.join(old, "vertex", "left_anti")
-        nxt = scratch.save(reached)
-        n = nxt.count()
+        nxt, seen_now = scratch.save_with(reached, n=F.count(F.lit(1)))
+        n = seen_now["n"]
         if not n:
             break
         levels.append(nxt)
