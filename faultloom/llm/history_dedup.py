@@ -20,6 +20,7 @@ are cut into a grid of index shards by probe shards of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -34,6 +35,7 @@ from faultloom.session import Scratch
 BLOCK_US = 24 * 3600 * 1_000_000
 SMALL = 22  # from this size on of the larger set, three terms in a row must match somewhere
 SHARD_ROWS = 40_000
+SLICE = 4_000_000  # occurrences looked at together
 _T = 38  # bits for the time within a block
 
 
@@ -72,6 +74,18 @@ class Records:
         return Records(np.append(a.order, b.order), np.append(a.at, b.at), np.append(a.off, b.off[1:] + a.off[-1]), np.append(a.h, b.h))
 
 
+def _slices(owner: np.ndarray, n: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of whole owners with about ``most`` in all; ``owner`` ascends."""
+    total = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
+        end = int(np.searchsorted(owner, owner[min(max(end, at), len(n) - 1)], "right" if end <= at or end >= len(n) else "left"))
+        end = max(end, int(np.searchsorted(owner, owner[at], "right")))
+        yield slice(at, end)
+        at = end
+
+
 def _next(r: np.ndarray, off: np.ndarray, step: int) -> np.ndarray:
     """The value ``step`` places on within the same record, else -1."""
     out = np.full(len(r), -1, np.int64)
@@ -139,22 +153,40 @@ class Segment:
             lo = np.searchsorted(keys, (rank[p] << _T) | np.clip(t - window, 0, top), "left")
             hi = np.searchsorted(keys, (rank[p] << _T) | np.clip(t + window, 0, top), "right")
             n = np.where(t + window < 0, 0, np.maximum(hi - lo, 0))
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pair, cover = np.unique(np.repeat(qn[p], n) * len(self.rec.at) + own[at], return_counts=True)
-            if need:
-                a, b = q.sizes[pair // len(self.rec.at)], self.rec.sizes[pair % len(self.rec.at)]
-                pair = pair[(cover >= least_matches(a, b, likeness)) & (np.maximum(a, b) >= SMALL)]
-            found.append(pair)
-        pair = np.unique(np.concatenate(found))
-        return self._verify(q, pair // len(self.rec.at), pair % len(self.rec.at), likeness)
-
-    def _verify(self, q: Records, i: np.ndarray, j: np.ndarray, likeness: Fraction) -> tuple[np.ndarray, np.ndarray]:
+            # a crowded window is worked off in slices of whole probes, so memory stays bounded
+            for cut in _slices(qn[p], n, SLICE):
+                m, l0 = n[cut], lo[cut]
+                at = np.repeat(l0, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                pair, cover = np.unique(np.repeat(qn[p][cut], m) * len(self.rec.at) + own[at], return_counts=True)
+                if need:
+                    a, b = q.sizes[pair // len(self.rec.at)], self.rec.sizes[pair % len(self.rec.at)]
+                    pair = pair[(cover >= least_matches(a, b, likeness)) & (np.maximum(a, b) >= SMALL)]
+                found.append(self._verify(q, pair, likeness))
+        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pair // len(self.rec.at), pair % len(self.rec.at)
+
+    def _verify(self, q: Records, pair: np.ndarray, likeness: Fraction) -> np.ndarray:
+        i, j = pair // len(self.rec.at), pair % len(self.rec.at)
         a, b = q.sizes[i], self.rec.sizes[j]
         ok = np.minimum(a, b) * likeness.denominator >= np.maximum(a, b) * likeness.numerator
-        i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+        pair, i, j, a, b = pair[ok], i[ok], j[ok], a[ok], b[ok]
         shared = np.array([len(np.intersect1d(q.h[q.off[x] : q.off[x + 1]], self.rec.h[self.rec.off[y] : self.rec.off[y + 1]], assume_unique=True)) for x, y in zip(i, j)], np.int64)
-        ok = shared * likeness.denominator >= (a + b - shared) * likeness.numerator
-        return i[ok], j[ok]
+        return pair[shared * likeness.denominator >= (a + b - shared) * likeness.numerator]
+
+    _ARRAYS = ("terms", "pairs", "triples", "tri", "tri_own", "duo", "duo_own")
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All there is of it, to be stored."""
+        return {"order": self.rec.order, "at": self.rec.at, "off": self.rec.off, "h": self.rec.h, **{k: getattr(self, k) for k in self._ARRAYS}}
+
+    @staticmethod
+    def of(arrays: dict[str, np.ndarray]) -> Segment:
+        s = Segment.__new__(Segment)
+        s.rec = Records(*(arrays[k] for k in ("order", "at", "off", "h")))
+        for k in Segment._ARRAYS:
+            setattr(s, k, arrays[k])
+        s.base = len(s.terms) + 2
+        return s
 
 
 class Segments:
@@ -296,24 +328,42 @@ def refused_records(
         raise ValueError("below 0.7 the matches need not be long enough to be found")
     scratch = Scratch(history.sparkSession)
     window = window_seconds * 1_000_000
-    shape = [F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col(key).cast("string").alias("fp")]
-    old = history.select(*shape, term_hashes(history_terms).alias("h")).where("at IS NOT NULL")
-    new = incoming.select(F.col(record_id).cast("long").alias("record_id"), F.col(batch).cast("long").alias("batch"), *shape, term_hashes(incoming_terms).alias("h"))
-    new = new.where("record_id IS NOT NULL AND batch IS NOT NULL AND at IS NOT NULL").dropDuplicates(["record_id"])
-    # the order as one number: a dense rank would need one task, a range-partitioned one does not
-    new = scratch.save(_ordered(new, scratch))
-    sec = F.floor(F.col("at") / 1_000_000).alias("sec")
-    same = new.where("fp IS NOT NULL").select("ord", "fp", sec).join(old.where("fp IS NOT NULL").select("fp", sec), ["fp", "sec"], "left_semi").select("ord")
+    old = history.select(*_shape(time, key), term_hashes(history_terms).alias("h")).where("at IS NOT NULL")
+    new = _records_of(incoming, incoming_terms, record_id, batch, time, key, scratch)
+    same = _same_second(new, old.select("fp", _SEC()))
     index = old.where("size(h) > 0").select(F.xxhash64("at", "fp", "h").alias("ord"), F.lit(0).cast("long").alias("batch"), "at", "h")
     probes = new.where("size(h) > 0").join(same, "ord", "left_anti").select("ord", "batch", "at", "h")
     alike = _cogrouped(index, probes, window, _against_history(window, likeness), shard_rows).select(F.col("later").alias("ord"))
+    return new.join(_refused(new, same, alike, window, likeness, shard_rows, scratch), "ord", "left_semi").select("record_id")
+
+
+def _SEC() -> Column:
+    return F.floor(F.col("at") / 1_000_000).alias("sec")
+
+
+def _shape(time: str, key: str) -> list[Column]:
+    return [F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col(key).cast("string").alias("fp")]
+
+
+def _records_of(incoming: DataFrame, terms: Column, record_id: str, batch: str, time: str, key: str, scratch: Scratch) -> DataFrame:
+    """``(record_id, batch, at, fp, h, ord)`` of the records that take part."""
+    new = incoming.select(F.col(record_id).cast("long").alias("record_id"), F.col(batch).cast("long").alias("batch"), *_shape(time, key), term_hashes(terms).alias("h"))
+    return scratch.save(_ordered(new.where("record_id IS NOT NULL AND batch IS NOT NULL AND at IS NOT NULL").dropDuplicates(["record_id"])))
+
+
+def _same_second(new: DataFrame, seconds: DataFrame) -> DataFrame:
+    return new.where("fp IS NOT NULL").select("ord", "fp", _SEC()).join(seconds.where("fp IS NOT NULL"), ["fp", "sec"], "left_semi").select("ord")
+
+
+def _refused(new: DataFrame, same: DataFrame, alike: DataFrame, window: int, likeness: Fraction, shard_rows: int, scratch: Scratch) -> DataFrame:
+    """``(ord)`` of the records refused for the history's sake and then for each other's."""
     by_history = scratch.save(same.union(alike).distinct())
     rest = scratch.save(new.join(by_history, "ord", "left_anti"))
     # equal content at the same instant has the same neighbours: all but the first are refused
     firsts = rest.where("size(h) > 0").groupBy("at", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2")).agg(F.min("ord").alias("first"), F.count("*").alias("m")).where("m > 1")
     again = scratch.save(rest.select("ord", "at", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"), "h").where("size(h) > 0").join(firsts, ["at", "k1", "k2"]).where("ord > first").select("ord"))
     # a repeat is refused whatever happens to its first, so it accepts nobody and may be left out
-    core = scratch.save(rest.join(again, "ord", "left_anti").select("ord", "batch", "at", "h", "fp", sec))
+    core = scratch.save(rest.join(again, "ord", "left_anti").select("ord", "batch", "at", "h", "fp", _SEC()))
     body = core.where("size(h) > 0").select("ord", "batch", "at", "h")
     edges = scratch.save(_cogrouped(body, body, window, _among_batches(window, likeness), shard_rows).distinct())
     twins = core.where("fp IS NOT NULL").groupBy("fp", "sec").agg(F.count("*").alias("m")).where("m > 1").drop("m")
@@ -321,12 +371,100 @@ def refused_records(
     linked = edges.select(F.col("later").alias("ord")).union(edges.select("earlier")).union(grouped.select("ord")).distinct()
     nodes = linked.join(grouped, "ord", "left").select("ord", F.coalesce("grp", F.concat(F.lit("#"), F.col("ord").cast("string"))).alias("grp"))
     among = _first_come(nodes, edges, scratch)
-    refused = by_history.union(again).union(among).distinct()
-    return new.join(refused, "ord", "left_semi").select("record_id")
+    return by_history.union(again).union(among).distinct()
 
 
-def _ordered(new: DataFrame, scratch: Scratch) -> DataFrame:
-    """Add ``ord``: a number that rises with (batch, record_id)."""
+def _ordered(new: DataFrame) -> DataFrame:
+    """Add ``ord``: a number that rises with (batch, record_id), without sorting in one task."""
     n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = new.repartitionByRange(n, "batch", "record_id").sortWithinPartitions("batch", "record_id")
     return part.withColumn("ord", F.monotonically_increasing_id())
+
+
+_SEGMENT = {"order": "long", "at": "long", "off": "long", "h": "long", "terms": "long", "pairs": "long", "triples": "long", "tri": "long", "tri_own": "long", "duo": "long", "duo_own": "long"}
+_SEGMENT_SCHEMA = "block long, si int, " + ", ".join(f"`{k}` array<{t}>" for k, t in _SEGMENT.items())
+
+
+def _segment_row(block: int, si: int, s: Segment) -> pa.Table:
+    return pa.table({"block": pa.array([block], pa.int64()), "si": pa.array([si], pa.int32()), **{k: pa.array([v.astype(np.int64)], pa.list_(pa.int64())) for k, v in s.arrays().items()}})
+
+
+def _loaded(t: pa.Table) -> Segment:
+    return Segment.of({k: t.column(k).combine_chunks().values.to_numpy() if t.column(k).num_chunks == 1 else np.array(t.column(k)[0].as_py(), np.int64) for k in _SEGMENT})
+
+
+class AcceptedHistory:
+    """What was accepted so far, as immutable segments on shared storage.
+
+    ``offer`` checks a new batch against all segments without rebuilding any, accepts what is not
+    refused as a segment of rank 0, and merges segments of equal rank, so n batches lie in at most
+    log2(n) + 1 segments and each record is merged log2(n) times in all. A segment is a directory
+    that is never changed; the list of live ones is held here.
+    """
+
+    def __init__(self, spark, path: str, window_seconds: int = 900, likeness: Fraction = Fraction(7, 10), shard_rows: int = SHARD_ROWS):
+        self.spark, self.path, self.window, self.likeness, self.shard_rows = spark, path, window_seconds * 1_000_000, likeness, shard_rows
+        self.live: list[tuple[int, str]] = []  # rank and directory
+        self.made = 0
+
+    def _write(self, rows: DataFrame, rank: int) -> None:
+        """``rows (ord, at, h, fp)`` as a new segment."""
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        rows.select("ord", "at", "h", "fp").write.parquet(f"{path}/rows")
+        own = self.spark.read.parquet(f"{path}/rows")
+        own.where("fp IS NOT NULL").select("fp", _SEC()).distinct().write.parquet(f"{path}/seconds")
+        x = own.where("size(h) > 0").withColumn("block", F.floor(F.col("at") / F.lit(BLOCK_US)).cast("long"))
+        n = x.groupBy("block").agg(F.ceil(F.count("*") / self.shard_rows).alias("n"))
+        x = x.join(n, "block").select("block", F.pmod(F.xxhash64("ord", F.lit(3)), F.col("n")).cast("int").alias("si"), "ord", "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
+
+        def build(t: pa.Table) -> pa.Table:
+            return _segment_row(t.column("block")[0].as_py(), t.column("si")[0].as_py(), Segment(_records(t)))
+
+        x.groupBy("block", "si").applyInArrow(build, _SEGMENT_SCHEMA).write.parquet(f"{path}/index")
+        self.live.append((rank, path))
+        if len(self.live) > 1 and self.live[-2][0] == rank:
+            (_, a), (_, b) = self.live[-2:]
+            self.live = self.live[:-2]
+            self._write(self.spark.read.parquet(f"{a}/rows", f"{b}/rows"), rank + 1)
+
+    def accept(self, rows: DataFrame, terms: Column, time: str = "analyzed_at", key: str = "fingerprint") -> None:
+        """Take rows in without a check, as one segment of the highest rank so far or of rank 0."""
+        x = rows.select(*_shape(time, key), term_hashes(terms).alias("h")).where("at IS NOT NULL")
+        rank = max((r for r, _ in self.live), default=9) + 1
+        self._write(x.withColumn("ord", F.xxhash64("at", "fp", "h")), rank)
+
+    def _alike(self, probes: DataFrame, path: str) -> DataFrame:
+        seg = self.spark.read.schema(_SEGMENT_SCHEMA).parquet(f"{path}/index")
+        block = lambda c: F.floor(c / F.lit(BLOCK_US)).cast("long")
+        p = probes.withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("at") - self.window), block(F.col("at") + self.window)))))
+        n = p.groupBy("block").agg(F.ceil(F.count("*") / self.shard_rows).cast("int").alias("n_p"))
+        p = p.join(n, "block").join(seg.select("block", "si"), "block").select(F.col("block").alias("block"), F.col("si").alias("si"), F.pmod(F.xxhash64("ord", F.lit(3)), F.col("n_p")).cast("int").alias("sp"), "ord", "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
+        i = seg.join(n, "block").select("*", F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("sp")).drop("n_p")
+        window, likeness = self.window, self.likeness
+
+        def run(index: pa.Table, probes: pa.Table) -> pa.Table:
+            if not index.num_rows or not probes.num_rows:
+                return _edges([], [])
+            x, _ = _loaded(index).probe(q := _records(probes), window, likeness)
+            hit = q.order[np.unique(x)]
+            return _edges([hit], [np.full(len(hit), -1)])
+
+        keys = ["block", "si", "sp"]
+        return i.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(run, "later long, earlier long").select(F.col("later").alias("ord"))
+
+    def offer(self, batch: DataFrame, terms: Column, record_id: str = "record_id", batch_no: str = "batch_no", time: str = "analyzed_at", key: str = "fingerprint") -> DataFrame:
+        """``(record_id)`` refused of a batch; the others are part of the history from now on."""
+        scratch = Scratch(self.spark)
+        new = _records_of(batch, terms, record_id, batch_no, time, key, scratch)
+        same = new.select("ord").where("false")
+        alike = same
+        for _, path in self.live:
+            same = same.union(_same_second(new, self.spark.read.parquet(f"{path}/seconds")))
+        same = scratch.save(same.distinct())
+        probes = new.where("size(h) > 0").join(same, "ord", "left_anti").select("ord", "at", "h")
+        for _, path in self.live:
+            alike = alike.union(self._alike(probes, path))
+        no = scratch.save(_refused(new, same, alike, self.window, self.likeness, self.shard_rows, scratch))
+        self._write(new.join(no, "ord", "left_anti"), 0)
+        return new.join(no, "ord", "left_semi").select("record_id")

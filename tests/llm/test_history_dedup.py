@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultloom.llm.history_dedup import Records, Segment, Segments, refused_records
+from faultloom.llm import history_dedup
+from faultloom.llm.history_dedup import AcceptedHistory, Records, Segment, Segments, refused_records
 
 T0 = datetime(2026, 1, 1, 23, 50)
 OLD = "analyzed_at timestamp, fingerprint string, terms array<string>, ord string, at string, block string"
@@ -111,3 +112,20 @@ def test_segments_find_every_pair_and_stay_few():
 def test_low_thresholds_are_refused(spark):
     with pytest.raises(ValueError):
         run(spark, [], [], likeness=Fraction(1, 2))
+
+
+def test_batches_one_by_one_give_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history_dedup, "SLICE", 50)
+    rng = random.Random(8)
+    bases = [rng.sample(range(90), n) for n in (1, 3, 12, 30)]
+    terms = lambda: sorted({f"w{x}" for x in set(rng.choice(bases)) ^ set(rng.sample(range(90), rng.randrange(4)))})
+    when = lambda: T0 + timedelta(seconds=rng.randrange(5000))
+    old = [(when(), f"f{rng.randrange(200)}", terms()) for _ in range(25)]
+    new = [(i, i // 15, when(), f"f{rng.randrange(200)}", terms()) for i in range(60)]
+    held = AcceptedHistory(spark, str(tmp_path / "h"), shard_rows=9)
+    held.accept(spark.createDataFrame([(*r, "x", "y", "z") for r in old], OLD), F.col("terms"))
+    got = set()
+    for b in range(4):
+        batch = spark.createDataFrame([(*r, "x", "y", "z") for r in new if r[1] == b], NEW)
+        got |= {r.record_id for r in held.offer(batch, F.col("terms")).collect()}
+    assert got == brute(old, new) and len(held.live) == 2  # the history and four batches merged
