@@ -56,10 +56,10 @@ def scrub_logs(s, d):
     return _a(s, d).select("id", X.scrub("excerpt").alias("scrubbed"))
 
 
-_TERMS = f"SELECT id, term, count(*)::INT AS n FROM (SELECT id, unnest(regexp_extract_all({_scrub(_NORMAL)}, {_q(X.TERM)})) AS term FROM analyses) WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY 1, 2"
+TERMS_SQL = f"SELECT id, term, count(*)::INT AS n FROM (SELECT id, unnest(regexp_extract_all({_scrub(_NORMAL)}, {_q(X.TERM)})) AS term FROM analyses) WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY 1, 2"
 
 
-@query(_TERMS)
+@query(TERMS_SQL)
 def tokenize_terms(s, d):
     return _a(s, d).select("id", F.explode(X.term_counts(X.normalize("excerpt"))).alias("term", "n"))
 
