@@ -11,6 +11,7 @@ from faultloom.llm.neardup import similar_pairs
 from faultloom.functions.text import row_terms
 from faultloom.llm.packing import packed_containers
 from faultloom.llm.sentences import sentence_units
+from faultloom.plans.log_queries import TERMS_SQL
 from faultloom.session import table
 
 
@@ -39,4 +40,32 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
-ORACLE: dict[str, str] = {}
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"""
+        WITH RECURSIVE q AS (
+            SELECT {_TRIM.format('left_ref')} AS l, {_TRIM.format('right_ref')} AS r FROM match_pairs WHERE lower({_TRIM.format('verdict')}) = 'match'
+        ), p AS (SELECT l, r FROM q WHERE l <> '' AND r <> ''), ref AS (SELECT l AS ref FROM p UNION SELECT r FROM p),
+        o AS (SELECT id::VARCHAR AS l, fingerprint AS r FROM analyses WHERE id::VARCHAR IN (SELECT ref FROM ref) AND fingerprint IN (SELECT ref FROM ref)),
+        e AS (SELECT l AS a, r AS b FROM p UNION SELECT r, l FROM p UNION SELECT l, r FROM o UNION SELECT r, l FROM o),
+        c AS (SELECT ref AS node, ref AS root FROM ref UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+        k AS (SELECT node, min(root) AS comp FROM c GROUP BY node),
+        x AS (SELECT a.id, coalesce(f.comp, i.comp) AS comp FROM analyses a LEFT JOIN k f ON f.node = a.fingerprint LEFT JOIN k i ON i.node = a.id::VARCHAR)
+        SELECT id, min(id) OVER (PARTITION BY comp) AS group_id FROM x WHERE comp IS NOT NULL QUALIFY count(*) OVER (PARTITION BY comp) > 1
+    """,
+    "p4_found": f"""
+        WITH t AS (
+            SELECT id, unnest(map_keys(tokens)) AS term FROM analyses WHERE tokens IS NOT NULL
+            UNION ALL SELECT id, term FROM ({TERMS_SQL}) WHERE id IN (SELECT id FROM analyses WHERE tokens IS NULL)
+        ), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1),
+        s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS i FROM t a JOIN t b USING (term) WHERE a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE i * 10 >= 7 * (x.n + y.n - i)
+    """,
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        dg AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda k: array_to_string(w[k:k + 11], ' '))) AS gram FROM d WHERE len(w) >= 12),
+        ig AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda k: array_to_string(w[k:k + 11], ' '))) AS gram FROM i WHERE len(w) >= 12)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)
+    """,
+}
