@@ -13,15 +13,17 @@ def baseline_tokens(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def grouped(observed: DataFrame) -> DataFrame:
-    """``(fingerprint, sources, rule_id, title)`` of rows ``(fingerprint, source, rule_id, title, seq)``.
+    """``(fingerprint, source, seq, rule_id, title)`` of rows of the same columns: each source of
+    a failure once, at the place where it was first seen; rule and title are those of the
+    failure's first row. One row per source, so no failure becomes one long row."""
+    per = observed.groupBy("fingerprint", "source").agg(F.min("seq").alias("seq"))
+    first = observed.groupBy("fingerprint").agg(F.min_by(F.struct("rule_id", "title"), "seq").alias("f"))
+    return per.join(first, "fingerprint").select("fingerprint", "source", "seq", "f.rule_id", "f.title")
 
-    Sources keep the order in which they were first seen; rule and title are the first row's.
-    Equal sources are folded before they are gathered, so a list is as long as its sources differ.
-    """
-    per = observed.groupBy("fingerprint", "source").agg(F.min("seq").alias("seq"), F.min_by(F.struct("rule_id", "title"), "seq").alias("f"))
-    return per.groupBy("fingerprint").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("sources"), F.min_by("f", "seq").alias("f")
-    ).select("fingerprint", "sources", F.col("f.rule_id").alias("rule_id"), F.col("f.title").alias("title"))
+
+def listed(groups: DataFrame) -> DataFrame:
+    """``(fingerprint, sources, rule_id, title)`` for documents: sources as lists in seen order."""
+    return groups.groupBy("fingerprint", "rule_id", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("sources")).select("fingerprint", "sources", "rule_id", "title")
 
 
 def gate(observed: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -32,6 +34,6 @@ def gate(observed: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame
 
 def render_baseline(groups: DataFrame) -> list[str]:
     """Sorted lines ``fingerprint  # title`` of a baseline file; read row by row."""
-    rows = [(r.fingerprint, (r.title or r.rule_id or "").split("\n")[0][:70]) for r in groups.select("fingerprint", "title", "rule_id").orderBy("fingerprint").toLocalIterator()]
+    rows = [(r.fingerprint, (r.title or r.rule_id or "").split("\n")[0][:70]) for r in groups.select("fingerprint", "title", "rule_id").distinct().orderBy("fingerprint").toLocalIterator()]
     width = max((len(f) for f, _ in rows), default=0)
     return [f"{f.ljust(width)}  # {t}".rstrip() if t else f for f, t in rows]

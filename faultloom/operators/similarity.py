@@ -74,17 +74,29 @@ def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(dot, pa.float64())], names=["a", "b", "cosine"])
 
 
-def clusters(meta: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``(cluster, label, n, member_ids, ecosystems, last_seen)`` of single-link clusters, those of
-    one member included; ``meta`` is ``(id, rule_id, matched, ecosystem, analyzed_at)``."""
+def cluster_members(meta: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``meta`` with ``cluster``, the smallest id of its single-link cluster; rows that resemble no
+    other are clusters of their own."""
     scratch = Scratch(meta.sparkSession)
     pairs = cosine_pairs(rows, threshold, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comp = scratch.save(min_label_components(pairs, scratch))
-    placed = scratch.save(meta.join(comp.withColumnRenamed("vertex", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))
-    votes = placed.where("matched").groupBy("cluster", "rule_id").count().groupBy("cluster").agg(F.min_by("rule_id", F.struct(-F.col("count"), "rule_id")).alias("label"))
+    comp = min_label_components(pairs, scratch)
+    return scratch.save(meta.join(comp.withColumnRenamed("vertex", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))
+
+
+def cluster_summary(members: DataFrame) -> DataFrame:
+    """``(cluster, label, n, ecosystems, last_seen)`` of members ``(id, cluster, rule_id, matched,
+    ecosystem, analyzed_at)``; the label is the most frequent rule of matched members."""
+    votes = members.where("matched").groupBy("cluster", "rule_id").count().groupBy("cluster").agg(F.min_by("rule_id", F.struct(-F.col("count"), "rule_id")).alias("label"))
     eco = F.when(F.coalesce(F.trim("ecosystem"), F.lit("")) == "", "unknown").otherwise(F.col("ecosystem"))
-    out = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id"), asc=False).alias("member_ids"), F.array_sort(F.collect_set(eco)).alias("ecosystems"), F.max("analyzed_at").alias("last_seen"))
-    return out.join(votes, "cluster", "left").select("cluster", F.coalesce("label", F.lit("unmatched")).alias("label"), "n", "member_ids", "ecosystems", "last_seen")
+    out = members.groupBy("cluster").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(eco)).alias("ecosystems"), F.max("analyzed_at").alias("last_seen"))
+    return out.join(votes, "cluster", "left").select("cluster", F.coalesce("label", F.lit("unmatched")).alias("label"), "n", "ecosystems", "last_seen")
+
+
+def top_clusters(summary: DataFrame, top: int = 10, singletons: bool = False) -> DataFrame:
+    """Largest clusters first; 0 means all."""
+    x = summary if singletons else summary.where("n > 1")
+    x = x.orderBy(F.desc("n"), F.desc("last_seen"), "cluster")
+    return x.limit(top) if top > 0 else x
 
 
 def _merge_top(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> Iterator[tuple[int, int, float]]:

@@ -204,23 +204,19 @@ def _gate(s, d):
 
 
 _GROUPED = f"""
-    WITH b AS ({_BASE}), per AS (SELECT fingerprint, source, min(id) AS seq, first(rule_id ORDER BY id) AS rule_id FROM analyses GROUP BY 1, 2)
-    SELECT fingerprint, sha256(string_agg(source, '|' ORDER BY seq)) AS sources, first(rule_id ORDER BY seq) AS rule_id FROM per WHERE fingerprint {{}} (SELECT fingerprint FROM b) GROUP BY 1
+    WITH b AS ({_BASE})
+    SELECT fingerprint, source, min(id) AS seq, first(first(rule_id ORDER BY id)) OVER (PARTITION BY fingerprint ORDER BY min(id)) AS rule_id FROM analyses WHERE fingerprint {{}} (SELECT fingerprint FROM b) GROUP BY fingerprint, source
 """
 
 
-def _listed(df: DataFrame) -> DataFrame:
-    return df.select("fingerprint", F.sha2(F.array_join("sources", "|"), 256).alias("sources"), "rule_id")
-
-
 @query(_GROUPED.format("NOT IN"))
 def gate_new(s, d):
-    return _listed(_gate(s, d)[0])
+    return _gate(s, d)[0].drop("title")
 
 
 @query(_GROUPED.format("IN"))
 def gate_known(s, d):
-    return _listed(_gate(s, d)[1])
+    return _gate(s, d)[1].drop("title")
 
 
 @query(f"SELECT fingerprint FROM ({_BASE}) WHERE fingerprint NOT IN (SELECT fingerprint FROM analyses WHERE fingerprint IS NOT NULL)")

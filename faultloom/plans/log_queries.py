@@ -183,13 +183,23 @@ def cosine_pairs(s, d):
     return V.cosine_pairs(V.term_rows(_incoming(s, d), "id", F.col("tokens")), 0.5).select("a", "b", F.bround("cosine", 4).alias("cosine"))
 
 
-@query(f"""{_PAIRS}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
+_CLUSTERS = f"""{_PAIRS}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
     c AS (SELECT record_id AS id, record_id AS root FROM incoming WHERE tokens IS NOT NULL UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.id), k AS (SELECT id, min(root) AS cluster FROM c GROUP BY 1),
     x AS (SELECT cluster, id, rule_id, matched, CASE WHEN trim(coalesce(ecosystem, '')) = '' THEN 'unknown' ELSE ecosystem END AS eco, analyzed_at FROM k JOIN incoming ON record_id = id),
-    v AS (SELECT cluster, rule_id, count(*) AS n FROM x WHERE matched GROUP BY 1, 2)
-    SELECT cluster, coalesce((SELECT first(rule_id ORDER BY n DESC, rule_id) FROM v WHERE v.cluster = x.cluster), 'unmatched') AS label, count(*)::BIGINT AS n, array_to_string(list(id ORDER BY id DESC), ',') AS members,
+    v AS (SELECT cluster, rule_id, count(*) AS n FROM x WHERE matched GROUP BY 1, 2)"""
+
+
+def _clustered(s, d) -> DataFrame:
+    x = _incoming(s, d)
+    return V.cluster_members(x.select("id", "rule_id", "matched", "ecosystem", "analyzed_at"), V.term_rows(x, "id", F.col("tokens")))
+
+
+@query(f"{_CLUSTERS} SELECT id, cluster FROM x")
+def cluster_members(s, d):
+    return _clustered(s, d).select("id", "cluster")
+
+
+@query(f"""{_CLUSTERS} SELECT cluster, coalesce((SELECT first(rule_id ORDER BY n DESC, rule_id) FROM v WHERE v.cluster = x.cluster), 'unmatched') AS label, count(*)::BIGINT AS n,
         array_to_string(list_sort(list(DISTINCT eco)), ',') AS ecosystems, epoch_us(max(analyzed_at)) AS last_seen_us FROM x GROUP BY cluster""")
 def failure_clusters(s, d):
-    x = _incoming(s, d)
-    c = V.clusters(x.select("id", "rule_id", "matched", "ecosystem", "analyzed_at"), V.term_rows(x, "id", F.col("tokens")))
-    return c.select("cluster", "label", "n", F.array_join(F.transform("member_ids", lambda i: i.cast("string")), ",").alias("members"), F.array_join("ecosystems", ",").alias("ecosystems"), F.unix_micros("last_seen").alias("last_seen_us"))
+    return V.cluster_summary(_clustered(s, d)).select("cluster", "label", "n", F.array_join("ecosystems", ",").alias("ecosystems"), F.unix_micros("last_seen").alias("last_seen_us"))

@@ -81,7 +81,8 @@ def test_gate(spark):
     assert {r.fingerprint for r in base.collect()} == {"a:1", "b:2"}
     seen = spark.createDataFrame([("c:3", "s2", "c", "t2", 2), ("c:3", "s1", "c0", "t1", 1), ("c:3", "s2", "c", "t3", 3), ("a:1", "s", "a", None, 4)], "fingerprint string, source string, rule_id string, title string, seq long")
     new, known, stale = gate.gate(seen, base)
-    r = new.first()
+    assert [(r.source, r.title) for r in new.orderBy("seq").collect()] == [("s1", "t1"), ("s2", "t1")]
+    r = gate.listed(new).first()
     assert (r.sources, r.rule_id, r.title) == (["s1", "s2"], "c0", "t1")
     assert [r.fingerprint for r in known.collect()] == ["a:1"] and [r.fingerprint for r in stale.collect()] == ["b:2"]
     assert gate.render_baseline(new.unionByName(known)) == ["a:1  # a", "c:3  # t1"]

@@ -45,8 +45,10 @@ def test_cosine_pairs_and_clusters(spark):
         want = {(a, b) for i, (a, x) in enumerate(docs) for b, y in docs[i + 1 :] if cos(x, y) >= t}
         assert {(r.a, r.b) for r in V.cosine_pairs(rows, t).collect()} == want
     meta = df.select("id", F.lit("r").alias("rule_id"), (F.col("id") > 100).alias("matched"), F.lit(" ").alias("ecosystem"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("analyzed_at"))
-    c = {r.cluster: r for r in V.clusters(meta, rows, 0.95).collect()}
-    assert c[100].member_ids == [101, 100] and c[100].label == "r" and c[100].ecosystems == ["unknown"] and c[0].label == "unmatched" and 102 in c
+    members = V.cluster_members(meta, rows, 0.95)
+    c = {r.cluster: r for r in V.cluster_summary(members).collect()}
+    assert {r.id for r in members.where("cluster = 100").collect()} == {100, 101} and c[100].label == "r" and c[100].ecosystems == ["unknown"] and c[0].label == "unmatched" and 102 in c
+    assert [r.cluster for r in V.top_clusters(V.cluster_summary(members), 1).collect()] == [min(c, key=lambda k: (-c[k].n, k))]
 
 
 def test_tops(spark):
