@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultloom.operators.components import min_label_components
 from faultloom.session import Scratch
 
 DENSE_LIMIT = 65_536
@@ -180,6 +181,17 @@ def similar_sets(sets: DataFrame, likeness: Fraction = Fraction(7, 10), sparse_d
     return both.where(F.col("i") * likeness.denominator >= (F.size("ha") + F.size("hb") - F.col("i")) * likeness.numerator).select("a", "b")
 
 
+def _classes(rows: DataFrame, terms: Column, row_id: str, likeness: Fraction, sparse_df: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(ids (id), copies (id, rep), pairs (a, b))``: rows of equal sets point to their smallest id,
+    and pairs are those of representatives."""
+    base = rows.select(F.col(row_id).cast("long").alias("id"), term_hashes(terms).alias("h")).where("id IS NOT NULL AND size(h) > 0")
+    base = scratch.save(base.select("id", "h", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2")))
+    classes = base.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
+    copies = scratch.save(base.select("id", "k1", "k2").join(classes, ["k1", "k2"]).where("id <> rep").select("id", "rep").distinct())
+    sets = base.join(copies, "id", "left_anti").select(F.col("id").alias("rep"), "h")
+    return base.select("id"), copies, scratch.save(similar_sets(sets, likeness, sparse_df, scratch))
+
+
 def similar_pairs(rows: DataFrame, terms: Column, row_id: str = "id", likeness: Fraction = Fraction(7, 10), sparse_df: int = 1000) -> DataFrame:
     """``(id_a, id_b)`` with id_a < id_b: all pairs of rows whose term sets are alike enough.
 
@@ -189,13 +201,7 @@ def similar_pairs(rows: DataFrame, terms: Column, row_id: str = "id", likeness:
     Terms are compared by 64-bit hashes.
     """
     scratch = Scratch(rows.sparkSession)
-    base = rows.select(F.col(row_id).cast("long").alias("id"), term_hashes(terms).alias("h")).where("id IS NOT NULL AND size(h) > 0")
-    base = scratch.save(base.select("id", "h", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2")))
-    # equal sets: one representative, the others point to it
-    classes = base.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
-    copies = scratch.save(base.select("id", "k1", "k2").join(classes, ["k1", "k2"]).where("id <> rep").select("id", "rep").distinct())
-    sets = base.join(copies, "id", "left_anti").select(F.col("id").alias("rep"), "h")
-    pairs = scratch.save(similar_sets(sets, likeness, sparse_df, scratch))
+    _, copies, pairs = _classes(rows, terms, row_id, likeness, sparse_df, scratch)
     heads = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(copies.select("rep")).distinct()
     members = scratch.save(copies.select("rep", "id").union(heads.select("rep", F.col("rep").alias("id"))))
     x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
@@ -203,3 +209,21 @@ def similar_pairs(rows: DataFrame, terms: Column, row_id: str = "id", likeness:
     of_copies = members.join(copies.select("rep").distinct(), "rep", "left_semi")
     left, right = of_copies.select("rep", F.col("id").alias("id_a")), of_copies.select("rep", F.col("id").alias("id_b"))
     return across.union(left.join(right, "rep").where("id_a < id_b").select("id_a", "id_b"))
+
+
+def similar_groups(rows: DataFrame, terms: Column, row_id: str = "id", likeness: Fraction = Fraction(7, 10), sparse_df: int = 1000) -> DataFrame:
+    """``(id, group_id, n_links)``: every row with terms, the smallest id it reaches over pairs
+    alike enough, and the number of its partners.
+
+    Copies are counted, never expanded into pairs. Rows are left out and ties treated as in
+    :func:`similar_pairs`; a row without partners is its own group.
+    """
+    scratch = Scratch(rows.sparkSession)
+    ids, copies, pairs = _classes(rows, terms, row_id, likeness, sparse_df, scratch)
+    size = copies.groupBy("rep").agg((F.count("*") + 1).alias("m"))
+    both = pairs.union(pairs.select("b", "a"))
+    links = both.join(size, both.b == size.rep, "left").groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("m", F.lit(1))).alias("others"))
+    comp = min_label_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).select(F.col("vertex").alias("rep"), "component")
+    out = ids.distinct().join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = out.join(size, "rep", "left").join(links, "rep", "left").join(comp, "rep", "left")
+    return out.select("id", F.coalesce("component", "rep").alias("group_id"), (F.coalesce("m", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))

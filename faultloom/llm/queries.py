@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from faultloom.llm.components import match_groups
 from faultloom.llm.history_dedup import refused_records
 from faultloom.llm.leakage import leaked_spans
-from faultloom.llm.neardup import similar_pairs
+from faultloom.llm.neardup import similar_groups, similar_pairs
 from faultloom.functions.text import row_terms
 from faultloom.llm.packing import packed_containers
 from faultloom.llm.sentences import sentence_units
@@ -23,6 +23,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "analyses"), row_terms())
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "analyses"), row_terms())
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refused_records(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "incoming"), row_terms(), row_terms())
 
@@ -39,7 +43,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest leaked passage of every affected document and item, and where it lies."""
+    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 ORACLE: dict[str, str] = {

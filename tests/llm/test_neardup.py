@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultloom.llm.neardup import covering_keys, parity_sketch, similar_pairs
+from faultloom.llm.neardup import covering_keys, parity_sketch, similar_groups, similar_pairs
 
 SCHEMA = "id long, terms array<string>, h string, rep string, key string"
 
@@ -79,3 +79,18 @@ def test_sketch_is_a_lower_bound():
         s = parity_sketch(np.append(a, b), np.array([0, len(a)]))
         bits = sum(bin(int(x[0] ^ x[1]) & (2**64 - 1)).count("1") for x in s)
         assert bits <= len(set(a) ^ set(b))
+
+
+def test_groups_agree_with_pairs(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(50)]
+    bases = [rng.sample(vocab, 8) for _ in range(8)]
+    rows = [(i, edited(rng, rng.choice(bases), vocab, rng.randrange(3))) for i in range(60)] + [(100, None), (101, [])]
+    pairs = brute(rows, Fraction(7, 10))
+    group = {i: i for i, t in rows if t}
+    for _ in range(60):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA)
+    got = {r.id: (r.group_id, r.n_links) for r in similar_groups(df, F.col("terms")).collect()}
+    assert got == {i: (g, sum(i in p for p in pairs)) for i, g in group.items()}
