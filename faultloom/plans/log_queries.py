@@ -9,6 +9,7 @@ from faultloom.functions import text as X
 from faultloom.operators import detect as D
 from faultloom.operators import rules as R
 from faultloom.operators import similarity as V
+from faultloom.plans import pipeline
 from faultloom.session import spread, table
 
 QUERIES = {}
@@ -142,6 +143,24 @@ def detect_ecosystem(s, d):
     return _a(s, d).select("id", D.best(F.col("excerpt")).alias("b")).select("id", D.claimed(F.col("b")).alias("detected"), F.col("b.score").alias("score"))
 
 
+_ANALYZED = f"""
+    raw AS (SELECT id, excerpt AS raw, {_NORMAL} AS excerpt FROM analyses),
+    l AS (SELECT id, raw, excerpt, CASE WHEN best.score >= 2 THEN best.ecosystem ELSE 'generic' END AS eco FROM (SELECT *, list_max([{_SCORES}]) AS best FROM raw)),
+    @RULES@,
+    root AS (SELECT id, first(rule_id ORDER BY score DESC, rule_id) AS rule_id, first(pattern ORDER BY score DESC, rule_id) AS pattern FROM m GROUP BY id),
+    x AS (SELECT l.*, root.rule_id, string_split(excerpt, chr(10)) AS ls, len(string_split(left(excerpt, instr(excerpt, regexp_extract(excerpt, '(?im)' || pattern))), chr(10))) AS n FROM l LEFT JOIN root USING (id))
+""".replace("@RULES@", _MATCHES.replace("l AS (SELECT id, excerpt, rule_id AS stored, lower(trim(coalesce(ecosystem, 'unknown'))) AS eco FROM analyses),", "").replace("l.id, l.stored,", "l.id,").strip())
+
+
+@query(f"""WITH {_ANALYZED} SELECT id, eco AS ecosystem, coalesce(rule_id, 'unknown') AS rule_id, rule_id IS NOT NULL AS matched, sha256(raw) AS log_hash,
+        coalesce(rule_id, 'unknown') || ':' || substr(sha256(coalesce(rule_id, 'unknown') || chr(10) || {_scrub('CASE WHEN rule_id IS NOT NULL THEN ls[n] ELSE array_to_string(' + _ERRORS.replace('t, chr(10)', 'excerpt, chr(10)') + ', chr(10)) END')}), 1, 12) AS fingerprint
+    FROM x""")
+def analyze_logs(s, d):
+    """The whole analysis of every stored log, as if it came in now."""
+    logs = _a(s, d).select("id", F.col("excerpt").alias("text"))
+    return pipeline.analyze(logs, _pack(s, d)).select("id", "ecosystem", "rule_id", "matched", "log_hash", "fingerprint")
+
+
 _BAGS = "bags AS (SELECT id, unnest(map_entries(tokens)) AS e FROM {} WHERE tokens IS NOT NULL), t AS (SELECT id, e.key AS term, e.value AS tf FROM bags)"
 _IDF = "n AS (SELECT count(*)::DOUBLE AS n FROM {} WHERE tokens IS NOT NULL), i AS (SELECT term, count(*)::BIGINT AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY term)"
 

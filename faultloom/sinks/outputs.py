@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultloom.functions.text import first_line, quality_severity, report_path, sarif_level
+from faultloom.functions.text import annotation_text, first_line, quality_severity, report_path, sarif_level
 
 
 def analysis_json(source: str = "source") -> Column:
@@ -41,6 +41,32 @@ def code_quality(df: DataFrame) -> DataFrame:
     )
 
 
+def annotations(df: DataFrame) -> DataFrame:
+    """Console commands that mark the lines of rows as for :func:`code_quality`."""
+    where = F.concat(F.lit("::"), F.when(F.col("rule_id").isNull(), "notice").otherwise(F.regexp_replace(sarif_level("score", "severity"), "^note$", "notice")), F.lit(" file="), annotation_text(report_path("source"), True), F.lit(",line="), F.coalesce("line_number", F.lit(1)).cast("string"), F.lit(",title="), annotation_text(F.coalesce("title", F.lit("Unknown failure")), True))
+    return df.select(F.concat(where, F.lit("::"), annotation_text(F.coalesce("fix", F.lit("")))).alias("command"))
+
+
+def rules_json(rules: Iterable) -> str:
+    """The rule inventory, by ecosystem and id; absent values are left out."""
+    keys = ("id", "category", "title", "confidence", "severity", "docs", "enabled")
+    rows = [{**{k: v for k in keys if (v := getattr(r, k)) is not None}, "ecosystems": list(r.declared)} for r in sorted(rules, key=lambda r: (r.declared[:1], r.id))]
+    return json.dumps(rows, ensure_ascii=False)
+
+
+def statistics_json(h: DataFrame, top: int = 10) -> str:
+    """Totals, recurrence, time to resolve, ecosystems and the most frequent failures, as one object."""
+    from faultloom.operators import stats
+
+    t, r, m = stats.totals(h).first(), stats.recurrence_rate(h).first(), stats.time_to_resolve(h).first()
+    rows = [{"fingerprint": x.fingerprint, "ruleId": x.rule_id, "count": x.n, "openCount": x.open_count, "flaky": x.flaky, "lastSeen": x.last_seen.isoformat()} for x in stats.top_failures(h, top).collect()]
+    eco = {x.ecosystem: x.n for x in stats.by_ecosystem(h).limit(1000).collect()}
+    out = {**t.asDict(), "recurrenceRate": round(r.recurrence_rate, 4), "byEcosystem": eco, "topFailures": rows}
+    if m.n:
+        out |= {"meanTimeToResolutionSeconds": m.mean_us / 1e6, "resolvedWithTiming": m.n}
+    return json.dumps(out, ensure_ascii=False)
+
+
 def sarif(rows: Iterable[dict], tool: str = "faultloom") -> str:
     """SARIF 2.1.0 of rows as for :func:`code_quality`; rules are listed by first appearance."""
     rules: dict[str, int] = {}

@@ -43,6 +43,20 @@ def load_packs(*directories: str | Path, base: list[Rule] | None = None) -> list
     return override(*tiers)
 
 
+def search_path(home: str | Path | None, start: str | Path, configured: list[str] = (), given: list[str] = (), folder: str = ".build-rules") -> list[Path]:
+    """Directories that hold packs, least important first: the user's, those found on the way up
+    from ``start`` (the nearest last), configured ones, given ones. Each is named once."""
+    here = Path(start).resolve()
+    up = [p / folder for p in (*reversed(here.parents), here)]
+    own = [Path(home) / folder] if home else []
+    out: list[Path] = []
+    for p in [*own, *up, *map(Path, configured), *map(Path, given)]:
+        q = p.expanduser().resolve()
+        if q.is_dir() and q not in out:
+            out.append(q)
+    return out
+
+
 def append_rule(path: str | Path, rule: dict, force: bool = False) -> None:
     """Add a drafted rule to a pack file; the same id is replaced only when forced."""
     p = Path(path)

@@ -103,6 +103,22 @@ def recurrence(stream: DataFrame, scratch: Scratch) -> DataFrame:
     return spark.read.schema("id long, event string").parquet(f"{path}/out").select("id", "event")
 
 
+def deliver(stream: DataFrame, send: Callable[[dict], None], scratch: Scratch) -> None:
+    """Hand every row of an append-mode stream to ``send``, wherever it lies; a channel that fails
+    for one event does not hold up the others. Rows may come again after a failure, so ``send``
+    should be idempotent."""
+
+    def each(rows: Iterator) -> None:
+        for r in rows:
+            try:
+                send(r.asDict())
+            except Exception:  # noqa: BLE001
+                continue
+
+    q = stream.writeStream.foreachBatch(lambda df, no: df.foreachPartition(each)).option("checkpointLocation", f"{scratch.root}/deliver").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 class Budget:
     """At most ``per_run`` calls in all and ``per_minute`` within any 60 seconds."""
 
@@ -120,3 +136,8 @@ class Budget:
         self.used += 1
         self.recent.append(now)
         return True
+
+
+def limited(ask: Callable[[str], object], budget: Budget, chars: int = 6000) -> Callable[[str], object]:
+    """``ask`` within a budget and on at most the last ``chars`` characters; None beyond it."""
+    return lambda text: ask(text[-chars:]) if budget.take() else None
