@@ -22,7 +22,7 @@ from faultloom.session import spread
 
 WORD = re.compile(r"[^\W_]+")
 SHARD_WORDS = 4_000_000
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000  # about 25 MB in each worker
 SPANS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("item_word", T.IntegerType())])
 
 
@@ -121,8 +121,9 @@ class ItemBlock:
         return {"doc": doc[order], "item_id": self.ids[item[order]] if len(order) else np.zeros(0, np.int64), "n_words": length[order], "doc_word": doc_at[order] - doc_starts[doc[order]], "item_word": item_at[order] - self.starts[item[order]]}
 
 
-def _scan(block: ItemBlock, shard_words: int):
+def _scan(shared, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
         ids: list[int] = []
         starts: list[int] = []
         parts: list[np.ndarray] = [np.zeros(1, np.int32)]
@@ -182,7 +183,8 @@ def leaked_spans(docs: DataFrame, items: DataFrame, min_words: int = 12, doc_id:
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     out = None
     for block in item_blocks(items, item_id, item_text, min_words, block_words):
-        found = rows.mapInArrow(_scan(block, shard_words), SPANS)
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_words
+        found = rows.mapInArrow(_scan(shared, shard_words), SPANS)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SPANS)
 
