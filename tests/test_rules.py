@@ -75,3 +75,21 @@ def test_assist(spark):
     assert [tuple(r) for r in assist.suggestions(df, ask).collect()] == [(2, "m", "why ?", "fix")]
     e = assist.embeddings(df.select("id", "text"), assist.hashing_embedding).first().embedding
     assert abs(sum(x * x for x in e) - 1) < 1e-5
+
+
+def test_jvm_and_python_agree_on_the_whole_pack(spark):
+    """The same patterns over the same texts in a second engine."""
+    regex = __import__("pytest").importorskip("regex")
+    d = "/root/testdata/sf0.001"
+    pack = rules_from(spark.read.parquet(f"{d}/rules.parquet"))
+    logs = spark.read.parquet(f"{d}/analyses.parquet").select("id", F.lit("unknown").alias("ecosystem"), F.col("excerpt").alias("text"))
+    got = {r.id: {(m.rule_id, m.captures["subject"], m.captures["peer"], m.occurrences) for m in r.matches} for r in match_rules(logs, pack).collect()}
+    compiled = [(r, regex.compile(r.match, regex.I | regex.M)) for r in pack if r.enabled]
+    guard = lambda p, t: regex.search(p, t, regex.I | regex.M)
+    for row in logs.collect():
+        want = set()
+        for r, p in compiled:
+            m = p.search(row.text)
+            if m and (not r.requires or guard(r.requires, row.text)) and not (r.not_match and guard(r.not_match, row.text)):
+                want.add((r.id, m["subject"].strip(), m["peer"].strip(), min(100, len(p.findall(row.text)))))
+        assert got[row.id] == want
