@@ -20,6 +20,7 @@ are cut into a grid of index shards by probe shards of bounded size.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -36,6 +37,7 @@ BLOCK_US = 24 * 3600 * 1_000_000
 SMALL = 22  # from this size on of the larger set, three terms in a row must match somewhere
 SHARD_ROWS = 40_000
 SLICE = 4_000_000  # occurrences looked at together
+PART_ROWS = 1_000_000  # records whose order is settled in one task
 _T = 38  # bits for the time within a block
 
 
@@ -189,6 +191,21 @@ class Segment:
         return s
 
 
+def thinned(rec: Records, window: int) -> np.ndarray:
+    """Rows to keep of records whose ``order`` names their content.
+
+    Of equal contents within one stretch of ``window`` the first and the last stand for all: what
+    is at most ``window`` away from one between them is as near to one of the two. So a content
+    that repeats without end costs two rows a stretch.
+    """
+    if not len(rec.at):
+        return np.zeros(0, np.int64)
+    stretch = rec.at // window
+    o = np.lexsort((rec.at, stretch, rec.order))
+    new = np.append(True, (rec.order[o][1:] != rec.order[o][:-1]) | (stretch[o][1:] != stretch[o][:-1]))
+    return np.sort(o[new | np.append(new[1:], True)])
+
+
 class Segments:
     """Segments by rank, merged like a binary counter as batches are added."""
 
@@ -227,7 +244,8 @@ def _against_history(window: int, likeness: Fraction):
     def run(index: pa.Table, probes: pa.Table) -> pa.Table:
         if not index.num_rows or not probes.num_rows:
             return _edges([], [])
-        i, _ = Segment(_records(index)).probe(q := _records(probes), window, likeness)
+        old = _records(index)
+        i, _ = Segment(old.take(thinned(old, window))).probe(q := _records(probes), window, likeness)
         hit = q.order[np.unique(i)]
         return _edges([hit], [np.full(len(hit), -1)])
 
@@ -240,6 +258,9 @@ def _among_batches(window: int, likeness: Fraction):
             return _edges([], [])
         old, new = _records(index), _records(probes)
         old_batch, new_batch = index.column("batch").to_numpy(), probes.column("batch").to_numpy()
+        # links are between contents, so each content is looked at twice a stretch at most
+        i, j = thinned(old, window), thinned(new, window)
+        old, new, old_batch, new_batch = old.take(i), new.take(j), old_batch[i], new_batch[j]
         held, later, earlier = Segments(), [], []
         for b in np.unique(np.append(old_batch, new_batch)):
             mine = np.flatnonzero(old_batch == b)
@@ -248,7 +269,7 @@ def _among_batches(window: int, likeness: Fraction):
             asked = np.flatnonzero(new_batch == b)
             if len(asked):
                 for x, y in held.probe(new.take(asked), window, likeness):
-                    ok = y < x  # of its own batch, only what comes before it
+                    ok = x != y
                     later.append(x[ok])
                     earlier.append(y[ok])
         return _edges(later, earlier)
@@ -268,48 +289,88 @@ def _cogrouped(index: DataFrame, probes: DataFrame, window: int, run, shard_rows
         index.groupBy("block").agg(F.count("*").alias("n_i")).join(probes.groupBy("block").agg(F.count("*").alias("n_p")), "block")
         .select("block", F.ceil(F.col("n_i") / shard_rows).cast("int").alias("n_i"), F.ceil(F.col("n_p") / shard_rows).cast("int").alias("n_p"))
     )
-    mine = lambda n: F.pmod(F.xxhash64("ord", F.lit(3)), F.col(n)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("ord", "at", F.lit(3)), F.col(n)).cast("int")
     i = index.join(shards, "block").select("block", mine("n_i").alias("si"), F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("sp"), "ord", "batch", "h", rel)
     p = probes.join(shards, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("si"), mine("n_p").alias("sp"), "ord", "batch", "h", rel)
     keys = ["block", "si", "sp"]
     return i.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(run, "later long, earlier long")
 
 
-def _first_come(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_rounds: int = 1000) -> DataFrame:
-    """``(ord)`` of refused nodes: taken in order, a node is refused if an accepted earlier one is
-    its neighbour by ``edges (later, earlier)`` or shares its ``grp``.
+def decide(rows: list[tuple], near: dict[int, set], window: int) -> list[tuple[int, int]]:
+    """First come, first served: ``rows (ord, at, grp, content, status, own)`` in rising order.
 
-    Each round accepts every undecided node that has no undecided node before it in any relation,
-    and refuses what these cover; the smallest undecided node always qualifies.
+    A row is refused (2) if an accepted (1) row before it shares its ``grp``, or lies within the
+    window with an equal or linked content. Rows of other parts (not ``own``) may be undecided (0);
+    what depends on one stays undecided as well, unless it is refused anyway. Equal and linked
+    contents within a window accept one row, so the lists searched stay short.
     """
-    und, e = scratch.save(nodes), scratch.save(edges.distinct())
-    refused: list[DataFrame] = []
-    for _ in range(max_rounds):
-        # only nodes that still have a neighbour can be refused
-        head = und.groupBy("grp").agg(F.min("ord").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-        waiting = e.select(F.col("later").alias("ord"))
-        behind = und.join(head, "grp").where("ord > first").select("ord")
-        if waiting.isEmpty() and behind.isEmpty():
-            break
-        ready = scratch.save(und.join(waiting.union(behind).distinct(), "ord", "left_anti"))
-        by_edge = e.join(ready.select(F.col("ord").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("ord"))
-        by_grp = und.join(ready.select("grp", F.col("ord").alias("o")), "grp").where("ord > o").select("ord")
-        no = scratch.save(by_edge.union(by_grp).distinct())
-        gone = no.union(ready.select("ord"))
-        u2 = scratch.save(und.join(gone, "ord", "left_anti"))
-        left = gone.distinct()
-        e2 = scratch.save(e.join(left.withColumnRenamed("ord", "later"), "later", "left_anti").join(left.withColumnRenamed("ord", "earlier"), "earlier", "left_anti"))
-        scratch.drop(und, e, ready)
-        und, e = u2, e2
-        refused.append(no)
-    else:
-        raise RuntimeError("order did not settle")
-    out = nodes.select("ord").where("false")
-    for r in refused:
-        out = out.union(r)
+    accepted: tuple[set, dict] = (set(), {})
+    unknown: tuple[set, dict] = (set(), {})
+
+    def within(times: dict, content, at: int) -> bool:
+        for c in (content, *near.get(content, ())):
+            t = times.get(c)
+            if t:
+                k = bisect_left(t, at - window)
+                if k < len(t) and t[k] <= at + window:
+                    return True
+        return False
+
+    def touches(known: tuple[set, dict], grp, content, at: int) -> bool:
+        return grp is not None and grp in known[0] or content is not None and within(known[1], content, at)
+
+    out = []
+    for ord_, at, grp, content, status, own in rows:
+        if not status and own:
+            status = 2 if touches(accepted, grp, content, at) else 0 if touches(unknown, grp, content, at) else 1
+            out.append((ord_, status))
+        if status != 2:
+            known = accepted if status else unknown
+            if grp is not None:
+                known[0].add(grp)
+            if content is not None:
+                insort(known[1].setdefault(content, []), at)
     return out
 
 
+def _decide_part(window: int):
+    def run(nodes: pa.Table, links: pa.Table) -> pa.Table:
+        near: dict[int, set] = {}
+        for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
+            near.setdefault(a, set()).add(b)
+        rows = sorted(zip(*(nodes.column(c).to_pylist() for c in ("ord", "at", "grp", "content", "status", "own"))), key=lambda r: r[0])
+        got = decide(rows, near, window)
+        return pa.table({"ord": pa.array([x[0] for x in got], pa.int64()), "status": pa.array([x[1] for x in got], pa.int32())})
+
+    return run
+
+
+def _first_come(nodes: DataFrame, links: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """``(ord)`` of refused ``nodes (ord, at, grp, content)`` under ``links (a, b)`` of contents.
+
+    Nodes are cut by time into parts of bounded size that are decided side by side; a part also
+    sees the nodes up to a window beyond its borders. What depends on a neighbour's undecided node
+    waits for the next round; each round decides at least the first node of all that wait, and
+    chains in order of time, the worst case, take as many rounds as there are parts.
+    """
+    todo, n = scratch.save_with(nodes.withColumn("status", F.lit(0)), n=F.count(F.lit(1)))
+    both = scratch.save(links.union(links.select("b", "a")).distinct())
+    parts = max(1, -(-n["n"] // PART_ROWS))
+    # borders lie between whole seconds, so no grp is cut
+    cuts = sorted({int(c) // 1_000_000 * 1_000_000 for c in todo.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)])).first()[0]}) if parts > 1 else []
+    side = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= c)) if cuts else F.lit(0)
+    while True:
+        x = todo.withColumn("mine", side(F.col("at"))).withColumn("part", F.explode(F.sequence(side(F.col("at") - window), side(F.col("at") + window))))
+        x = x.withColumn("own", F.col("part") == F.col("mine"))
+        near = both.join(x.where("content IS NOT NULL").select(F.col("content").alias("a"), "part").distinct(), "a").select(F.col("part").alias("part"), "a", "b")
+        x = x.select(F.col("part").alias("part"), "ord", "at", "grp", "content", "status", "own")
+        got, left = scratch.save_with(x.groupBy("part").cogroup(near.groupBy("part")).applyInArrow(_decide_part(window), "ord long, status int"), n=F.count_if(F.col("status") == 0))
+        now = got.withColumnRenamed("status", "new")
+        todo = scratch.save(todo.join(now, "ord", "left").select("ord", "at", "grp", "content", F.coalesce("new", "status").alias("status")))
+        if not left["n"]:
+            return todo.where("status = 2").select("ord")
+
+
 def refused_records(
     history: DataFrame, incoming: DataFrame, history_terms: Column, incoming_terms: Column, record_id: str = "record_id", batch: str = "batch_no", time: str = "analyzed_at", key: str = "fingerprint",
     likeness: Fraction = Fraction(7, 10), window_seconds: int = 900, shard_rows: int = SHARD_ROWS,
@@ -331,7 +392,7 @@ def refused_records(
     old = history.select(*_shape(time, key), term_hashes(history_terms).alias("h")).where("at IS NOT NULL")
     new = _records_of(incoming, incoming_terms, record_id, batch, time, key, scratch)
     same = _same_second(new, old.select("fp", _SEC()))
-    index = old.where("size(h) > 0").select(F.xxhash64("at", "fp", "h").alias("ord"), F.lit(0).cast("long").alias("batch"), "at", "h")
+    index = old.where("size(h) > 0").select(F.xxhash64("h").alias("ord"), F.lit(0).cast("long").alias("batch"), "at", "h")
     probes = new.where("size(h) > 0").join(same, "ord", "left_anti").select("ord", "batch", "at", "h")
     alike = _cogrouped(index, probes, window, _against_history(window, likeness), shard_rows).select(F.col("later").alias("ord"))
     return new.join(_refused(new, same, alike, window, likeness, shard_rows, scratch), "ord", "left_semi").select("record_id")
@@ -359,19 +420,12 @@ def _refused(new: DataFrame, same: DataFrame, alike: DataFrame, window: int, lik
     """``(ord)`` of the records refused for the history's sake and then for each other's."""
     by_history = scratch.save(same.union(alike).distinct())
     rest = scratch.save(new.join(by_history, "ord", "left_anti"))
-    # equal content at the same instant has the same neighbours: all but the first are refused
-    firsts = rest.where("size(h) > 0").groupBy("at", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2")).agg(F.min("ord").alias("first"), F.count("*").alias("m")).where("m > 1")
-    again = scratch.save(rest.select("ord", "at", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"), "h").where("size(h) > 0").join(firsts, ["at", "k1", "k2"]).where("ord > first").select("ord"))
-    # a repeat is refused whatever happens to its first, so it accepts nobody and may be left out
-    core = scratch.save(rest.join(again, "ord", "left_anti").select("ord", "batch", "at", "h", "fp", _SEC()))
-    body = core.where("size(h) > 0").select("ord", "batch", "at", "h")
-    edges = scratch.save(_cogrouped(body, body, window, _among_batches(window, likeness), shard_rows).distinct())
-    twins = core.where("fp IS NOT NULL").groupBy("fp", "sec").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    grouped = core.join(twins, ["fp", "sec"]).select("ord", F.concat_ws("|", F.col("sec").cast("string"), "fp").alias("grp"))
-    linked = edges.select(F.col("later").alias("ord")).union(edges.select("earlier")).union(grouped.select("ord")).distinct()
-    nodes = linked.join(grouped, "ord", "left").select("ord", F.coalesce("grp", F.concat(F.lit("#"), F.col("ord").cast("string"))).alias("grp"))
-    among = _first_come(nodes, edges, scratch)
-    return by_history.union(again).union(among).distinct()
+    content = F.when(F.size("h") > 0, F.xxhash64("h"))
+    body = rest.where("size(h) > 0").select(content.alias("ord"), "batch", "at", "h")
+    links = _cogrouped(body, body, window, _among_batches(window, likeness), shard_rows).select(F.col("later").alias("a"), F.col("earlier").alias("b"))
+    grp = F.when(F.col("fp").isNotNull(), F.concat_ws("|", _SEC().cast("string"), "fp"))
+    among = _first_come(rest.select("ord", "at", grp.alias("grp"), content.alias("content")), links, window, scratch)
+    return by_history.union(among).distinct()
 
 
 def _ordered(new: DataFrame) -> DataFrame:
@@ -416,11 +470,12 @@ class AcceptedHistory:
         own.where("fp IS NOT NULL").select("fp", _SEC()).distinct().write.parquet(f"{path}/seconds")
         x = own.where("size(h) > 0").withColumn("block", F.floor(F.col("at") / F.lit(BLOCK_US)).cast("long"))
         n = x.groupBy("block").agg(F.ceil(F.count("*") / self.shard_rows).alias("n"))
-        x = x.join(n, "block").select("block", F.pmod(F.xxhash64("ord", F.lit(3)), F.col("n")).cast("int").alias("si"), "ord", "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
+        x = x.join(n, "block").select("block", F.pmod(F.xxhash64("h", "at"), F.col("n")).cast("int").alias("si"), F.xxhash64("h").alias("ord"), "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
 
         def build(t: pa.Table) -> pa.Table:
-            return _segment_row(t.column("block")[0].as_py(), t.column("si")[0].as_py(), Segment(_records(t)))
+            return _segment_row(t.column("block")[0].as_py(), t.column("si")[0].as_py(), Segment((r := _records(t)).take(thinned(r, window))))
 
+        window = self.window
         x.groupBy("block", "si").applyInArrow(build, _SEGMENT_SCHEMA).write.parquet(f"{path}/index")
         self.live.append((rank, path))
         if len(self.live) > 1 and self.live[-2][0] == rank:

@@ -129,3 +129,14 @@ def test_batches_one_by_one_give_the_same(spark, tmp_path, monkeypatch):
         batch = spark.createDataFrame([(*r, "x", "y", "z") for r in new if r[1] == b], NEW)
         got |= {r.record_id for r in held.offer(batch, F.col("terms")).collect()}
     assert got == brute(old, new) and len(held.live) == 2  # the history and four batches merged
+
+
+@pytest.mark.parametrize("part_rows", [1_000_000, 9])
+def test_chains_and_copies_over_many_parts(spark, monkeypatch, part_rows):
+    """Copies every ten minutes in order of time: every other one is refused, however they are cut."""
+    monkeypatch.setattr(history_dedup, "PART_ROWS", part_rows)
+    rng = random.Random(6)
+    chain = [(i, 1, T0 + timedelta(minutes=10 * i), f"f{i}", ["hot", "copy"]) for i in range(40)]
+    other = [(100 + i, rng.randrange(1, 4), T0 + timedelta(minutes=rng.randrange(400)), f"g{rng.randrange(9)}", rng.choice([["hot", "copy", "x"], ["a", "b", "c", "d"], ["a", "b", "c"], None])) for i in range(40)]
+    assert run(spark, [], chain) == brute([], chain) == set(range(1, 40, 2))
+    assert run(spark, [], chain + other) == brute([], chain + other)
