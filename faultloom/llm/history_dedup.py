@@ -13,6 +13,10 @@ them match in all. For k = 2 that is at least 1 always, for k = 3 once the large
 terms, and from then on it grows with the size (:func:`least_matches`). Sets of one term match as
 a whole.
 
+Copies and order. Links are found between contents, of which two rows a stretch of the window are
+looked at (:func:`thinned`). Who is refused then follows from one pass in order over each part of
+the time line (:func:`decide`), with lists of accepted times instead of pairs of records.
+
 Why time blocks. A record concerns only records at most ``window`` away, so a block of a day
 holds all partners but those of its edges, where probes enter two blocks. Blocks with many rows
 are cut into a grid of index shards by probe shards of bounded size.
