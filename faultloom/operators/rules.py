@@ -170,9 +170,20 @@ def renamed_groups(pattern: str) -> tuple[str, dict[str, list[int]]]:
     return "".join(out), names
 
 
+#: quoting, comments and free spacing, in which characters mean something else
+_DOUBT = re.compile(r"\\[QE]|\(\?#|\(\?[a-zA-Z]*x")
+_ESCAPE = re.compile(r"\\(?:x\{\w+\}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|[pP]\{[^{}]+\}|[pP]\w|N\{[^{}]+\}|k<\w+>|c.|0[0-7]{1,3}|[1-9]\d*|[dDwWsSbBAzZGhHvVRXntrfae]|[^\w])", re.DOTALL)
+_CLASS = re.compile(r"\[\^?\]?(?:\\.|[^\[\]\\])*\]", re.DOTALL)
+_RANGED = re.compile(r"\{\w+(?:,\d*)?\}")
+
+
 def required_literal(pattern: str, unicode_case: bool = True) -> str:
-    """A lower-case literal that every match must hold, or nothing if none can be proven."""
-    if len(alternatives(pattern)) > 1:
+    """A lower-case literal that every match must hold, or nothing if none can be proven.
+
+    Quantifiers, classes and escapes with their arguments are passed over as a whole; a form that
+    is not known proves nothing.
+    """
+    if len(alternatives(pattern)) > 1 or _DOUBT.search(pattern):
         return ""
     best = run = ""
     i, depth = 0, 0
@@ -186,11 +197,12 @@ def required_literal(pattern: str, unicode_case: bool = True) -> str:
                 run += c
         else:
             best, run = max(best, run, key=len), ""
-            if c == "\\":
-                i += 1
-            elif c == "[":
-                close = pattern.find("]", i + 2)
-                i = close if close > 0 else len(pattern)
+            whole = {"\\": _ESCAPE, "[": _CLASS, "{": _RANGED}.get(c)
+            if whole:
+                m = whole.match(pattern, i)
+                if not m:
+                    return ""
+                i = m.end() - 1
             elif c == "(":
                 depth += 1
             elif c == ")":

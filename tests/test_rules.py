@@ -93,3 +93,28 @@ def test_jvm_and_python_agree_on_the_whole_pack(spark):
             if m and (not r.requires or guard(r.requires, row.text)) and not (r.not_match and guard(r.not_match, row.text)):
                 want.add((r.id, m["subject"].strip(), m["peer"].strip(), min(100, len(p.findall(row.text)))))
         assert got[row.id] == want
+
+
+def test_the_prefilter_changes_no_match(spark):
+    """Forms of rule packs with arguments that are no text, each with a text that it matches."""
+    forms = [
+        (r"(?:NoMethodError|NameError)\b[\s\S]{0,200}?(?:undefined (?:local variable or )?method [`'](?<name>[^'`]+)['`])", "NoMethodError: undefined method 'size'"),
+        (r"^\s{0,1024}E\s{2,4096}(?:\w+Error)", "E   TypeError"),
+        (r"a\p{Alpha}{2,30000}b", "axyzb"),
+        (r"\p{javaLowerCase}+ no", "abc no"),
+        (r"\x41bcdef\d", "Abcdef1"),
+        (r"Abcdef\d", "Abcdef1"),
+        (r"\x{41}bcdef\d", "Abcdef1"),
+        (r"[^\]abcdefgh]+ no", "xyz no"),
+        (r"[]abcdefgh]{1,20000} no", "]] no"),
+        (r"(\w)\1{2,10000}", "aaaa"),
+        (r"\Qa[bc\E {3,90000}end", "a[bc    end"),
+        (r"(?x) a b c d e f", "abcdef"),
+    ]
+    rules = [Rule(f"r{i}", p) for i, (p, _) in enumerate(forms)]
+    guarded = [Rule(f"g{i}", "[a-z]", not_match=p) for i, (p, _) in enumerate(forms)]
+    logs = spark.createDataFrame([(i, "generic", t) for i, (_, t) in enumerate(forms)], "id int, ecosystem string, text string")
+    for r in match_rules(logs, rules + guarded).collect():
+        got = {m.rule_id for m in r.matches}
+        assert f"r{r.id}" in got and f"g{r.id}" not in got, (forms[r.id], got)
+    assert required_literal(r"missing header \d{1,3}") == "missing header " and required_literal(r"undefined reference\p{Alpha}{2,20}x") == "undefined reference"
