@@ -32,23 +32,35 @@ def weights(rows: DataFrame, idfs: DataFrame) -> DataFrame:
     return w.join(norm, "id").where("norm > 0").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
+def copies(rows: DataFrame) -> DataFrame:
+    """``(id, first)``: for each id with terms the smallest id that has the same terms as often."""
+    same = rows.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", "tf")))), 256).alias("bag"))
+    return same.join(same.groupBy("bag").agg(F.min("id").alias("first")), "bag").select("id", "first")
+
+
+def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = None, only: DataFrame | None = None) -> DataFrame:
     """``(a, b, cosine)`` with a < b: all pairs of vectors at ``threshold`` or above.
 
+    ``only`` holds the ``id`` to compare; idf counts are those of all rows.
+
     A vector is indexed by its rarest terms only, up to where the rest has a norm below the
     threshold: two vectors that share none of these cannot reach it. Terms in one row are never
-    joined, and no term's rows are compared beyond those that hold it among their rarest.
+    joined, and no term's rows are compared beyond those that hold it among their rarest. All that
+    two vectors share lies at their rarest common term or beyond, so by Cauchy-Schwarz the product
+    there plus the product of the norms beyond bounds their cosine; pairs below are not compared.
     """
     scratch = scratch or Scratch(rows.sparkSession)
     n = rows.agg(F.count_distinct("id")).first()[0]
     idfs = scratch.save(idf(rows, F.lit(n)))
-    w = scratch.save(weights(rows, idfs))
+    w = weights(rows, idfs)
+    w = scratch.save(w if only is None else w.join(only, "id", "left_semi"))
     order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
     ranked = w.join(idfs.select("term", "df"), "term").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # slightly below, so rounding loses nothing
-    keys = ranked.where((F.col("rest") >= threshold * threshold * (1 - 1e-9)) & (F.col("df") > 1)).select("term", "id")
+    keys = scratch.save(ranked.where((F.col("rest") >= threshold * threshold * (1 - 1e-9)) & (F.col("df") > 1)).select("term", "id", "w", F.sqrt(F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0))).alias("beyond")))
     a, b = keys.alias("a"), keys.alias("b")
-    cand = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    bound = F.col("a.w") * F.col("b.w") + F.col("a.beyond") * F.col("b.beyond")
+    cand = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")) & (bound >= threshold - 1e-7)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     vec = scratch.save(w.select("id", F.struct(F.xxhash64("term").alias("t"), "w").alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v")).select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w")))
     side = lambda x: vec.select(F.col("id").alias(x), F.col("t").alias("t" + x), F.col("w").alias("w" + x))
     both = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "wa", "tb", "wb")
@@ -76,11 +88,13 @@ def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cluster_members(meta: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``meta`` with ``cluster``, the smallest id of its single-link cluster; rows that resemble no
-    other are clusters of their own."""
+    other are clusters of their own. Of copies the first is compared and the others follow it."""
     scratch = Scratch(meta.sparkSession)
-    pairs = cosine_pairs(rows, threshold, scratch).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comp = min_label_components(pairs, scratch)
-    return scratch.save(meta.join(comp.withColumnRenamed("vertex", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))
+    first = scratch.save(copies(rows))
+    pairs = cosine_pairs(rows, threshold, scratch, first.where("id = first").select("id")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comp = min_label_components(pairs, scratch).withColumnRenamed("vertex", "first")
+    own = first.join(comp, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    return scratch.save(meta.join(own, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))
 
 
 def cluster_summary(members: DataFrame) -> DataFrame:

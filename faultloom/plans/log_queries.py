@@ -161,6 +161,11 @@ def analyze_logs(s, d):
     return pipeline.analyze(logs, _pack(s, d)).select("id", "ecosystem", "rule_id", "matched", "log_hash", "fingerprint")
 
 
+def _filled(df: DataFrame) -> DataFrame:
+    """Null ``tokens`` replaced by the terms of the normalised excerpt; a row without either has none."""
+    return df.withColumn("tokens", F.coalesce("tokens", X.term_counts(X.normalize("excerpt")), F.create_map().cast("map<string,int>")))
+
+
 _BAGS = "bags AS (SELECT id, unnest(map_entries(tokens)) AS e FROM {} WHERE tokens IS NOT NULL), t AS (SELECT id, e.key AS term, e.value AS tf FROM bags)"
 _IDF = "n AS (SELECT count(*)::DOUBLE AS n FROM {} WHERE tokens IS NOT NULL), i AS (SELECT term, count(*)::BIGINT AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY term)"
 
@@ -190,7 +195,7 @@ def vector_top(s, d):
 
 
 def _incoming(s, d) -> DataFrame:
-    return table(s, d, "incoming").where("tokens IS NOT NULL").withColumnRenamed("record_id", "id")
+    return _filled(table(s, d, "incoming")).withColumnRenamed("record_id", "id")
 
 
 _PAIRS = f"""WITH RECURSIVE {_BAGS.format('(SELECT record_id AS id, tokens FROM incoming)')}, {_IDF.format('incoming')}, {_W},
@@ -208,17 +213,34 @@ _CLUSTERS = f"""{_PAIRS}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a F
     v AS (SELECT cluster, rule_id, count(*) AS n FROM x WHERE matched GROUP BY 1, 2)"""
 
 
-def _clustered(s, d) -> DataFrame:
-    x = _incoming(s, d)
+def _clustered(x: DataFrame) -> DataFrame:
     return V.cluster_members(x.select("id", "rule_id", "matched", "ecosystem", "analyzed_at"), V.term_rows(x, "id", F.col("tokens")))
 
 
 @query(f"{_CLUSTERS} SELECT id, cluster FROM x")
 def cluster_members(s, d):
-    return _clustered(s, d).select("id", "cluster")
+    return _clustered(_incoming(s, d)).select("id", "cluster")
 
 
 @query(f"""{_CLUSTERS} SELECT cluster, coalesce((SELECT first(rule_id ORDER BY n DESC, rule_id) FROM v WHERE v.cluster = x.cluster), 'unmatched') AS label, count(*)::BIGINT AS n,
         array_to_string(list_sort(list(DISTINCT eco)), ',') AS ecosystems, epoch_us(max(analyzed_at)) AS last_seen_us FROM x GROUP BY cluster""")
 def failure_clusters(s, d):
-    return V.cluster_summary(_clustered(s, d)).select("cluster", "label", "n", F.array_join("ecosystems", ",").alias("ecosystems"), F.unix_micros("last_seen").alias("last_seen_us"))
+    return V.cluster_summary(_clustered(_incoming(s, d))).select("cluster", "label", "n", F.array_join("ecosystems", ",").alias("ecosystems"), F.unix_micros("last_seen").alias("last_seen_us"))
+
+
+@query(None)
+def history_pairs(s, d):
+    """``cosine_pairs`` over the whole history."""
+    return V.cosine_pairs(V.term_rows(_filled(_a(s, d)), "id", F.col("tokens")), 0.5).select("a", "b", F.bround("cosine", 4).alias("cosine"))
+
+
+@query(None)
+def history_cluster_members(s, d):
+    """``cluster_members`` over the whole history."""
+    return _clustered(_filled(_a(s, d))).select("id", "cluster")
+
+
+@query(None)
+def history_clusters(s, d):
+    """``failure_clusters`` over the whole history."""
+    return V.cluster_summary(_clustered(_filled(_a(s, d)))).select("cluster", "label", "n", F.array_join("ecosystems", ",").alias("ecosystems"), F.unix_micros("last_seen").alias("last_seen_us"))
