@@ -172,7 +172,7 @@ _IDF = "n AS (SELECT count(*)::DOUBLE AS n FROM {} WHERE tokens IS NOT NULL), i
 
 @query(f"WITH {_BAGS.format('analyses')}, {_IDF.format('analyses')} SELECT term, df, round_even(idf, 6) AS idf FROM i")
 def idf_terms(s, d):
-    a = _a(s, d).where("tokens IS NOT NULL")
+    a = _filled(_a(s, d))
     return V.idf(V.term_rows(a, "id", F.col("tokens")), F.lit(a.count())).select("term", "df", F.bround("idf", 6).alias("idf"))
 
 
@@ -183,7 +183,7 @@ _W = "w AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PART
     s AS (SELECT a.id AS query_id, b.id, round(sum(a.w * b.w), 12) AS score FROM w a JOIN w b USING (term) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) > 0)
     SELECT query_id, id, round_even(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 3""")
 def tfidf_top(s, d):
-    a = _a(s, d).where("tokens IS NOT NULL").select("id", F.col("tokens").alias("terms"))
+    a = _filled(_a(s, d)).select("id", F.col("tokens").alias("terms"))
     return V.tfidf_top(a.where("id % 20 = 0"), a).select("query_id", "id", F.bround("score", 4).alias("score"), "rank")
 
 

@@ -36,3 +36,9 @@ def test_clusters_of_records_without_stored_terms(spark):
     con = filled("incoming", "record_id")
     for name in ("cosine_pairs", "cluster_members", "failure_clusters"):
         same(con, L.ORACLE[name], L.QUERIES[name](spark, SF))
+
+
+def test_search_and_idf_of_rows_without_stored_terms(spark):
+    con = filled("analyses", "id")
+    for name in ("idf_terms", "tfidf_top"):
+        same(con, L.ORACLE[name], L.QUERIES[name](spark, SF))
