@@ -96,7 +96,7 @@ def match_groups(rows: DataFrame, pairs: DataFrame, row_id: str = "id", key: str
     keys = names.where(F.contains("ref", F.lit(":")))
     carried = rows.join(keys.withColumnRenamed("ref", "fp"), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("rep"))
     keyed = scratch.save(keys.join(carried.withColumnRenamed("fp", "ref"), "ref", "left").select("ref", F.coalesce("rep", missing).alias("vertex"), F.col("rep").isNotNull().alias("known")))
-    plain = names.where(~F.contains("ref", F.lit(":"))).select("ref", F.when(F.col("ref").rlike(r"^\d{1,18}$"), F.expr("try_cast(ref as bigint)")).otherwise(missing).alias("vertex"))
+    plain = names.where(~F.contains("ref", F.lit(":"))).select("ref", F.coalesce(F.when(F.col("ref").rlike(r"^\d+$"), F.expr("try_cast(ref as bigint)")), missing).alias("vertex"))
     vertex = scratch.save(keyed.select("ref", "vertex").union(plain))
     edges = refs.join(vertex.select(F.col("ref").alias("l"), F.col("vertex").alias("u")), "l").join(vertex.select(F.col("ref").alias("r"), F.col("vertex").alias("v")), "r").select("u", "v")
     # a row referred to by id belongs to its key's rows if the key is referred to as well

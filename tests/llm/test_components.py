@@ -78,3 +78,11 @@ def test_peel(spark, tail):
     assert start == 0 and visited.count() == (32 if tail == 0 else 31)
     comp = {r.vertex: r.component for r in connected_groups(both.union(spark.createDataFrame([(7, None), (200, 200)], "u long, v long"))).collect()}
     assert len({comp[i] for i in range(32)}) == 1 and comp[100] == comp[101] != comp[0] and comp[200] not in (comp[0], comp[100])
+
+
+def test_ids_of_19_digits(spark):
+    big, most = 10**18 + 7, 2**63 - 1
+    rows = [(big, "f:1", "", 0, 0), (most, "f:2", "", 0, 0), (3, "f:3", "", 0, 0)]
+    pairs = [(str(big), "3", "match", 1), (str(most), str(most + 1), "match", 2), (str(most + 1), "3", "match", 3)]
+    got = match_groups(spark.createDataFrame(rows, ROWS), spark.createDataFrame(pairs, PAIRS)).collect()
+    assert {r.id: r.group_id for r in got} == {big: 3, most: 3, 3: 3}
