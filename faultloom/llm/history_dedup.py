@@ -288,7 +288,7 @@ def _cogrouped(index: DataFrame, probes: DataFrame, window: int, run, shard_rows
     own = lambda df: df.select(*[F.col(c).alias(c) for c in ("ord", "batch", "at", "h")])  # noqa: E731  fresh names: both may be one table
     index, probes = own(index), own(probes)
     index = index.withColumn("block", block(F.col("at")))
-    probes = probes.withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("at") - window), block(F.col("at") + window)))))
+    probes = probes.withColumn("block", F.explode(F.sequence(block(F.col("at") - window), block(F.col("at") + window))))
     shards = (
         index.groupBy("block").agg(F.count("*").alias("n_i")).join(probes.groupBy("block").agg(F.count("*").alias("n_p")), "block")
         .select("block", F.ceil(F.col("n_i") / shard_rows).cast("int").alias("n_i"), F.ceil(F.col("n_p") / shard_rows).cast("int").alias("n_p"))
@@ -496,7 +496,7 @@ class AcceptedHistory:
     def _alike(self, probes: DataFrame, path: str) -> DataFrame:
         seg = self.spark.read.schema(_SEGMENT_SCHEMA).parquet(f"{path}/index")
         block = lambda c: F.floor(c / F.lit(BLOCK_US)).cast("long")
-        p = probes.withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("at") - self.window), block(F.col("at") + self.window)))))
+        p = probes.withColumn("block", F.explode(F.sequence(block(F.col("at") - self.window), block(F.col("at") + self.window))))
         n = p.groupBy("block").agg(F.ceil(F.count("*") / self.shard_rows).cast("int").alias("n_p"))
         p = p.join(n, "block").join(seg.select("block", "si"), "block").select(F.col("block").alias("block"), F.col("si").alias("si"), F.pmod(F.xxhash64("ord", F.lit(3)), F.col("n_p")).cast("int").alias("sp"), "ord", "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
         i = seg.join(n, "block").select("*", F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("sp")).drop("n_p")

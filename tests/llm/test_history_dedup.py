@@ -140,3 +140,16 @@ def test_chains_and_copies_over_many_parts(spark, monkeypatch, part_rows):
     other = [(100 + i, rng.randrange(1, 4), T0 + timedelta(minutes=rng.randrange(400)), f"g{rng.randrange(9)}", rng.choice([["hot", "copy", "x"], ["a", "b", "c", "d"], ["a", "b", "c"], None])) for i in range(40)]
     assert run(spark, [], chain) == brute([], chain) == set(range(1, 40, 2))
     assert run(spark, [], chain + other) == brute([], chain + other)
+
+
+@pytest.mark.parametrize("hours", [20, 60])
+def test_windows_of_more_than_half_a_block(spark, tmp_path, hours):
+    noon = datetime(2026, 1, 5, 12)
+    terms = lambda n: [f"t{n}-{x}" for x in range(30)]
+    old = [(noon + timedelta(hours=1), "f", terms(0)), (noon - timedelta(hours=hours), "f", terms(1)), (noon - timedelta(hours=hours, seconds=1), "f", terms(2))]
+    new = [(i, 1, noon, f"g{i}", terms(i)) for i in range(3)] + [(3, 1, noon, "h3", terms(9)), (4, 2, noon + timedelta(hours=2), "h4", terms(9))]
+    assert run(spark, old, new, window_seconds=hours * 3600) == {0, 1, 4}
+    held = AcceptedHistory(spark, str(tmp_path / "h"), window_seconds=hours * 3600)
+    held.accept(spark.createDataFrame([(*r, "x", "y", "z") for r in old], OLD), F.col("terms"))
+    batch = spark.createDataFrame([(*r, "x", "y", "z") for r in new[:3]], NEW)
+    assert {r.record_id for r in held.offer(batch, F.col("terms")).collect()} == {0, 1}
