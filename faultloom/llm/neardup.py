@@ -1,28 +1,38 @@
 """Near-duplicate records: all pairs of term sets with a likeness (Jaccard) of at least t.
 
 A term set is a bit vector; two sets of sizes a and b with likeness t or more lie within Hamming
-radius R = (1-t)/(1+t) * (a+b). Covering locality-sensitive hashing puts every vector into one
+radius f*(a+b), f = (1-t)/(1+t). Covering locality-sensitive hashing puts every vector into one
 table per structured bit mask, under the bits the mask selects, such that any two vectors within
 the radius agree in some table, with certainty and not just with some probability.
 
-Covering masks. Each coordinate i gets a code c(i) in GF(2)^q without the zero code; for every
-non-zero v there is a mask that selects the coordinates with <c(i), v> = 1. Coordinates in which
-two vectors differ span at most r dimensions; for r < q some non-zero v is orthogonal to them, so
-mask v selects none of them and the two agree in its table. With the coordinates split into parts
-by hash, p parts of q code bits cover the radius p*q - 1 by the pigeonhole principle.
-
-Sparse and dense coordinates. Vectors here are long and thin: terms in at most ``sparse_df`` rows
-get a part of their own each, whose single mask is the coordinate itself (empty selections are
-never stored). If two sets A and B share no sparse term, all their sparse terms differ, so what
-is left for the dense coordinates is at most s(A) + s(B) with s(X) = (1-t)/(1+t)*|X| - sparse(X).
-Where that is negative the first tables already cover the pair. The dense coordinates need masks
-only for the records whose s(X) leaves a radius, and only for that radius, which is measured
-over all records. So both kinds of tables together cover every pair within the radius.
-
-No first-level bucket holds more than ``sparse_df`` records (or occurrences/65536, if more), so a
-hot term cannot make a hot bucket. Records with equal term sets enter once. Within a bucket a
-128-bit parity sketch, whose Hamming distance never exceeds that of the sets, drops pairs outside
-the radius before anything is shuffled; survivors are verified exactly.
+Covering masks. Each coordinate i gets a part by hash and a code c(i) in GF(2)^q without the zero
+code; for every part and non-zero v there is a mask that selects the part's coordinates with
+<c(i), v> = 1. d coordinates that differ within a part leave at least 2^(q-d) - 1 of its masks
+untouched, so over p parts two vectors at distance r agree in at least M(r) tables
+(:func:`least_agreements`), which is positive up to r = p*q - 1.
+
+Terms of one row alone. A term that occurs in a single row always differs. So these are left out
+of the vectors and lower the radius of a pair to w(A) + w(B) with w(X) = f*|X| - singles(X).
+
+Tables grow with the size. A table family belongs to a range of sizes, its number of parts to the
+radius there; a pair meets in the family of its larger set, so a set enters its own family and,
+near the upper edge, the next one.
+
+Bounded buckets. Only buckets of at most ``bucket`` rows are paired. Larger ones, and empty
+selections, are refined: let a set have E empty and H overfull ones among its masks. A pair that
+meets in no live bucket has M(r) <= E + H on both sides, and as r <= 2w for the one of larger w,
+that one has M(2w) <= E + H as well. So only such sets, called open, are looked up once more, by
+exact prefixes in the global order (rare terms, then frequent ones): the smaller set's first
+a - ceil(2t/(1+t)*a) + 1 terms and the larger one's first b - ceil(t*b) + 1 terms share one. For
+all other pairs the masks are a proof by themselves.
+
+What tasks know of terms and buckets (shared, frequent, overfull) are bit arrays of fixed size,
+indexed by hash. A collision errs on the safe side only: a single term kept in the vectors, a rare
+term ordered among the frequent, a bucket refined instead of paired.
+
+Records with equal term sets enter once. Within a bucket a 128-bit parity sketch, whose Hamming
+distance never exceeds that of the sets, drops pairs outside the radius before anything is
+shuffled; survivors are verified exactly.
 """
 
 from __future__ import annotations
@@ -39,9 +49,14 @@ from pyspark.sql import types as T
 from faultloom.operators.components import min_label_components
 from faultloom.session import Scratch
 
-DENSE_LIMIT = 65_536
-Q = 4  # code bits of a dense part: 15 masks
-_KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+BUCKET = 1000
+FLAG_BITS = 1 << 26  # 8 MiB per bit array, whatever the data
+Q = 2  # code bits of a part: 3 masks
+FIRST_SIZE = 128  # sets up to this size share the first family of tables
+GROUP_ROWS = 50_000  # rows of sorted buckets paired together
+_FIELDS = [T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
+_KEYS = T.StructType(_FIELDS)
+_PREFIX = T.StructType([*_FIELDS, T.StructField("smaller", T.BooleanType()), T.StructField("open", T.BooleanType())])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,34 +81,70 @@ def parity_sketch(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(np.bitwise_xor.reduceat(np.where(m, one, np.uint64(0)), starts).view(np.int64) for m in (low, ~low))
 
 
-def is_dense(h: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    if not len(dense):
-        return np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(dense, h), len(dense) - 1)
-    return dense[at] == h
+def flag_array(hashes: DataFrame, bits: int = FLAG_BITS) -> np.ndarray:
+    """Bit array in which every value of the long column ``x`` is set at its hash.
+
+    At most bits/64 words reach the driver, whatever the number of values.
+    """
+    at = F.pmod(F.col("x"), F.lit(bits))
+    words = hashes.select(F.shiftrightunsigned(at, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(x, {bits}) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def flagged(flags: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = x.view(np.uint64) & np.uint64(len(flags) * 64 - 1)
+    return (flags[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def covering_keys(h: np.ndarray, row: np.ndarray, n_rows: int, radius: int, q: int = Q) -> np.ndarray:
-    """``(n_rows, tables)`` keys under structured masks that cover ``radius``.
+def covering_keys(h: np.ndarray, row: np.ndarray, n_rows: int, parts: int, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
+    """``(n_rows, tables)`` keys under structured masks that cover radius ``parts * q - 1``, and
+    which of them selected nothing.
 
-    ``h`` are the coordinates of all rows, ``row`` their row numbers. Rows within the radius have
-    an equal key in some table; each table's keys are distinct from any other table's.
+    ``h`` are the coordinates of all rows, ``row`` their row numbers. Each table's keys are
+    distinct from any other table's.
     """
-    parts = -(-(radius + 1) // q)
-    if parts == 1:
-        q = radius + 1
     m = mix(h)
     part = (m % np.uint64(parts)).astype(np.int64)
-    code = (mix(m) % np.uint64(2**q - 1)).astype(np.int64) + 1
+    code = ((m >> np.uint64(32)) % np.uint64(2**q - 1)).astype(np.int64) + 1
     weight = mix(m ^ np.uint64(0x5DEECE66D))
-    out = np.zeros((n_rows, parts * (2**q - 1)), np.uint64)
+    tables = parts * (2**q - 1)
+    out = np.zeros(n_rows * tables, np.uint64)
     ones = np.array([bin(x).count("1") & 1 for x in range(2**q)], bool)
+    base = row * tables + part * (2**q - 1) - 1
     for v in range(1, 2**q):
         sel = ones[code & v]
-        table = part[sel] * (2**q - 1) + v - 1
         with np.errstate(over="ignore"):
-            np.add.at(out, (row[sel], table), weight[sel])
-    return mix(out ^ mix(np.arange(out.shape[1]).astype(np.uint64) + np.uint64(1))[None, :])
+            np.add.at(out, base[sel] + v, weight[sel])
+    out = out.reshape(n_rows, tables)
+    return mix(out ^ mix(np.arange(tables).astype(np.uint64) + np.uint64(1 + (parts << 20)))[None, :]), out == 0
+
+
+def least_agreements(r: np.ndarray, parts: int, q: int = Q) -> np.ndarray:
+    """In how many of the tables two vectors at distance ``r`` agree at least."""
+    left = np.maximum(r, 0)
+    out = np.full(len(r), parts * (2**q - 1))
+    for k in range(q - 1, -1, -1):
+        step = np.minimum(left, parts)
+        out -= step * 2**k
+        left = left - step
+    return out
+
+
+def family_parts(level: int, f: Fraction, q: int = Q) -> int:
+    """Parts of the tables for sets of up to FIRST_SIZE * 2^level terms: the radius there is met."""
+    return max(1, -(-(FIRST_SIZE << level) * f.numerator // (q * f.denominator)))
+
+
+def _families(n: np.ndarray, likeness: Fraction) -> Iterator[tuple[int, np.ndarray]]:
+    """``(level, rows)``: families a set of each size belongs to as the smaller or larger of a pair."""
+    own = np.ceil(np.log2(np.maximum(n, 1) / FIRST_SIZE)).clip(0).astype(int)
+    top = np.ceil(np.log2(np.maximum(n * likeness.denominator // likeness.numerator, 1) / FIRST_SIZE)).clip(0).astype(int)
+    for level in range(int(own.min()), int(top.max()) + 1):
+        rows = np.flatnonzero((own <= level) & (top >= level))
+        if len(rows):
+            yield level, rows
 
 
 def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,26 +154,110 @@ def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return b.column(0).to_numpy(zero_copy_only=False), off - off[0], h
 
 
-def _slack(n: np.ndarray, sparse: np.ndarray, f: Fraction) -> np.ndarray:
-    """s(X) times the denominator of (1-t)/(1+t), a whole number."""
-    return n * f.numerator - sparse * f.denominator
-
-
-def _measure(dense: np.ndarray, f: Fraction):
+def _masked(off: np.ndarray, h: np.ndarray, shared: np.ndarray, overfull: np.ndarray | None, f: Fraction, likeness: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Live mask keys of a batch, their rows, and which rows are open."""
+    n = np.diff(off)
+    row = np.repeat(np.arange(len(n)), n)
+    known = flagged(shared, h)
+    singles = n - np.bincount(row[known], minlength=len(n))
+    reach = 2 * (n * f.numerator - singles * f.denominator) // f.denominator  # 2w
+    is_open = np.zeros(len(n), bool)
+    keys, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for level, some in _families(n, likeness):
+        number = np.full(len(n), -1)
+        number[some] = np.arange(len(some))
+        use = known & (number[row] >= 0)
+        parts = family_parts(level, f)
+        # rows by the slice, so that huge sets need no huge table of keys
+        step = max(1, 4_000_000 // (parts * (2**Q - 1)))
+        at_h, at_row = h[use], number[row[use]]
+        for s in range(0, len(some), step):
+            mine = (at_row >= s) & (at_row < s + step) if len(some) > step else slice(None)
+            count = min(step, len(some) - s)
+            k, empty = covering_keys(at_h[mine], at_row[mine] - s, count, parts)
+            k = k.view(np.int64)
+            full = flagged(overfull, k.ravel()).reshape(k.shape) & ~empty if overfull is not None else np.zeros(k.shape, bool)
+            who = some[s : s + count]
+            is_open[who] |= least_agreements(reach[who], parts) <= (empty | full).sum(1)
+            live = ~(empty | full)
+            keys.append(k[live])
+            rows.append(np.repeat(who, live.sum(1)))
+    return np.concatenate(keys), np.concatenate(rows), is_open
+
+
+def _emit(shared, overfull, f: Fraction, likeness: Fraction, bare: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            _, off, h = _sets(b)
-            sparse = np.add.reduceat(~is_dense(h, dense), off[:-1].astype(np.int64), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([int(_slack(np.diff(off), sparse, f).max())], pa.int64())], names=["slack"])
+            rep, off, h = _sets(b)
+            keys, r, _ = _masked(off, h, shared.value, overfull.value if overfull else None, f, likeness)
+            if bare:
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+                continue
+            s1, s2 = parity_sketch(h, off[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep[r]), pa.array(np.diff(off)[r].astype(np.int32)), pa.array(s1[r]), pa.array(s2[r])], names=_KEYS.names)
 
     return run
 
 
-def _emit(dense: np.ndarray, f: Fraction, most: int):
-    """``most``: the largest slack of any record, as in :func:`_slack`."""
-    radius = 2 * most // f.denominator
+def near(n_a, n_b, x1, x2, f: Fraction, likeness: Fraction) -> np.ndarray:
+    """Whether sizes and the XOR of the sketches allow the likeness."""
+    ok = np.minimum(n_a, n_b) * likeness.denominator >= np.maximum(n_a, n_b) * likeness.numerator
+    differ = np.bitwise_count(x1.view(np.uint64)).astype(np.int64) + np.bitwise_count(x2.view(np.uint64))
+    return ok & (differ * f.denominator <= (n_a + n_b) * f.numerator)
+
+
+def pairs_of_buckets(key, rep, n, s1, s2, f: Fraction, likeness: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one key, rows sorted by key, that sizes and sketches allow."""
+    end = np.searchsorted(key, key, "right")
+    at = np.arange(len(key))
+    a, b = [], []
+    step = 1
+    while len(at := at[at + step < end[at]]):
+        to = at + step
+        ok = near(n[at], n[to], s1[at] ^ s1[to], s2[at] ^ s2[to], f, likeness)
+        a.append(rep[at[ok]])
+        b.append(rep[to[ok]])
+        step += 1
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _pair_up(f: Fraction, likeness: Fraction):
+    """Buckets, sorted by key, are paired some together; the last one waits for its rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def work(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column("key").to_numpy()
+            stop = len(key) if final else int(np.searchsorted(key, key[-1], "left"))
+            cols = [t.column(c).to_numpy()[:stop] for c in ("rep", "n", "s1", "s2")]
+            a, b = pairs_of_buckets(key[:stop], cols[0], cols[1].astype(np.int64), cols[2], cols[3], f, likeness)
+            held = t.slice(stop).to_batches()
+            rows = len(key) - stop
+            if len(a):
+                both = np.unique(np.rec.fromarrays([a, b]))  # one pair meets in many tables
+                yield pa.RecordBatch.from_arrays([pa.array(both.f0.copy()), pa.array(both.f1.copy())], names=["a", "b"])
+
+        for x in batches:
+            if x.num_rows:
+                held.append(x)
+                rows += x.num_rows
+                if rows >= GROUP_ROWS:
+                    yield from work(False)
+        if held:
+            yield from work(True)
+
+    return run
+
+
+def _prefixes(shared, frequent, overfull, f: Fraction, likeness: Fraction):
+    """Prefix terms of every set, in the order: rare, frequent, and by hash among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,50 +265,58 @@ def _emit(dense: np.ndarray, f: Fraction, most: int):
                 continue
             rep, off, h = _sets(b)
             n = np.diff(off)
-            starts = off[:-1]
             row = np.repeat(np.arange(len(n)), n)
-            s1, s2 = parity_sketch(h, starts)
-            thick = is_dense(h, dense)
-            keys, rows = [mix(h[~thick] ^ 0x2545F491).view(np.int64)], [row[~thick]]
-            if most >= 0:
-                sparse = np.add.reduceat(~thick, starts, dtype=np.int64)
-                part = np.flatnonzero(_slack(n, sparse, f) >= -most)
-                if len(part):
-                    number = np.full(len(n), -1)
-                    number[part] = np.arange(len(part))
-                    of = number[row]
-                    use = thick & (of >= 0)
-                    k = covering_keys(h[use], of[use], len(part), radius)
-                    keys.append(k.view(np.int64).ravel())
-                    rows.append(np.repeat(part, k.shape[1]))
-            r = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(rep[r]), pa.array(n[r].astype(np.int32)), pa.array(s1[r]), pa.array(s2[r])], names=_KEYS.names)
+            known = flagged(shared.value, h)
+            _, _, is_open = _masked(off, h, shared.value, overfull.value, f, likeness)
+            kind = np.where(known, 1 + flagged(frequent.value, h), 0)
+            o = np.lexsort((h, kind, row))
+            place = np.arange(len(h)) - np.repeat(off[:-1], n)  # from 0, in the order
+            p, q = likeness.numerator, likeness.denominator
+            as_larger = n + (-p * n) // q + 1
+            as_smaller = n + (-2 * p * n) // (p + q) + 1
+            use = (kind[o] > 0) & (place < as_larger[row])
+            r = row[use]
+            s1, s2 = parity_sketch(h, off[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[o][use]), pa.array(rep[r]), pa.array(n[r].astype(np.int32)), pa.array(s1[r]), pa.array(s2[r]), pa.array(place[use] < as_smaller[r]), pa.array(is_open[r])], names=_PREFIX.names
+            )
 
     return run
 
 
-def similar_sets(sets: DataFrame, likeness: Fraction = Fraction(7, 10), sparse_df: int = 1000, scratch: Scratch | None = None) -> DataFrame:
+def candidate_pairs(sets: DataFrame, likeness: Fraction, bucket: int, scratch: Scratch, bits: int = FLAG_BITS) -> tuple[DataFrame, DataFrame]:
+    """``(by masks, by prefixes)``, both ``(a, b)``: what live buckets and the refinement propose."""
+    f = (1 - likeness) / (1 + likeness)
+    sc = sets.sparkSession.sparkContext
+    counts = scratch.save(sets.select(F.explode("h").alias("x")).groupBy("x").count().where("count > 1"))
+    shared = sc.broadcast(flag_array(counts, bits))
+    frequent = sc.broadcast(flag_array(counts.where(F.col("count") > bucket), bits))
+    full = sets.mapInArrow(_emit(shared, None, f, likeness, True), "key long").groupBy("key").count().where(F.col("count") > bucket)
+    overfull = sc.broadcast(flag_array(full.select(F.col("key").alias("x")), bits))
+    keys = sets.mapInArrow(_emit(shared, overfull, f, likeness, False), _KEYS)
+    masks = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(f, likeness), "a long, b long")
+    prefix = sets.mapInArrow(_prefixes(shared, frequent, overfull, f, likeness), _PREFIX)
+    x, y = prefix.alias("x"), prefix.alias("y")
+    # the smaller set is x; of equal sizes each may be either
+    meet = (
+        (F.col("x.key") == F.col("y.key")) & F.col("x.smaller") & (F.col("x.open") | F.col("y.open")) & (F.col("x.rep") != F.col("y.rep"))
+        & (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") * likeness.denominator >= F.col("y.n") * likeness.numerator)
+        & ((F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))) * f.denominator <= (F.col("x.n") + F.col("y.n")) * f.numerator)
+    )
+    refined = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return masks, refined
+
+
+def similar_sets(sets: DataFrame, likeness: Fraction = Fraction(7, 10), bucket: int = BUCKET, scratch: Scratch | None = None, bits: int = FLAG_BITS, masks_only: bool = False) -> DataFrame:
     """``(a, b)`` with a < b: all pairs of ``sets (rep long, h array<long> sorted)`` within likeness.
 
     ``rep`` must be unique and sets distinct and not empty; equal sets are to be brought in once.
+    With ``masks_only`` the refinement of overfull buckets is left out, to measure what the masks
+    find alone.
     """
     scratch = scratch or Scratch(sets.sparkSession)
-    f = (1 - likeness) / (1 + likeness)
-    counts = sets.select(F.explode("h").alias("t")).groupBy("t").count()
-    total = sets.agg(F.sum(F.size("h"))).first()[0] or 0
-    # at most DENSE_LIMIT terms can exceed this count, so the list is bounded whatever the data
-    limit = max(sparse_df, total // DENSE_LIMIT)
-    dense = np.array(sorted(r.t for r in counts.where(F.col("count") > limit).select("t").toLocalIterator()), np.int64)
-    most = sets.mapInArrow(_measure(dense, f), "slack long").agg(F.max("slack")).first()[0]
-    keys = sets.mapInArrow(_emit(dense, f, -1 if most is None else most), _KEYS)
-    a, b = keys.alias("a"), keys.alias("b")
-    near = (
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.rep") < F.col("b.rep"))
-        & (F.least("a.n", "b.n") * likeness.denominator >= F.greatest("a.n", "b.n") * likeness.numerator)
-        & ((F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))) * f.denominator <= (F.col("a.n") + F.col("b.n")) * f.numerator)
-    )
-    cand = scratch.save(a.join(b, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
+    masks, refined = candidate_pairs(sets, likeness, bucket, scratch, bits)
+    cand = scratch.save((masks if masks_only else masks.union(refined)).distinct())
     ids = cand.select(F.col("a").alias("rep")).union(cand.select("b")).distinct()
     some = scratch.save(sets.join(ids, "rep", "left_semi"))
     both = cand.join(some.select(F.col("rep").alias("a"), F.col("h").alias("ha")), "a").join(some.select(F.col("rep").alias("b"), F.col("h").alias("hb")), "b")
@@ -181,7 +324,7 @@ def similar_sets(sets: DataFrame, likeness: Fraction = Fraction(7, 10), sparse_d
     return both.where(F.col("i") * likeness.denominator >= (F.size("ha") + F.size("hb") - F.col("i")) * likeness.numerator).select("a", "b")
 
 
-def _classes(rows: DataFrame, terms: Column, row_id: str, likeness: Fraction, sparse_df: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _classes(rows: DataFrame, terms: Column, row_id: str, likeness: Fraction, bucket: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(ids (id), copies (id, rep), pairs (a, b))``: rows of equal sets point to their smallest id,
     and pairs are those of representatives."""
     base = rows.select(F.col(row_id).cast("long").alias("id"), term_hashes(terms).alias("h")).where("id IS NOT NULL AND size(h) > 0")
@@ -189,10 +332,10 @@ def _classes(rows: DataFrame, terms: Column, row_id: str, likeness: Fraction, sp
     classes = base.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m")
     copies = scratch.save(base.select("id", "k1", "k2").join(classes, ["k1", "k2"]).where("id <> rep").select("id", "rep").distinct())
     sets = base.join(copies, "id", "left_anti").select(F.col("id").alias("rep"), "h")
-    return base.select("id"), copies, scratch.save(similar_sets(sets, likeness, sparse_df, scratch))
+    return base.select("id"), copies, scratch.save(similar_sets(sets, likeness, bucket, scratch))
 
 
-def similar_pairs(rows: DataFrame, terms: Column, row_id: str = "id", likeness: Fraction = Fraction(7, 10), sparse_df: int = 1000) -> DataFrame:
+def similar_pairs(rows: DataFrame, terms: Column, row_id: str = "id", likeness: Fraction = Fraction(7, 10), bucket: int = BUCKET) -> DataFrame:
     """``(id_a, id_b)`` with id_a < id_b: all pairs of rows whose term sets are alike enough.
 
     ``terms`` is an array of strings (repeats count once). Rows with no terms, a null array or a
@@ -201,7 +344,7 @@ def similar_pairs(rows: DataFrame, terms: Column, row_id: str = "id", likeness:
     Terms are compared by 64-bit hashes.
     """
     scratch = Scratch(rows.sparkSession)
-    _, copies, pairs = _classes(rows, terms, row_id, likeness, sparse_df, scratch)
+    _, copies, pairs = _classes(rows, terms, row_id, likeness, bucket, scratch)
     heads = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(copies.select("rep")).distinct()
     members = scratch.save(copies.select("rep", "id").union(heads.select("rep", F.col("rep").alias("id"))))
     x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
@@ -211,7 +354,7 @@ def similar_pairs(rows: DataFrame, terms: Column, row_id: str = "id", likeness:
     return across.union(left.join(right, "rep").where("id_a < id_b").select("id_a", "id_b"))
 
 
-def similar_groups(rows: DataFrame, terms: Column, row_id: str = "id", likeness: Fraction = Fraction(7, 10), sparse_df: int = 1000) -> DataFrame:
+def similar_groups(rows: DataFrame, terms: Column, row_id: str = "id", likeness: Fraction = Fraction(7, 10), bucket: int = BUCKET) -> DataFrame:
     """``(id, group_id, n_links)``: every row with terms, the smallest id it reaches over pairs
     alike enough, and the number of its partners.
 
@@ -219,7 +362,7 @@ def similar_groups(rows: DataFrame, terms: Column, row_id: str = "id", likeness:
     :func:`similar_pairs`; a row without partners is its own group.
     """
     scratch = Scratch(rows.sparkSession)
-    ids, copies, pairs = _classes(rows, terms, row_id, likeness, sparse_df, scratch)
+    ids, copies, pairs = _classes(rows, terms, row_id, likeness, bucket, scratch)
     size = copies.groupBy("rep").agg((F.count("*") + 1).alias("m"))
     both = pairs.union(pairs.select("b", "a"))
     links = both.join(size, both.b == size.rep, "left").groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("m", F.lit(1))).alias("others"))

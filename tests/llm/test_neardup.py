@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultloom.llm.neardup import covering_keys, parity_sketch, similar_groups, similar_pairs
+from faultloom.llm.neardup import covering_keys, flag_array, flagged, least_agreements, parity_sketch, similar_groups, similar_pairs, similar_sets, term_hashes
 
 SCHEMA = "id long, terms array<string>, h string, rep string, key string"
 
@@ -31,16 +31,16 @@ def edited(rng, base, vocab, n):
     return sorted(t)
 
 
-@pytest.mark.parametrize("sparse_df", [1000, 8, 0])
-def test_matches_brute_force(spark, sparse_df):
-    """With few sparse terms or none, the dense masks alone have to find every pair."""
-    rng = random.Random(sparse_df)
+@pytest.mark.parametrize("bucket", [1000, 8, 0])
+def test_matches_brute_force(spark, bucket):
+    """With overfull buckets, down to all of them, the refinement has to find every pair."""
+    rng = random.Random(bucket)
     vocab = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(60):
         base = rng.sample(vocab, rng.choice([1, 2, 3, 5, 9, 14]))
         rows += [(3 * i + k, edited(rng, base, vocab, rng.randrange(4))) for k in range(3)]
-    got = run(spark, rows, sparse_df=sparse_df)
+    got = run(spark, rows, bucket=bucket)
     assert len(got) == len(set(got)) and set(got) == brute(rows, Fraction(7, 10))
 
 
@@ -52,21 +52,57 @@ def test_edges(spark):
 
 def test_a_third_of_the_rows_are_copies(spark):
     rows = [(i, ["hot", "copy"] if i % 3 == 0 else [f"u{i}", f"v{i}"]) for i in range(90)]
-    assert len(run(spark, rows, sparse_df=4)) == 30 * 29 // 2
+    assert len(run(spark, rows, bucket=4)) == 30 * 29 // 2
 
 
-@pytest.mark.parametrize("radius", [0, 1, 3, 4, 9])
-def test_masks_cover_the_radius(radius):
-    rng = np.random.default_rng(radius)
+@pytest.mark.parametrize("parts, q", [(1, 1), (1, 2), (2, 2), (5, 2), (3, 4)])
+def test_masks_cover_the_radius(parts, q):
+    rng = np.random.default_rng(parts * q)
     for _ in range(200):
+        r = int(rng.integers(0, parts * q))
         base = rng.integers(-(2**62), 2**62, size=30)
-        other = base.copy()
-        drop = rng.choice(30, size=rng.integers(0, radius + 1), replace=False)
-        other = np.append(np.delete(other, drop), rng.integers(-(2**62), 2**62, size=radius - len(drop)))
+        drop = rng.choice(30, size=rng.integers(0, r + 1), replace=False)
+        other = np.append(np.delete(base, drop), rng.integers(-(2**62), 2**62, size=r - len(drop)))
         h = np.append(base, other)
         row = np.repeat([0, 1], [len(base), len(other)])
-        k = covering_keys(h, row, 2, radius)
-        assert (k[0] == k[1]).any()
+        k, _ = covering_keys(h, row, 2, parts, q)
+        assert (k[0] == k[1]).sum() >= least_agreements(np.array([r]), parts, q)[0] > 0
+
+
+def test_masks_alone_find_pairs_within_their_radius(spark):
+    """Sets of 60 terms of which some occur nowhere else: no refinement is needed."""
+    rng = random.Random(3)
+    rows, true = [], set()
+    for i in range(0, 400, 2):
+        base = [f"{i}-{k}" for k in range(55)]
+        rows += [(i, base + [f"a{i}-{k}" for k in range(4)]), (i + 1, base[: 55 - i % 9] + [f"b{i}-{k}" for k in range(4)])]
+        true.add((i, i + 1))
+    df = spark.createDataFrame(rows, "rep long, t array<string>").select("rep", term_hashes(F.col("t")).alias("h"))
+    got = {(r.a, r.b) for r in similar_sets(df, masks_only=True).collect()}
+    assert got == true
+
+
+def test_collisions_in_flag_arrays_lose_nothing(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    bases = [rng.sample(vocab, 20) for _ in range(15)]
+    rows = [(i, edited(rng, rng.choice(bases), vocab, rng.randrange(5))) for i in range(90)]
+    rows = [r for i, r in enumerate(rows) if set(r[1]) not in [set(x[1]) for x in rows[:i]]]
+    df = spark.createDataFrame(rows, "rep long, t array<string>").select("rep", term_hashes(F.col("t")).alias("h"))
+    got = {(r.a, r.b) for r in similar_sets(df, bucket=5, bits=64).collect()}
+    assert got == brute(rows, Fraction(7, 10))
+
+
+def test_flags(spark):
+    x = [-(2**63), -1, 0, 1, 63, 64, 2**62]
+    f = flag_array(spark.createDataFrame([(v,) for v in x], "x long"), 1 << 12)
+    assert flagged(f, np.array(x)).all() and not flagged(f, np.array([2, 62, 65, 1000])).any()
+
+
+def test_sizes_of_neighbouring_families_meet(spark):
+    t = [f"t{i}" for i in range(400)]
+    rows = [(1, t[:100]), (2, t[:128]), (3, t[:129]), (4, t[:140]), (5, t[:256]), (6, t[:257]), (7, t[:365])]
+    assert set(run(spark, rows)) == brute(rows, Fraction(7, 10))
 
 
 def test_sketch_is_a_lower_bound():
