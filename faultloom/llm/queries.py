@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultloom.llm.components import match_groups
+from faultloom.llm.heavy_hitters import frequent_items
 from faultloom.llm.history_dedup import refused_records
 from faultloom.llm.leakage import leaked_spans
 from faultloom.llm.neardup import similar_groups, similar_pairs
@@ -15,6 +17,15 @@ from faultloom.plans.log_queries import TERMS_SQL
 from faultloom.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent_items(table(spark, sf_dir, "analyses"), "fingerprint", 0.01).select(F.col("item").alias("fingerprint"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same survivors with their counts."""
+    return frequent_items(table(spark, sf_dir, "analyses"), "fingerprint", 0.01).select(F.col("item").alias("fingerprint"), "n_rows")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "match_pairs"))
 
@@ -48,10 +59,16 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
+_FREQUENT = """
+    SELECT fingerprint, count(*)::BIGINT AS n_rows FROM analyses WHERE fingerprint IS NOT NULL
+    GROUP BY fingerprint HAVING count(*) * 100 >= (SELECT count(*) FROM analyses)
+"""
 ORACLE: dict[str, str] = {
+    "p2_found": f"SELECT fingerprint FROM ({_FREQUENT})",
+    "p2_counts": _FREQUENT,
     "p3_found": f"""
         WITH RECURSIVE q AS (
             SELECT {_TRIM.format('left_ref')} AS l, {_TRIM.format('right_ref')} AS r FROM match_pairs WHERE lower({_TRIM.format('verdict')}) = 'match'
