@@ -1,12 +1,10 @@
-"""Queries of the general problems 1, 2 and 6 over their whole tables."""
+"""Queries of the general problems 1 and 6 over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faultloom.operators.gap_scan import reappearances
-from faultloom.operators.heavy_hitters import frequent_items
 from faultloom.operators.log_entries import log_entries
 from faultloom.session import table
 
@@ -17,28 +15,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_entries(table(spark, sf_dir, "analyses"))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequent_items(table(spark, sf_dir, "analyses"), "fingerprint", 0.01).select(F.col("item").alias("fingerprint"))
-
-
-def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same survivors with their counts."""
-    return frequent_items(table(spark, sf_dir, "analyses"), "fingerprint", 0.01).select(F.col("item").alias("fingerprint"), "n_rows")
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reappearances(table(spark, sf_dir, "analyses"), {"fingerprint": "fingerprint", "rule_id": "rule_id"}, "analyzed_at", "id", SILENCE_SECONDS)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_counts": p2_counts, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
 
-_FREQUENT = """
-    SELECT fingerprint, count(*)::BIGINT AS n_rows FROM analyses WHERE fingerprint IS NOT NULL
-    GROUP BY fingerprint HAVING count(*) * 100 >= (SELECT count(*) FROM analyses)
-"""
 ORACLE = {
-    "p2_found": f"SELECT fingerprint FROM ({_FREQUENT})",
-    "p2_counts": _FREQUENT,
     "p6_found": """
         WITH k AS (
             SELECT 'fingerprint' AS key_kind, fingerprint AS key_value, id, analyzed_at FROM analyses
