@@ -75,8 +75,11 @@ def _iso(g: tuple, zone: str | None = None) -> int:
     return _day(int(g[0]), int(g[1]), int(g[2])) * 86_400_000 + _clock(*g[3:7]) - _offset(zone)
 
 
-def _without_year(month: int, day: int, ms: int, until: int) -> int:
-    """The latest such instant not after ``until`` (epoch ms)."""
+def _without_year(month: int, day: int, ms: int, until: int | None) -> int | None:
+    """The latest such instant not after ``until`` (epoch ms); none without that bound."""
+    if until is None:
+        _day(2000, month, day)
+        return None
     year = datetime.fromtimestamp(until / 1000, timezone.utc).year
     for y in range(year, year - 9, -1):
         try:
@@ -88,7 +91,9 @@ def _without_year(month: int, day: int, ms: int, until: int) -> int:
     raise ValueError("no such day")
 
 
-def _without_date(ms: int, until: int) -> int:
+def _without_date(ms: int, until: int | None) -> int | None:
+    if until is None:
+        return None
     t = until - until % 86_400_000 + ms
     return t if t <= until else t - 86_400_000
 
@@ -115,7 +120,7 @@ def level_name(s: str | None) -> str | None:
     return LEVELS.get(s.lower()) if s else None
 
 
-Fields = tuple[int, str, str, str]
+Fields = tuple[int | None, str, str, str]
 
 
 @dataclass(frozen=True)
@@ -126,7 +131,7 @@ class Layout:
     name: str
     anchors: tuple[str, ...]
     pattern: re.Pattern
-    read: Callable[[re.Match, int], Fields]
+    read: Callable[[re.Match, int | None], Fields]
 
 
 def _need(level: str | None) -> str:
@@ -135,7 +140,7 @@ def _need(level: str | None) -> str:
     return v
 
 
-def _read_json(m: re.Match, until: int) -> Fields:
+def _read_json(m: re.Match, until: int | None) -> Fields:
     o = json.loads(m[0].rstrip())
     if not isinstance(o, dict):
         raise ValueError("no record")
@@ -163,7 +168,7 @@ def _any_time(v: object) -> int:
 _PAIR = re.compile(r'([A-Za-z_@][\w.@-]*)=(?:"((?:[^"\\\n]|\\.)*)"|([^\s"]*))(?:[ \t]+|$)')
 
 
-def _read_logfmt(m: re.Match, until: int) -> Fields:
+def _read_logfmt(m: re.Match, until: int | None) -> Fields:
     o: dict[str, str] = {}
     line, at = m[0].rstrip(), 0
     while at < len(line):
@@ -222,7 +227,7 @@ class EntryParser:
             self.auto.add_word(a, (len(a) - 1, tuple((x.pattern.match, x.read) for x in layouts if x in mine)))
         self.auto.make_automaton()
 
-    def parse(self, text: str, until_ms: int) -> list[tuple[int, Fields]]:
+    def parse(self, text: str, until_ms: int | None) -> list[tuple[int, Fields]]:
         """``[(offset of the line in the escaped-free text, fields)]`` in text order."""
         found: dict[int, tuple] = {}
         for end, (back, layouts) in self.auto.iter("\n" + text):
@@ -239,7 +244,7 @@ class EntryParser:
                         continue
         return out
 
-    def entries(self, raw: str, until_ms: int) -> list[tuple[int, int, int, str, str, str, int]]:
+    def entries(self, raw: str, until_ms: int | None) -> list[tuple[int, int | None, str, str, str, int]]:
         """Rows ``(entry_no, ts_ms, level, component, message, n_lines)`` of one text."""
         text = raw.replace("\r\n", "\n")
         if "\x1b" in text:
@@ -259,9 +264,9 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         cols: list[list] = [[] for _ in range(7)]
         add = [c.append for c in cols]
         for rid, until, text in zip(*(c.to_pylist() for c in b.columns)):
-            if not text or until is None:
+            if not text:
                 continue
-            for row in parser.entries(text, until // 1000):
+            for row in parser.entries(text, None if until is None else until // 1000):
                 add[0](rid)
                 for k in range(6):
                     add[k + 1](row[k])
@@ -273,8 +278,9 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def log_entries(df: DataFrame, text: str = "excerpt", row_id: str = "id", seen_at: str = "analyzed_at") -> DataFrame:
     """``(id, entry_no, ts_ms, level, component, message, n_lines)``: one row per log entry.
 
-    Lines before the first header belong to no entry. Null, empty or headerless texts and rows
-    with a null ``seen_at`` give no rows; a null id stays null; repeated rows each give their own
+    Lines before the first header belong to no entry. Null, empty or headerless texts give no
+    rows; with a null ``seen_at`` entries come out all the same, and ``ts_ms`` is null only for
+    those that print no year or no date; a null id stays null; repeated rows each give their own
     entries; an empty table gives no rows; texts of any length are parsed whole; other columns
     are never read, whatever their names.
     """

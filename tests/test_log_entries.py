@@ -56,5 +56,12 @@ def test_frame_edges(spark):
     long = "2026-01-08T23:14:16Z INFO [a] x\n" + "y\n" * 200_000
     rows = [(1, at, None, "x", 1), (2, at, "", "x", 1), (3, at, "no header", "x", 1), (4, None, "2026-01-08T23:14:16Z INFO [a] x", "x", 1), (None, at, "2026-01-08T23:14:16Z INFO [a] x", "x", 1), (5, at, long, "x", 1), (5, at, long, "x", 1)]
     got = log_entries(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r.id or 0, r.n_lines) for r in got) == [(0, 1), (5, 200_001), (5, 200_001)]
+    assert sorted((r.id or 0, r.n_lines) for r in got) == [(0, 1), (4, 1), (5, 200_001), (5, 200_001)]
     assert log_entries(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_without_a_bound_only_incomplete_times_are_null(spark):
+    text = "2024-01-02T03:04:05Z ERROR [a.b] boom\n02-29 08:19:29.911 24765  4767 V proxy: x\n[11:59:59] a_b: crit: z\n02-30 08:19:29.911 24765  4767 V proxy: no day"
+    df = spark.createDataFrame([(1, None, text)], "id long, analyzed_at timestamp, excerpt string")
+    got = [(r.entry_no, r.ts_ms, r.level, r.n_lines) for r in log_entries(df).collect()]
+    assert got == [(1, ms(2024, 1, 2, 3, 4, 5), "ERROR", 1), (2, None, "TRACE", 1), (3, None, "FATAL", 2)]
