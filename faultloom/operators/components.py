@@ -1,19 +1,66 @@
 """Connected components by minimum labels with star contraction.
 
 Each round replaces edges by links towards the smallest neighbour (large star, then small star),
-so a path of length d shrinks in O(log d) rounds instead of d. Edges never outgrow the input.
+so a path of length d shrinks in O(log d) rounds instead of d. Before that every task contracts
+what it holds, a bounded number of edges at a time, to links towards the smallest vertex reached
+within them; nothing is shuffled for it and rounds become fewer. Edges never outgrow the input.
+Hubs: minima are combined before they are shuffled, and the join with a hub's neighbours is cut by
+adaptive execution as any skewed join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultloom.session import Scratch
 
 
+CONTRACT_EDGES = 1_000_000
+
+
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from every vertex of the edges to the smallest one it reaches, itself left out."""
+    names, at = np.unique(np.append(u, v), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (label[a], label[b], a, b):
+            np.minimum.at(new, x, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def links() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        u, v = contracted(t.column("u").to_numpy(), t.column("v").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= CONTRACT_EDGES:
+            yield links()
+            held = []
+    if held:
+        yield links()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.union(e.select("v", "u"))
+    both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
@@ -40,7 +87,7 @@ def min_label_components(edges: DataFrame, scratch: Scratch | None = None, max_r
     state = {k: F.expr(x) for k, x in _STATE.items()}
     e, before = scratch.save_with(e0.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **state)
     for _ in range(max_rounds if before["n"] else 0):
-        nxt, now = scratch.save_with(_small_star(_large_star(e)), **state)
+        nxt, now = scratch.save_with(_small_star(_large_star(e.mapInArrow(_contract, "u long, v long"))), **state)
         scratch.drop(e)
         e = nxt
         if now == before:

@@ -59,3 +59,26 @@ def test_tops(spark):
     got = [(r.id, r["rank"]) for r in V.vector_top(v.where("id = 1"), v, 5).orderBy("rank").collect()]
     assert got == [(2, 1), (3, 2)]
     assert V.vector_top(v.where("id = 9"), v).count() == 0
+
+
+def test_local_contraction_keeps_components():
+    import numpy as np
+
+    from faultloom.operators.components import contracted
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 200):
+        u, v = rng.integers(0, 150, n), rng.integers(0, 150, n)
+        u, v = np.append(u, np.arange(1000, 1200)), np.append(v, np.arange(1001, 1201))  # a chain besides
+        parent = {int(x): int(x) for x in np.append(u, v)}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist()):
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        a, b = contracted(u, v)
+        assert dict(zip(a.tolist(), b.tolist())) == {x: find(x) for x in parent if find(x) != x}
