@@ -16,6 +16,8 @@ from faultloom.functions.text import utrim
 from faultloom.operators.components import min_label_components
 from faultloom.session import Scratch
 
+SALTS = 16
+
 
 def peel_giant(edges: DataFrame, scratch: Scratch, tail: float = 0.125, max_rounds: int = 24) -> tuple[int | None, DataFrame | None, DataFrame]:
     """``(start, visited (vertex), rest)`` over symmetric ``edges (u, v)``.
@@ -60,53 +62,62 @@ def connected_groups(edges: DataFrame, scratch: Scratch | None = None) -> DataFr
     either direction of an edge change nothing; null ends are dropped; no edges give no rows.
     """
     scratch = scratch or Scratch(edges.sparkSession)
-    plain = scratch.save(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL"))
-    both = scratch.save(plain.union(plain.select("v", "u")).distinct())
+    plain = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL")
+    both = scratch.save(plain.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
     start, visited, rest = peel_giant(both.where("u <> v"), scratch)
-    loops = both.where("u = v")
     labels = scratch.save(min_label_components(rest, scratch))
     if visited is None:
         tops = labels
     else:
         of_start = labels.where(F.col("vertex") == start).agg(F.max("component")).first()[0]
         tops = labels.where(F.col("vertex") != start).union(visited.select("vertex", F.lit(start if of_start is None else of_start).cast("long").alias("component")))
-    alone = loops.select(F.col("u").alias("vertex")).join(tops, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component"))
+    alone = both.where("u = v").select(F.col("u").alias("vertex")).join(tops, "vertex", "left_anti").select("vertex", F.col("vertex").alias("component"))
     return tops.union(alone)
 
 
+def salted(big: DataFrame, small: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """``big LEFT JOIN small`` on ``key``, a key's rows dealt over ``salts`` tasks by ``by``.
+
+    ``small`` has one row a key and is repeated ``salts`` times, so the hottest key of ``big``
+    makes no task larger than a share of it.
+    """
+    dealt = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(dealt, [key, "salt"], "left").drop("salt")
+
+
 def match_groups(rows: DataFrame, pairs: DataFrame, row_id: str = "id", key: str = "fingerprint", left: str = "left_ref", right: str = "right_ref", verdict: str = "verdict") -> DataFrame:
     """``(id, group_id)``: every row in a group of two or more rows, with the group's smallest id.
 
-    A reference is a row id in decimal, or a key (it contains ``:``) that stands for all rows
-    carrying it and links them to each other and to the other side. Pairs count if the verdict is
-    ``match`` in any letter case and both references are present once trimmed; repeats, either
-    direction and self pairs change nothing, except that a key paired with itself still links its
-    rows. References to unknown rows or keys link what refers to them but are not put out. Rows
-    with a null id are left out, rows with a null key are reached by id only; repeated rows come
-    out once; other columns are not read. Empty tables give no rows.
+    A reference is a row id in decimal as the number is written (any bigint; other spellings such
+    as leading zeros name no row), or a key (it contains ``:``) that stands for all rows carrying
+    it and links them to each other and to the other side. Pairs count if the verdict is ``match``
+    in any letter case and both references are present once trimmed; repeats, either direction and
+    self pairs change nothing, except that a key paired with itself still links its rows.
+    References to unknown rows or keys link what refers to them but are not put out. Rows with a
+    null id are left out, rows with a null key are reached by id only; repeated rows come out
+    once; other columns are not read. Empty tables give no rows.
+
+    The vertices of the graph are the references themselves, numbered once, so the graph has the
+    size of the pairs; rows meet it in two joins, by id and, salted, by key.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
     rows = rows.select(F.col(row_id).cast("long").alias("id"), F.col(key).cast("string").alias("fp")).where("id IS NOT NULL")
     refs = pairs.where(F.lower(utrim(verdict)) == "match").select(F.nullif(utrim(left), F.lit("")).alias("l"), F.nullif(utrim(right), F.lit("")).alias("r")).where("l IS NOT NULL AND r IS NOT NULL")
     refs = scratch.save(refs.distinct())
-    names = scratch.save(refs.select(F.col("l").alias("ref")).union(refs.select("r")).distinct())
-    # vertices are numbers: a row's id, a key's smallest row id, or for what is not in the table a negative hash
-    missing = -F.abs(F.shiftrightunsigned(F.xxhash64("ref"), 1)) - 1
-    keys = names.where(F.contains("ref", F.lit(":")))
-    carried = rows.join(keys.withColumnRenamed("ref", "fp"), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("rep"))
-    keyed = scratch.save(keys.join(carried.withColumnRenamed("fp", "ref"), "ref", "left").select("ref", F.coalesce("rep", missing).alias("vertex"), F.col("rep").isNotNull().alias("known")))
-    plain = names.where(~F.contains("ref", F.lit(":"))).select("ref", F.coalesce(F.when(F.col("ref").rlike(r"^\d+$"), F.expr("try_cast(ref as bigint)")), missing).alias("vertex"))
-    vertex = scratch.save(keyed.select("ref", "vertex").union(plain))
-    edges = refs.join(vertex.select(F.col("ref").alias("l"), F.col("vertex").alias("u")), "l").join(vertex.select(F.col("ref").alias("r"), F.col("vertex").alias("v")), "r").select("u", "v")
-    # a row referred to by id belongs to its key's rows if the key is referred to as well
-    named = vertex.where(~F.contains("ref", F.lit(":"))).select(F.col("vertex").alias("id")).where("id >= 0").distinct()
-    of_key = keyed.where("known").select(F.col("ref").alias("fp"), F.col("vertex").alias("rep"))
-    both = rows.join(named, "id", "left_semi").join(of_key, "fp").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    names = scratch.save(refs.select(F.explode(F.array("l", "r")).alias("ref")).distinct().withColumn("vertex", F.monotonically_increasing_id()))
+    is_key = F.contains("ref", F.lit(":"))
+    as_id = F.expr("try_cast(ref as bigint)")
+    keyed = names.where(is_key).select(F.col("ref").alias("fp"), F.col("vertex").alias("kv"))
+    named = names.where(~is_key & (as_id.cast("string") == F.col("ref"))).select(as_id.alias("id"), F.col("vertex").alias("iv"))
+    # what each row is referred to by: nothing, its id, its key or both
+    placed = scratch.save(salted(rows.join(named, "id", "left"), keyed, "fp", "id").where("iv IS NOT NULL OR kv IS NOT NULL").select("id", "iv", "kv").distinct())
+    edges = refs.join(names.select(F.col("ref").alias("l"), F.col("vertex").alias("u")), "l").join(names.select(F.col("ref").alias("r"), F.col("vertex").alias("v")), "r").select("u", "v")
+    both = placed.where("iv IS NOT NULL AND kv IS NOT NULL").select(F.col("iv").alias("u"), F.col("kv").alias("v"))
     comp = scratch.save(connected_groups(edges.union(both), scratch))
-    by_key = of_key.join(comp, of_key.rep == comp.vertex).select("fp", F.col("component").alias("by_key"))
-    by_id = named.join(comp, named.id == comp.vertex).select("id", F.col("component").alias("by_id"))
-    placed = rows.join(by_key, "fp", "left").join(by_id, "id", "left").select("id", F.coalesce("by_key", "by_id").alias("component")).where("component IS NOT NULL").distinct()
-    placed = scratch.save(placed)
-    groups = placed.groupBy("component").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
-    return placed.join(groups, "component").select("id", "group_id")
+    # rows are folded by their vertex before they are folded by component
+    own = F.coalesce("kv", "iv").alias("vertex")
+    folded = scratch.save(placed.groupBy(own).agg(F.min("id").alias("low"), F.count("*").alias("n")).join(comp, "vertex"))
+    groups = folded.groupBy("component").agg(F.min("low").alias("group_id"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    group_of = salted(folded.select("vertex", "component"), groups, "component", "vertex").where("group_id IS NOT NULL").select("vertex", "group_id")
+    return salted(placed.select("id", own), group_of, "vertex", "id").where("group_id IS NOT NULL").select("id", "group_id").distinct()

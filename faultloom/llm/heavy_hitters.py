@@ -10,6 +10,7 @@ n/(k+1) rows survives every merge, wherever its rows lie, and an exact recount o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,7 +99,8 @@ def frequent_items(df: DataFrame, column: str, support: float, k: int | None = N
     k = k or int(2 / support) + 1
     s = Scratch(df.sparkSession).save(misra_gries(df, column, k, fan_in))  # at most k + 1 rows, taken once
     total = s.agg(F.sum("rows")).first()[0] or 0
-    error, least = total // (k + 1), support * total
+    share = Fraction(str(support))
+    error, least = total // (k + 1), -(-share.numerator * total // share.denominator)  # whole numbers, no rounding
     s = s.where(F.col("item").isNotNull() & (F.col("count") + error >= least))
     if not exact:
         return s.select("item", (F.col("count") + error).cast("long").alias("n_rows"), F.col("count").alias("at_least"))

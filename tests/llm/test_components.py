@@ -86,3 +86,22 @@ def test_ids_of_19_digits(spark):
     pairs = [(str(big), "3", "match", 1), (str(most), str(most + 1), "match", 2), (str(most + 1), "3", "match", 3)]
     got = match_groups(spark.createDataFrame(rows, ROWS), spark.createDataFrame(pairs, PAIRS)).collect()
     assert {r.id: r.group_id for r in got} == {big: 3, most: 3, 3: 3}
+
+
+def test_ids_of_any_size_and_spelling(spark):
+    big = 10**18
+    rows = [(i, f"k:{i}") for i in (7, 9, -5, big + 5, big + 6, 2**63 - 1, -(2**63), 0)]
+    pairs = [(str(big + 5), str(big + 6), "match", 0), ("-5", " 9 ", "match", 0), ("007", "7", "match", 0), (str(2**63 - 1), str(-(2**63)), "match", 0), ("99999999999999999999", "0", "match", 0), ("+9", "7", "match", 0)]
+    assert run(spark, rows, pairs) == brute(rows, pairs) == {big + 5: big + 5, big + 6: big + 5, -5: -5, 9: -5, 2**63 - 1: -(2**63), -(2**63): -(2**63)}
+
+
+def test_unknown_references_link_but_do_not_come_out(spark):
+    rows = [(1, "a:1"), (2, "a:2"), (3, "a:3")]
+    pairs = [("1", "404", "match", 0), ("404", "none:here", "match", 0), ("none:here", "a:2", "match", 0)]
+    assert run(spark, rows, pairs) == {1: 1, 2: 1}
+
+
+def test_a_third_of_the_rows_carry_one_key(spark):
+    rows = [(i, "hot:1" if i % 3 == 0 else f"c:{i}") for i in range(1, 3000)]
+    pairs = [("hot:1", "1", "match", 0), ("c:2", "hot:1", "match", 0), ("4", "5", "match", 0)]
+    assert run(spark, rows, pairs) == brute(rows, pairs)
