@@ -17,13 +17,18 @@ Copies and order. Links are found between contents, of which two rows a stretch
 looked at (:func:`thinned`). Who is refused then follows from one pass in order over each part of
 the time line (:func:`decide`), with lists of accepted times instead of pairs of records.
 
-Why time blocks. A record concerns only records at most ``window`` away, so a block of a day
-holds all partners but those of its edges, where probes enter two blocks. Blocks with many rows
-are cut into a grid of index shards by probe shards of bounded size.
+Why time cells. A record concerns only records at most ``window`` away, so a block of a day
+holds all partners but those of its edges, where probes enter two blocks. A crowded day is cut by
+time into up to day/window cells: index rows lie in one of them, probes in at most three. A cell
+that is crowded still is cut by content: a record enters the shards of its first n - ceil(t*n) + 1
+terms, rare terms before frequent ones, and two sets within likeness t share one of these. So a
+record is copied a bounded number of times, however many others its day holds.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,10 +36,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultloom.llm.neardup import term_hashes
+from faultloom.llm.neardup import flag_array, flagged, term_hashes
 from faultloom.session import Scratch
 
 BLOCK_US = 24 * 3600 * 1_000_000
@@ -281,23 +286,73 @@ def _among_batches(window: int, likeness: Fraction):
     return run
 
 
-def _cogrouped(index: DataFrame, probes: DataFrame, window: int, run, shard_rows: int) -> DataFrame:
-    """Bring probes and the index rows of their time blocks together, in bounded shards."""
-    block = lambda c: F.floor(c / F.lit(BLOCK_US)).cast("long")
+def _block(at: Column) -> Column:
+    return F.floor(at / F.lit(BLOCK_US)).cast("long")
+
+
+def _spread_to_shards(frequent, likeness: Fraction):
+    """Rows ``(block, sub, shards, ord, batch, rel, h)`` to ``(block, sub, shard, ord, batch, h, rel)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            shards = b.column("shards").to_numpy().astype(np.int64)
+            h = b.column("h")
+            off = h.offsets.to_numpy().astype(np.int64)
+            x = h.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+            off = off - off[0]
+            n = np.diff(off)
+            row = np.repeat(np.arange(len(n)), n)
+            common = flagged(frequent.value, x) if frequent else np.zeros(len(x), bool)
+            o = np.lexsort((x, common, row))
+            place = np.arange(len(x)) - np.repeat(off[:-1], n)
+            many = shards > 1
+            use = many[row] & (place < (n + (-likeness.numerator * n) // likeness.denominator + 1)[row])
+            to = np.unique(np.stack([row[use], (x[o][use].view(np.uint64) >> np.uint64(20)).astype(np.int64) % shards[row[use]]]), axis=1) if use.any() else np.zeros((2, 0), np.int64)
+            one = np.flatnonzero(~many)
+            take, shard = np.append(one, to[0]), np.append(np.zeros(len(one), np.int64), to[1])
+            rows = b.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays([rows.column("block"), rows.column("sub"), pa.array(shard.astype(np.int32)), *(rows.column(c) for c in ("ord", "batch", "h", "rel"))], names=["block", "sub", "shard", "ord", "batch", "h", "rel"])
+
+    return run
+
+
+_PLACED = "block long, sub int, shard int, ord long, batch long, h array<long>, rel long"
+
+
+def _placed(index: DataFrame, probes: DataFrame, window: int, likeness: Fraction, shard_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Index rows and probes ``(ord, batch, at, h)`` in the cells and shards where they meet.
+
+    Cells hold about ``shard_rows`` index rows; a row is copied to at most three cells and, in
+    crowded ones, to as many shards as its prefix has terms.
+    """
+    finest = max(1, BLOCK_US // max(1, window))
     rel = (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel")
     own = lambda df: df.select(*[F.col(c).alias(c) for c in ("ord", "batch", "at", "h")])  # noqa: E731  fresh names: both may be one table
-    index, probes = own(index), own(probes)
-    index = index.withColumn("block", block(F.col("at")))
-    probes = probes.withColumn("block", F.explode(F.sequence(block(F.col("at") - window), block(F.col("at") + window))))
-    shards = (
-        index.groupBy("block").agg(F.count("*").alias("n_i")).join(probes.groupBy("block").agg(F.count("*").alias("n_p")), "block")
-        .select("block", F.ceil(F.col("n_i") / shard_rows).cast("int").alias("n_i"), F.ceil(F.col("n_p") / shard_rows).cast("int").alias("n_p"))
-    )
-    mine = lambda n: F.pmod(F.xxhash64("ord", "at", F.lit(3)), F.col(n)).cast("int")
-    i = index.join(shards, "block").select("block", mine("n_i").alias("si"), F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("sp"), "ord", "batch", "h", rel)
-    p = probes.join(shards, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)).alias("si"), mine("n_p").alias("sp"), "ord", "batch", "h", rel)
-    keys = ["block", "si", "sp"]
-    return i.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(run, "later long, earlier long")
+    index = own(index).withColumn("block", _block(F.col("at"))).select("*", rel)
+    probes = own(probes).withColumn("block", F.explode(F.sequence(_block(F.col("at") - window), _block(F.col("at") + window)))).select("*", rel)
+    cuts = index.groupBy("block").agg(F.least(F.lit(finest), F.ceil(F.count("*") / shard_rows)).cast("int").alias("cuts"))  # one row a day
+    cell = lambda c: F.least(F.col("cuts") - 1, F.greatest(F.lit(0), F.floor(c * F.col("cuts") / F.lit(BLOCK_US)))).cast("int")
+    index = index.join(cuts, "block").withColumn("sub", cell(F.col("rel")))
+    probes = probes.join(cuts, "block").withColumn("sub", F.explode(F.sequence(cell(F.col("rel") - window), cell(F.col("rel") + window))))
+    cells, most = scratch.save_with(index.groupBy("block", "sub").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), m=F.max("shards"))
+    frequent = None
+    if (most["m"] or 1) > 1:
+        crowded = index.join(cells.where("shards > 1"), ["block", "sub"], "left_semi")
+        frequent = flag_array(crowded.select(F.explode("h").alias("x")).groupBy("x").count().where(F.col("count") > max(1, shard_rows // 40)))
+        frequent = index.sparkSession.sparkContext.broadcast(frequent)
+    out = [df.join(cells, ["block", "sub"]).select("block", "sub", "shards", "ord", "batch", "rel", "h").mapInArrow(_spread_to_shards(frequent, likeness), _PLACED) for df in (index, probes)]
+    return out[0], out[1]
+
+
+_CELL = ["block", "sub", "shard"]
+
+
+def _cogrouped(index: DataFrame, probes: DataFrame, window: int, likeness: Fraction, run, shard_rows: int, scratch: Scratch) -> DataFrame:
+    """Bring probes and the index rows of their cells together."""
+    i, p = _placed(index, probes, window, likeness, shard_rows, scratch)
+    return i.groupBy(*_CELL).cogroup(p.groupBy(*_CELL)).applyInArrow(run, "later long, earlier long")
 
 
 def decide(rows: list[tuple], near: dict[int, set], window: int) -> list[tuple[int, int]]:
@@ -398,10 +453,13 @@ def refused_records(
     same = _same_second(new, old.select("fp", _SEC()))
     index = old.where("size(h) > 0").select(F.xxhash64("h").alias("ord"), F.lit(0).cast("long").alias("batch"), "at", "h")
     probes = new.where("size(h) > 0").join(same, "ord", "left_anti").select("ord", "batch", "at", "h")
-    alike = _cogrouped(index, probes, window, _against_history(window, likeness), shard_rows).select(F.col("later").alias("ord"))
+    alike = _cogrouped(index, probes, window, likeness, _against_history(window, likeness), shard_rows, scratch).select(F.col("later").alias("ord"))
     return new.join(_refused(new, same, alike, window, likeness, shard_rows, scratch), "ord", "left_semi").select("record_id")
 
 
+_ROWS = "ord long, at long, h array<long>, fp string"
+
+
 def _SEC() -> Column:
     return F.floor(F.col("at") / 1_000_000).alias("sec")
 
@@ -426,7 +484,7 @@ def _refused(new: DataFrame, same: DataFrame, alike: DataFrame, window: int, lik
     rest = scratch.save(new.join(by_history, "ord", "left_anti"))
     content = F.when(F.size("h") > 0, F.xxhash64("h"))
     body = rest.where("size(h) > 0").select(content.alias("ord"), "batch", "at", "h")
-    links = _cogrouped(body, body, window, _among_batches(window, likeness), shard_rows).select(F.col("later").alias("a"), F.col("earlier").alias("b"))
+    links = _cogrouped(body, body, window, likeness, _among_batches(window, likeness), shard_rows, scratch).select(F.col("later").alias("a"), F.col("earlier").alias("b"))
     grp = F.when(F.col("fp").isNotNull(), F.concat_ws("|", _SEC().cast("string"), "fp"))
     among = _first_come(rest.select("ord", "at", grp.alias("grp"), content.alias("content")), links, window, scratch)
     return by_history.union(among).distinct()
@@ -440,15 +498,15 @@ def _ordered(new: DataFrame) -> DataFrame:
 
 
 _SEGMENT = {"order": "long", "at": "long", "off": "long", "h": "long", "terms": "long", "pairs": "long", "triples": "long", "tri": "long", "tri_own": "long", "duo": "long", "duo_own": "long"}
-_SEGMENT_SCHEMA = "block long, si int, " + ", ".join(f"`{k}` array<{t}>" for k, t in _SEGMENT.items())
+_SEGMENT_SCHEMA = "block long, sub int, shard int, " + ", ".join(f"`{k}` array<{t}>" for k, t in _SEGMENT.items())
 
 
-def _segment_row(block: int, si: int, s: Segment) -> pa.Table:
-    return pa.table({"block": pa.array([block], pa.int64()), "si": pa.array([si], pa.int32()), **{k: pa.array([v.astype(np.int64)], pa.list_(pa.int64())) for k, v in s.arrays().items()}})
+def _segment_row(cell: list[int], s: Segment) -> pa.Table:
+    return pa.table({**{c: pa.array([v], pa.int64() if c == "block" else pa.int32()) for c, v in zip(_CELL, cell)}, **{k: pa.array([v.astype(np.int64)], pa.list_(pa.int64())) for k, v in s.arrays().items()}})
 
 
-def _loaded(t: pa.Table) -> Segment:
-    return Segment.of({k: t.column(k).combine_chunks().values.to_numpy() if t.column(k).num_chunks == 1 else np.array(t.column(k)[0].as_py(), np.int64) for k in _SEGMENT})
+def _loaded(row: pa.Table) -> Segment:
+    return Segment.of({k: np.array(row.column(k)[0].values.to_numpy(zero_copy_only=False)) for k in _SEGMENT})
 
 
 class AcceptedHistory:
@@ -457,50 +515,87 @@ class AcceptedHistory:
     ``offer`` checks a new batch against all segments without rebuilding any, accepts what is not
     refused as a segment of rank 0, and merges segments of equal rank, so n batches lie in at most
     log2(n) + 1 segments and each record is merged log2(n) times in all. A segment is a directory
-    that is never changed; the list of live ones is held here.
+    that is never changed. The list of live ones is a manifest beside them: a new numbered file
+    for each state, written whole under another name and then renamed, so a program that ends
+    half-way leaves the state before it and the next one goes on from there.
+
+    Within a segment each time cell of about ``shard_rows`` rows has its own arrays, stored by
+    day, and a batch opens only the days its records can match in. Should more rows than that lie
+    within one window, they are dealt over several arrays, each searched by the cell's probes.
     """
 
     def __init__(self, spark, path: str, window_seconds: int = 900, likeness: Fraction = Fraction(7, 10), shard_rows: int = SHARD_ROWS):
         self.spark, self.path, self.window, self.likeness, self.shard_rows = spark, path, window_seconds * 1_000_000, likeness, shard_rows
         self.live: list[tuple[int, str]] = []  # rank and directory
-        self.made = 0
+        self.made = self.state = 0
+        self._resume()
+
+    def _fs(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
+    def _resume(self) -> None:
+        fs, path = self._fs()
+        found = fs.globStatus(path(f"{self.path}/manifest-*.json"))
+        if found:
+            last = max(str(x.getPath()) for x in found)
+            d = json.loads("\n".join(r.value for r in self.spark.read.text(last).collect()))
+            self.live, self.made, self.state = [(r, n) for r, n in d["live"]], d["made"], d["state"]
+
+    def commit(self) -> None:
+        """Make the present segments the stored state."""
+        fs, path = self._fs()
+        self.state += 1
+        part = path(f"{self.path}/_manifest.{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.writeBytes(json.dumps({"state": self.state, "made": self.made, "live": self.live}))
+        out.close()
+        if not fs.rename(part, path(f"{self.path}/manifest-{self.state:09d}.json")):
+            raise RuntimeError("another program has written this state")
 
     def _write(self, rows: DataFrame, rank: int) -> None:
-        """``rows (ord, at, h, fp)`` as a new segment."""
+        """``rows (ord, at, h, fp)`` as a new segment, merged with those of its rank."""
         self.made += 1
-        path = f"{self.path}/{self.made}"
+        name = f"{self.made}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.path}/{name}"
         rows.select("ord", "at", "h", "fp").write.parquet(f"{path}/rows")
-        own = self.spark.read.parquet(f"{path}/rows")
+        own = self.spark.read.schema(_ROWS).parquet(f"{path}/rows")
         own.where("fp IS NOT NULL").select("fp", _SEC()).distinct().write.parquet(f"{path}/seconds")
-        x = own.where("size(h) > 0").withColumn("block", F.floor(F.col("at") / F.lit(BLOCK_US)).cast("long"))
-        n = x.groupBy("block").agg(F.ceil(F.count("*") / self.shard_rows).alias("n"))
-        x = x.join(n, "block").select("block", F.pmod(F.xxhash64("h", "at"), F.col("n")).cast("int").alias("si"), F.xxhash64("h").alias("ord"), "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
+        finest = max(1, BLOCK_US // max(1, self.window))
+        x = own.where("size(h) > 0").withColumn("block", _block(F.col("at"))).select("block", F.xxhash64("h").alias("ord"), "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
+        n = x.groupBy("block").agg(F.least(F.lit(finest), F.ceil(F.count("*") / self.shard_rows)).cast("int").alias("cuts"))
+        x = x.join(n, "block").withColumn("sub", F.floor(F.col("rel") * F.col("cuts") / F.lit(BLOCK_US)).cast("int"))
+        m = x.groupBy("block", "sub").agg(F.ceil(F.count("*") / self.shard_rows).cast("int").alias("shards"))
+        x = x.join(m, ["block", "sub"]).select("block", "sub", F.pmod(F.xxhash64("h", "rel"), F.col("shards")).cast("int").alias("shard"), "ord", "h", "rel")
+        window = self.window
 
         def build(t: pa.Table) -> pa.Table:
-            return _segment_row(t.column("block")[0].as_py(), t.column("si")[0].as_py(), Segment((r := _records(t)).take(thinned(r, window))))
+            return _segment_row([t.column(c)[0].as_py() for c in _CELL], Segment((r := _records(t)).take(thinned(r, window))))
 
-        window = self.window
-        x.groupBy("block", "si").applyInArrow(build, _SEGMENT_SCHEMA).write.parquet(f"{path}/index")
-        self.live.append((rank, path))
+        x.groupBy("block", "sub", "shard").applyInArrow(build, _SEGMENT_SCHEMA).write.partitionBy("block").parquet(f"{path}/index")
+        self.live.append((rank, name))
         if len(self.live) > 1 and self.live[-2][0] == rank:
             (_, a), (_, b) = self.live[-2:]
             self.live = self.live[:-2]
-            self._write(self.spark.read.parquet(f"{a}/rows", f"{b}/rows"), rank + 1)
+            self._write(self.spark.read.schema(_ROWS).parquet(f"{self.path}/{a}/rows", f"{self.path}/{b}/rows"), rank + 1)
 
     def accept(self, rows: DataFrame, terms: Column, time: str = "analyzed_at", key: str = "fingerprint") -> None:
-        """Take rows in without a check, as one segment of the highest rank so far or of rank 0."""
+        """Take rows in without a check, as one segment of the highest rank so far or of rank 10."""
         x = rows.select(*_shape(time, key), term_hashes(terms).alias("h")).where("at IS NOT NULL")
         rank = max((r for r, _ in self.live), default=9) + 1
         self._write(x.withColumn("ord", F.xxhash64("at", "fp", "h")), rank)
-
-    def _alike(self, probes: DataFrame, path: str) -> DataFrame:
-        seg = self.spark.read.schema(_SEGMENT_SCHEMA).parquet(f"{path}/index")
-        block = lambda c: F.floor(c / F.lit(BLOCK_US)).cast("long")
-        p = probes.withColumn("block", F.explode(F.sequence(block(F.col("at") - self.window), block(F.col("at") + self.window))))
-        n = p.groupBy("block").agg(F.ceil(F.count("*") / self.shard_rows).cast("int").alias("n_p"))
-        p = p.join(n, "block").join(seg.select("block", "si"), "block").select(F.col("block").alias("block"), F.col("si").alias("si"), F.pmod(F.xxhash64("ord", F.lit(3)), F.col("n_p")).cast("int").alias("sp"), "ord", "h", (F.col("at") - F.col("block") * F.lit(BLOCK_US)).alias("rel"))
-        i = seg.join(n, "block").select("*", F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("sp")).drop("n_p")
+        self.commit()
+
+    def _alike(self, probes: DataFrame, name: str) -> DataFrame:
+        """``(ord)`` of probes that some row of a segment is like, by its stored arrays."""
+        rel = F.col("at") - F.col("block") * F.lit(BLOCK_US)
+        p = probes.withColumn("block", F.explode(F.sequence(_block(F.col("at") - self.window), _block(F.col("at") + self.window))))
+        days = [r.block for r in p.select("block").distinct().collect()]  # a number a day; other days' files are not opened
+        seg = self.spark.read.schema(_SEGMENT_SCHEMA).parquet(f"{self.path}/{name}/index").where(F.col("block").isin(days))
         window, likeness = self.window, self.likeness
+        # the stretch of time that a cell's rows really cover, so a probe enters only cells it can match in
+        ends = seg.select(*_CELL, F.array_min("at").alias("lo"), F.array_max("at").alias("hi"))
+        p = p.join(ends, "block").where((rel + window >= F.col("lo")) & (rel - window <= F.col("hi"))).select(*[F.col(c).alias(c) for c in _CELL], "ord", "h", rel.alias("rel"))
 
         def run(index: pa.Table, probes: pa.Table) -> pa.Table:
             if not index.num_rows or not probes.num_rows:
@@ -509,21 +604,39 @@ class AcceptedHistory:
             hit = q.order[np.unique(x)]
             return _edges([hit], [np.full(len(hit), -1)])
 
-        keys = ["block", "si", "sp"]
-        return i.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(run, "later long, earlier long").select(F.col("later").alias("ord"))
+        return seg.groupBy(*_CELL).cogroup(p.groupBy(*_CELL)).applyInArrow(run, "later long, earlier long").select(F.col("later").alias("ord"))
 
     def offer(self, batch: DataFrame, terms: Column, record_id: str = "record_id", batch_no: str = "batch_no", time: str = "analyzed_at", key: str = "fingerprint") -> DataFrame:
         """``(record_id)`` refused of a batch; the others are part of the history from now on."""
         scratch = Scratch(self.spark)
         new = _records_of(batch, terms, record_id, batch_no, time, key, scratch)
-        same = new.select("ord").where("false")
-        alike = same
-        for _, path in self.live:
-            same = same.union(_same_second(new, self.spark.read.parquet(f"{path}/seconds")))
+        same = alike = new.select("ord").where("false")
+        for _, name in self.live:
+            same = same.union(_same_second(new, self.spark.read.parquet(f"{self.path}/{name}/seconds")))
         same = scratch.save(same.distinct())
         probes = new.where("size(h) > 0").join(same, "ord", "left_anti").select("ord", "at", "h")
-        for _, path in self.live:
-            alike = alike.union(self._alike(probes, path))
+        for _, name in self.live:
+            alike = alike.union(self._alike(probes, name))
         no = scratch.save(_refused(new, same, alike, self.window, self.likeness, self.shard_rows, scratch))
         self._write(new.join(no, "ord", "left_anti"), 0)
+        self.commit()
         return new.join(no, "ord", "left_semi").select("record_id")
+
+
+def refused_by_batches(history: DataFrame, incoming: DataFrame, history_terms: Column, incoming_terms: Column, path: str, record_id: str = "record_id", batch: str = "batch_no", time: str = "analyzed_at", key: str = "fingerprint") -> DataFrame:
+    """``(record_id)`` refused when the batches of ``incoming`` are offered one after the other to
+    the segments stored under ``path``; rows as of :func:`refused_records`.
+
+    The history is read once, into the first segment, and never again. Batches are a few numbers,
+    read on the driver; nulls are left out, as are further copies of a record id.
+    """
+    kept = AcceptedHistory(history.sparkSession, path)
+    if not kept.live:
+        kept.accept(history, history_terms, time, key)
+    first = Window.partitionBy(record_id).orderBy(batch)
+    once = incoming.where(F.col(batch).isNotNull() & F.col(record_id).isNotNull()).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    out = None
+    for r in once.select(F.col(batch).alias("b")).distinct().orderBy("b").collect():
+        got = kept.offer(once.where(F.col(batch) == r.b), incoming_terms, record_id, batch, time, key)
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else incoming.sparkSession.createDataFrame([], "record_id long")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from faultloom.llm.components import match_groups
 from faultloom.llm.heavy_hitters import frequent_items
-from faultloom.llm.history_dedup import refused_records
+from faultloom.llm.history_dedup import refused_by_batches, refused_records
 from faultloom.llm.leakage import leaked_spans
 from faultloom.llm.neardup import similar_groups, similar_pairs
 from faultloom.functions.text import row_terms
 from faultloom.llm.packing import packed_containers
 from faultloom.llm.sentences import sentence_units
 from faultloom.plans.log_queries import TERMS_SQL
-from faultloom.session import table
+from faultloom.session import Scratch, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refused_records(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "incoming"), row_terms(), row_terms())
 
 
+def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p5_found``, batch by batch through segments on storage."""
+    return refused_by_batches(table(spark, sf_dir, "analyses"), table(spark, sf_dir, "incoming"), row_terms(), row_terms(), f"{Scratch(spark).root}/accepted")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_containers(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_batches": p5_batches, "p7_containers": p7_containers, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 _FREQUENT = """

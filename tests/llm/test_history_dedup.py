@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultloom.llm import history_dedup
-from faultloom.llm.history_dedup import AcceptedHistory, Records, Segment, Segments, refused_records
+from faultloom.llm.history_dedup import AcceptedHistory, Records, refused_by_batches, refused_records, Segment, Segments
 
 T0 = datetime(2026, 1, 1, 23, 50)
 OLD = "analyzed_at timestamp, fingerprint string, terms array<string>, ord string, at string, block string"
@@ -153,3 +153,45 @@ def test_windows_of_more_than_half_a_block(spark, tmp_path, hours):
     held.accept(spark.createDataFrame([(*r, "x", "y", "z") for r in old], OLD), F.col("terms"))
     batch = spark.createDataFrame([(*r, "x", "y", "z") for r in new[:3]], NEW)
     assert {r.record_id for r in held.offer(batch, F.col("terms")).collect()} == {0, 1}
+
+
+def test_one_crowded_day_copies_a_record_a_bounded_number_of_times(spark):
+    """Ten times as many rows in one window make more shards, not more copies of a record."""
+    from faultloom.llm.history_dedup import _placed
+    from faultloom.llm.neardup import term_hashes
+    from faultloom.session import Scratch
+
+    rng = random.Random(2)
+    copies = {}
+    for n in (300, 3000):
+        rows = [(i, 0, i % 1000, [f"w{rng.randrange(10 * n)}" for _ in range(20)]) for i in range(n)]
+        x = spark.createDataFrame(rows, "ord long, batch long, at long, t array<string>").select("ord", "batch", "at", term_hashes(F.col("t")).alias("h"))
+        index, probes = _placed(x, x, 900_000_000, Fraction(7, 10), 30, Scratch(spark))
+        most = index.groupBy("block", "sub", "shard").count().agg(F.max("count")).first()[0]
+        copies[n] = index.count() / n
+        assert copies[n] <= 7 and most <= 30 * 7 * 3
+    assert copies[3000] < 1.5 * copies[300]
+
+
+def test_stored_state_is_resumed(spark, tmp_path):
+    t = lambda n: [f"t{n}-{x}" for x in range(9)]
+    path = str(tmp_path / "h")
+    one = AcceptedHistory(spark, path)
+    one.accept(spark.createDataFrame([(T0, "f", t(0), "x", "y", "z")], OLD), F.col("terms"))
+    batch = lambda rows: spark.createDataFrame([(*r, "x", "y", "z") for r in rows], NEW)
+    assert {r.record_id for r in one.offer(batch([(1, 1, T0, "g", t(0)), (2, 1, T0, "h", t(1))]), F.col("terms")).collect()} == {1}
+    one._write(spark.createDataFrame([], "ord long, at long, h array<long>, fp string"), 0)  # never committed
+    two = AcceptedHistory(spark, path)
+    assert {r.record_id for r in two.offer(batch([(3, 2, T0, "i", t(1)), (4, 2, T0, "j", t(2))]), F.col("terms")).collect()} == {3}
+    assert len(two.live) == 2  # the history, and two batches merged
+
+
+def test_query_by_batches_agrees(spark, tmp_path):
+    rng = random.Random(18)
+    bases = [rng.sample(range(90), n) for n in (3, 12, 30)]
+    terms = lambda: sorted({f"w{x}" for x in set(rng.choice(bases)) ^ set(rng.sample(range(90), rng.randrange(4)))})
+    when = lambda: T0 + timedelta(seconds=rng.randrange(5000))
+    old = [(when(), f"f{rng.randrange(200)}", terms()) for _ in range(25)]
+    new = [(i, i // 15, when(), f"f{rng.randrange(200)}", terms()) for i in range(45)] + [(None, 1, T0, "f", terms()), (50, None, T0, "f", terms())]
+    got = refused_by_batches(spark.createDataFrame([(*r, "x", "y", "z") for r in old], OLD), spark.createDataFrame([(*r, "x", "y", "z") for r in new], NEW), F.col("terms"), F.col("terms"), str(tmp_path / "b"))
+    assert {r.record_id for r in got.collect()} == brute(old, new)
