@@ -3,8 +3,10 @@
 Every container is limited in three ways at once: tokens, segments and loss-bearing tokens. A
 container is filled by the dot-product heuristic: of the pieces that still fit, the one whose
 demand vector has the largest product with the container's remaining capacities goes in, so what
-is scarce in it is weighed most. Pieces are kept by size, so a choice looks at the few largest
-sizes that fit and costs O(log sizes), not a scan of all pieces.
+is scarce in it is weighed most. Pieces are kept by size and, within a size, by loss; of a size
+only the largest loss that fits can win, and as loss never exceeds tokens, sizes are looked at
+from the largest that fits downwards until none below can win. So the choice is exact and yet no
+scan of all pieces.
 
 Partitions pack their own documents; no text moves for that. What lies in containers that are not
 nearly full is carried on from chunk to chunk within a partition, and what a partition has left
@@ -15,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import os
-from bisect import bisect_right, insort
+import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,15 +34,18 @@ from faultloom.session import Scratch, spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = T.StructType(
-    [T.StructField(n, t) for n, t in (("container_id", T.LongType()), ("segment_no", T.IntegerType()), ("doc_id", T.LongType()), ("start_char", T.IntegerType()), ("end_char", T.IntegerType()), ("n_tokens", T.IntegerType()), ("n_loss", T.IntegerType()), ("text", T.StringType()))]
+    [T.StructField(n, t) for n, t in (("container_id", T.LongType()), ("segment_no", T.IntegerType()), ("doc_id", T.LongType()), ("start_char", T.IntegerType()), ("end_char", T.IntegerType()), ("n_tokens", T.IntegerType()), ("n_loss", T.IntegerType()), ("text", T.StringType()), ("closed_by", T.StringType()))]
 )
 _OPEN_SCHEMA = T.StructType([*SCHEMA.fields, T.StructField("is_open", T.BooleanType())])
 
 
 @dataclass(frozen=True)
 class Limits:
+    """What a container holds at most. With ``loss`` below ``tokens`` a text of more loss-bearing
+    tokens than that is cut like one that is too long."""
+
     tokens: int = 2048
-    segments: int = 128
+    segments: int = 48
     loss: int = 2048
 
 
@@ -75,78 +81,101 @@ def pieces(text: str, enc, limit: int) -> Iterator[tuple[int, int, int]]:
         at = end
 
 
-def loss_tokens(text: str, start: int, n_tokens: int, enc) -> int:
-    """Tokens that bear loss: all but those of a leading title line, which serves as the prompt."""
-    if start or not text.startswith("#"):
-        return n_tokens
-    return max(0, n_tokens - len(enc.encode_ordinary(text.partition("\n")[0])))
+_BLANK = re.compile(r"\n[ \t\r]*\n\s*")
+_INK = re.compile(r"\S")
+
+
+def prompt_tokens(text: str, enc) -> int:
+    """Tokens of a text that bear no loss: its first paragraph, if others follow."""
+    start = _INK.search(text)
+    m = _BLANK.search(text, start.start()) if start else None
+    return len(enc.encode_ordinary(text[: m.end()])) if m and m.end() < len(text) else 0
+
+
+def segments_of(text: str, enc, limits: Limits) -> Iterator[tuple[int, int, int, int]]:
+    """``(start_char, end_char, n_tokens, n_loss)`` of the text's pieces.
+
+    A text is cut only if it alone is beyond a limit.
+    """
+    prompt = prompt_tokens(text, enc)
+    whole = list(pieces(text, enc, limits.tokens))
+    if sum(n for _, _, n in whole) - prompt > limits.loss:
+        whole = list(pieces(text, enc, min(limits.tokens, limits.loss)))
+    for start, end, n in whole:
+        mine = min(prompt, n)
+        prompt -= mine
+        yield start, end, n, n - mine
 
 
 class Packer:
     """Pieces waiting by token count; ``fill`` takes the contents of one container."""
 
-    def __init__(self, limits: Limits, looks: int = 12):
+    def __init__(self, limits: Limits):
         self.limits = limits
-        self.looks = looks
         self.sizes: list[int] = []
-        self.by_size: dict[int, list[tuple[int, object]]] = {}
-        self.tokens = 0
+        self.by_size: dict[int, list[tuple[int, int, object]]] = {}  # loss, running number, piece
+        self.tokens = self.number = 0
 
     def add(self, tokens: int, loss: int, piece: object) -> None:
+        self.number += 1
         held = self.by_size.get(tokens)
         if held is None:
-            self.by_size[tokens] = [(loss, piece)]
+            self.by_size[tokens] = [(loss, self.number, piece)]
             insort(self.sizes, tokens)
         else:
-            held.append((loss, piece))
+            insort(held, (loss, self.number, piece))
         self.tokens += tokens
 
     def _take(self, at: int, k: int) -> tuple[int, int, object]:
         size = self.sizes[at]
         held = self.by_size[size]
-        held[k], held[-1] = held[-1], held[k]
-        loss, piece = held.pop()
+        loss, _, piece = held.pop(k)
         if not held:
             del self.by_size[size]
             del self.sizes[at]
         self.tokens -= size
         return size, loss, piece
 
-    def fill(self) -> tuple[list[tuple[int, int, object]], int]:
-        """Contents of the next container and its used tokens."""
+    def choose(self, rt: int, rs: int, rl: int) -> tuple[int, int] | None:
+        """Place of the waiting piece of the largest dot product with what is left."""
+        lim = self.limits
+        at_token, at_loss = rt / lim.tokens**2, rl / lim.loss**2
+        best, choice = -1.0, None
+        for at in range(bisect_right(self.sizes, rt) - 1, -1, -1):
+            size = self.sizes[at]
+            if size * at_token + min(size, rl) * at_loss <= best:
+                break  # nor can any smaller size win
+            held = self.by_size[size]
+            k = bisect_left(held, (rl + 1,)) - 1
+            if k >= 0 and (dot := size * at_token + held[k][0] * at_loss) > best:
+                best, choice = dot, (at, k)
+        return choice  # a segment weighs the same for every piece
+
+    def fill(self) -> tuple[list[tuple[int, int, object]], int, str]:
+        """Contents of the next container, its used tokens and what closed it: ``tokens``,
+        ``segments`` or ``loss`` that were used up for all that waits, or the ``end`` of pieces."""
         lim = self.limits
         rt, rs, rl = lim.tokens, lim.segments, lim.loss
-        wt, ws, wl = 1 / lim.tokens**2, 1 / lim.segments**2, 1 / lim.loss**2
         out = []
         while rs and self.sizes:
-            top = bisect_right(self.sizes, rt) - 1
-            best, choice = -1.0, None
-            for at in range(top, max(-1, top - self.looks), -1):
-                size = self.sizes[at]
-                held = self.by_size[size]
-                # of pieces of one size the last two tell enough: they differ in loss only
-                for k in range(len(held) - 1, max(-1, len(held) - 3), -1):
-                    loss = held[k][0]
-                    if loss <= rl:
-                        dot = size * rt * wt + rs * ws + loss * rl * wl
-                        if dot > best:
-                            best, choice = dot, (at, k)
+            choice = self.choose(rt, rs, rl)
             if choice is None:
                 break
             size, loss, piece = self._take(*choice)
             out.append((size, loss, piece))
             rt, rs, rl = rt - size, rs - 1, rl - loss
-        return out, lim.tokens - rt
+        why = "end" if not self.sizes else "segments" if not rs and self.sizes[0] <= rt else "loss" if self.sizes[0] <= rt else "tokens"
+        return out, lim.tokens - rt, why
 
 
-def _rows(packed: list[tuple[int, list, bool]], with_open: bool) -> pa.RecordBatch:
-    cols: list[list] = [[] for _ in range(9)]
-    for cid, content, is_open in packed:
+def _rows(packed: list[tuple[int, list, str, bool]], with_open: bool) -> pa.RecordBatch:
+    cols: list[list] = [[] for _ in range(10)]
+    for cid, content, why, is_open in packed:
         for no, (size, loss, (doc, start, end, text)) in enumerate(content, 1):
-            for c, v in zip(cols, (cid, no, doc, start, end, size, loss, text, is_open)):
+            for c, v in zip(cols, (cid, no, doc, start, end, size, loss, text, why, is_open)):
                 c.append(v)
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-    n = 9 if with_open else 8
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+    n = 10 if with_open else 9
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types)], names=_OPEN_SCHEMA.names[:n])
 
 
@@ -162,15 +191,16 @@ def _pack_documents(vocabulary: str, limits: Limits, full: float, chunk_chars: i
             nonlocal made, held
             packed, rest = [], []
             while packer.sizes:
-                content, used = packer.fill()
-                if used >= full * limits.tokens:
-                    packed.append((base + made, content, False))
+                content, used, why = packer.fill()
+                # no other piece can do better where segments or loss are used up
+                if used >= full * limits.tokens or why in ("segments", "loss"):
+                    packed.append((base + made, content, why, False))
                     made += 1
                 else:
-                    rest.append(content)
-            for content in rest:
+                    rest.append((content, why))
+            for content, why in rest:
                 if final:
-                    packed.append((base + made, content, True))
+                    packed.append((base + made, content, why, True))
                     made += 1
                 else:
                     for size, loss, piece in content:
@@ -182,8 +212,7 @@ def _pack_documents(vocabulary: str, limits: Limits, full: float, chunk_chars: i
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not text:
                     continue
-                for start, end, n in pieces(text, enc, limits.tokens):
-                    loss = min(loss_tokens(text, start, n, enc), limits.loss)
+                for start, end, n, loss in segments_of(text, enc, limits):
                     packer.add(n, loss, (doc, start, end, text if end - start == len(text) else text[start:end]))
                 held += len(text)
                 if held >= chunk_chars:
@@ -202,17 +231,20 @@ def _pack_rests(limits: Limits):
                 packer.add(n, loss, (doc, start, end, text))
         packed = []
         while packer.sizes:
-            packed.append((base + len(packed), packer.fill()[0], False))
+            content, _, why = packer.fill()
+            packed.append((base + len(packed), content, why, False))
         yield _rows(packed, False)
 
     return run
 
 
 def packed_containers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits(), vocabulary: str = VOCABULARY, full: float = 0.998, chunk_chars: int = 24_000_000, fan_in: int = 64) -> DataFrame:
-    """``(container_id, segment_no, doc_id, start_char, end_char, n_tokens, n_loss, text)``.
+    """``(container_id, segment_no, doc_id, start_char, end_char, n_tokens, n_loss, text,
+    closed_by)``.
 
     One row per segment; a container's segments never exceed ``limits``. A text is cut only if it
-    alone is longer than ``limits.tokens``; its pieces then cover it in order. Null and empty texts
+    alone is beyond a limit; its pieces then cover it in order. The first paragraph of a text of
+    several is its prompt, which bears no loss. ``closed_by`` tells what kept further pieces out. Null and empty texts
     need no place; texts of any length are packed whole; repeated rows are placed as often as they
     occur; a null id stays null; an empty table gives no containers; other columns are not read.
     ``full`` is the share of tokens from which a container counts as finished in its partition.

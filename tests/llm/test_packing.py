@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from faultloom.llm.packing import VOCABULARY, Limits, Packer, encoder, packed_containers, pieces
+from faultloom.llm.packing import VOCABULARY, Limits, Packer, encoder, packed_containers, pieces, prompt_tokens
 
 SCHEMA = "doc_id long, text string, n_tokens string, container_id string"
 
@@ -16,7 +16,8 @@ def test_packer_respects_all_limits_and_wastes_little():
         p.add(t, min(700, rng.randrange(t + 1)), i)
     total, seen, used = p.tokens, set(), []
     while p.sizes:
-        content, tokens = p.fill()
+        content, tokens, why = p.fill()
+        assert why in ("tokens", "segments", "loss", "end")
         assert content and tokens == sum(c[0] for c in content) <= 1000 and len(content) <= 12 and sum(c[1] for c in content) <= 700
         seen |= {c[2] for c in content}
         used.append(tokens)
@@ -52,3 +53,45 @@ def test_containers(spark, chunk):
     assert all(len(rs) == 1 for d, rs in per.items() if d not in (5, 1000) and sum(r.n_tokens for r in rs) <= 512)
     assert sum(r.n_tokens for r in rows) / (512 * len(by)) > 0.9
     assert packed_containers(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_prompt_is_the_first_of_several_paragraphs():
+    enc = encoder(VOCABULARY)
+    n = lambda t: len(enc.encode_ordinary(t))
+    assert prompt_tokens("a b\nc\n \n\nd", enc) == n("a b\nc\n \n\n") and prompt_tokens("\n\n a\n\nb", enc) == n("\n\n a\n\n")
+    assert prompt_tokens("a\nb", enc) == prompt_tokens("a\n\n \n", enc) == prompt_tokens(" \n\n", enc) == prompt_tokens("x" * 100_000 + " " * 100_000, enc) == 0
+
+
+def test_the_choice_is_the_largest_dot_product():
+    rng = random.Random(4)
+    lim = Limits(300, 9, 200)
+    p = Packer(lim)
+    waiting = []
+    for i in range(400):
+        t = rng.randrange(1, 200)
+        loss = rng.randrange(t + 1)
+        p.add(t, loss, i)
+        waiting.append((t, loss))
+    for _ in range(300):
+        rt, rl = rng.randrange(1, 300), rng.randrange(1, 200)
+        dots = [t * rt / 300**2 + x * rl / 200**2 for t, x in waiting if t <= rt and x <= rl]
+        got = p.choose(rt, 5, rl)
+        if not dots:
+            assert got is None
+            continue
+        size = p.sizes[got[0]]
+        assert abs(size * rt / 300**2 + p.by_size[size][got[1]][0] * rl / 200**2 - max(dots)) < 1e-12
+
+
+def test_each_limit_can_close_a_container(spark):
+    docs = [(i, "a b c", "x", "y") for i in range(40)] + [(100 + i, "question here\n\n" + "answer " * 150, "x", "y") for i in range(30)] + [(200 + i, "prompt " * 300 + "\n\nshort", "x", "y") for i in range(30)] + [(300, "q\n\n" + "long " * 900, "x", "y")]
+    lim = Limits(512, 10, 320)
+    rows = packed_containers(spark.createDataFrame(docs, SCHEMA), limits=lim).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.container_id, []).append(r)
+    for c in by.values():
+        assert sum(r.n_tokens for r in c) <= 512 and len(c) <= 10 and sum(r.n_loss for r in c) <= 320 and len({r.closed_by for r in c}) == 1
+    assert {c[0].closed_by for c in by.values()} >= {"tokens", "loss"} and all(r.n_loss <= r.n_tokens for r in rows)
+    long = sorted((r for r in rows if r.doc_id == 300), key=lambda r: r.start_char)
+    assert "".join(r.text for r in long) == docs[-1][1] and sum(r.n_tokens - r.n_loss for r in long) == len(encoder(VOCABULARY).encode_ordinary("q\n\n"))
