@@ -36,9 +36,14 @@ def unify_newlines(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), r"\r\n?", "\n")
 
 
-def window_text(c: Column | str, cap: int = WINDOW_CHARS, marker: str = "[... log truncated ...]") -> Column:
-    """Texts over ``cap`` keep a head quarter and a tail, both at line ends, around a marker."""
+def window_text(c: Column | str, cap: int | None = None, marker: str = "[... log truncated ...]") -> Column:
+    """Texts over ``cap`` keep a head quarter and a tail, both at line ends, around a marker.
+
+    By default nothing is cut; ``WINDOW_CHARS`` is the customary cap.
+    """
     c = _c(c)
+    if cap is None:
+        return c
     head_len = cap // 4
     tail_len = cap - head_len - len(marker) - 2
     head = F.left(c, F.lit(head_len))
@@ -76,11 +81,13 @@ def _let(value: Column, use) -> Column:
 
 
 def term_counts(c: Column | str) -> Column:
-    """``map<string,int>``: terms of a text with their counts."""
-    return _let(
-        term_list(c),
-        lambda ts: F.map_from_entries(F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("key"), F.size(F.filter(ts, lambda x: x == t)).alias("value")))),
-    )
+    """``map<string,int>``: terms of a text with their counts, by the runs of the sorted terms."""
+
+    def runs(ts: Column) -> Column:
+        starts = F.array_compact(F.transform(ts, lambda t, i: F.when((i == 0) | (t != F.get(ts, i - 1)), i)))
+        return _let(starts, lambda at: F.map_from_entries(F.transform(at, lambda p, k: F.struct(F.get(ts, p).alias("key"), (F.coalesce(F.get(at, k + 1), F.size(ts)) - p).alias("value")))))
+
+    return _let(F.array_sort(term_list(c)), runs)
 
 
 def row_terms(tokens: Column | str = "tokens", excerpt: Column | str = "excerpt") -> Column:
@@ -145,8 +152,10 @@ def context_after(ls: Column, line: Column, n: int = 3) -> Column:
 
 
 def interpolate(template: Column | str, captures: Column) -> Column:
-    """``{name}`` becomes the capture of that name; unknown names stay."""
-    return F.aggregate(F.map_entries(captures), _c(template), lambda s, e: F.replace(s, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+    """``{name}`` becomes the capture of that name, in one pass: what is filled in is not looked at
+    again. Unknown names stay."""
+    parts = F.regexp_extract_all(_c(template), F.lit(r"(?s)\{\w+\}|[^{]+|\{"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.when(x.rlike(r"\A\{\w+\}\z"), F.try_element_at(captures, F.regexp_replace(x, r"[{}]", ""))), x)), "")
 
 
 def test_name(source: Column | str) -> Column:
@@ -234,14 +243,6 @@ def humanize_seconds(c: Column | str) -> Column:
     return F.when(s >= 86400, fmt(s / 86400, "d")).when(s >= 3600, fmt(s / 3600, "h")).when(s >= 60, fmt(s / 60, "m")).otherwise(fmt(s, "s"))
 
 
-def fix_note(head: Column | str, subjects: Column | str, shown: int = 3) -> Column:
-    """``Fixed by <sha7>: a; b; c ...and n more``."""
-    h, s = short_sha(head), F.coalesce(_c(subjects), F.array().cast("array<string>"))
-    more = F.size(s) - shown
-    listed = F.when(F.size(s) > 0, F.concat(F.lit(": "), F.concat_ws("; ", F.slice(s, 1, shown)))).otherwise("")
-    return F.concat(F.lit("Fixed by "), h, listed, F.when(more > 0, F.concat(F.lit(" …and "), more.cast("string"), F.lit(" more"))).otherwise(""))
-
-
 def json_object(c: Column | str) -> Column:
     """From the first ``{`` to the last ``}`` of prose, or null."""
     return F.nullif(F.regexp_extract(_c(c), r"(?s)\{.*\}", 0), F.lit(""))

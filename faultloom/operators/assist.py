@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from faultloom.operators.rules import Rule, lint
 
 UNSURE = 0.6
-#: patterns that would match almost any log
-OVER_BROAD = (".*", ".+", "error", "failed", "failure", "exception", r"\w+", r".*error.*", r".*failed.*")
+# What is left of a pattern for anything at all, without its anchors and brackets.
+OVER_BROAD = ("", ".*", ".+", ".*?", ".+?", "[\\s\\S]*", "[\\s\\S]+", "(?s).*")
+#: texts that no pattern for a failure may match
+NEUTRAL = ("", "zq", "17", "Lorem ipsum dolor sit amet\nconsectetur\n")
 
 
 def suggestions(df: DataFrame, ask: Callable[[str], tuple[str, str, str] | None], text: str = "text", chars: int = 6000) -> DataFrame:
@@ -77,10 +79,22 @@ def draft_rule(reply: str) -> Rule | None:
     return Rule(o.get("id") or "", o.get("match") or "", o.get("ecosystem") or "generic", (), o.get("category") or "general", o.get("title") or "", 0.5, o.get("fix") or "")
 
 
+def too_broad(pattern: str) -> bool:
+    """Whether a pattern says nothing: by its form, or as it matches any text, even an empty one."""
+    bare = pattern.strip()
+    if bare in OVER_BROAD or bare.strip("^$() ") in OVER_BROAD:
+        return True
+    try:
+        p = re.compile(re.sub(r"\(\?<([A-Za-z_]\w*)>", r"(?P<\1>", bare), re.I | re.M)
+    except re.error:
+        return False
+    return any(p.search(t) for t in NEUTRAL)
+
+
 def draft_problems(rule: Rule, text: str, most: int = 20) -> list[str]:
     """Why a drafted rule should not be added; it must match its own log, at most ``most`` times."""
     bad = lint(rule)
-    if rule.match.strip().lower() in OVER_BROAD:
+    if too_broad(rule.match):
         bad.append("the pattern is too broad")
     try:
         n = sum(1 for _ in re.finditer(re.sub(r"\(\?<([A-Za-z_]\w*)>", r"(?P<\1>", rule.match), text, re.I | re.M))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultloom.functions.text import utrim
+from faultloom.session import Scratch
 
 # Accepted spellings of ecosystems.
 ECOSYSTEM_NAMES = {
@@ -95,9 +96,23 @@ def open_failures(h: DataFrame, repo: str | None = None) -> DataFrame:
 
 
 def next_ids(h: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows with status open and ids that follow the history's largest."""
+    """New rows with status open and ids that follow the history's largest, in order of ``seq``.
+
+    Rows are ordered in ranges; a range's ids begin after the sizes of those before it, so no task
+    sees more than its range.
+    """
     top = h.agg(F.max("id")).first()[0] or 0
-    return new.withColumn("id", F.row_number().over(Window.orderBy("seq")) + F.lit(top)).withColumn("status", F.lit("open"))
+    n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = new.repartitionByRange(n, "seq").sortWithinPartitions("seq").withColumn("__at", F.monotonically_increasing_id())
+    x = Scratch(new.sparkSession).save(x.withColumn("__part", F.shiftright("__at", 33)))
+    sizes = x.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # a number a range
+    before, total = [], top
+    for r in sizes:
+        before.append((r["__part"], total))
+        total += r.n
+    first = new.sparkSession.createDataFrame(before, "__part long, __before long")
+    at = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return x.join(F.broadcast(first), "__part").withColumn("id", at).withColumn("status", F.lit("open")).drop("__part", "__at", "__before")
 
 
 def fold_resolutions(h: DataFrame, events: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ array in its row, so matching and ranking move no data.
 
 from __future__ import annotations
 
+import logging
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultloom.functions.text import context_after, context_before, interpolate, line_number_at, lines, utrim
@@ -81,8 +84,8 @@ def duplicates(*tiers: list[Rule]) -> tuple[list[str], list[str]]:
     """``(errors, warnings)``: ids repeated within a tier; ids of one tier redefined in another."""
     errors, seen, warnings = [], set(), []
     for tier in tiers:
-        ids = [r.id.lower() for r in tier]
-        errors += sorted({i for i in ids if ids.count(i) > 1})
+        ids = Counter(r.id.lower() for r in tier)
+        errors += sorted(i for i, n in ids.items() if n > 1)
         warnings += sorted(set(ids) & seen)
         seen |= set(ids)
     return errors, warnings
@@ -230,13 +233,38 @@ def _found(text: Column, low: Column, pattern: str) -> Column:
     return F.contains(low, F.lit(lit)) & hit if lit else hit
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the engine accepts a pattern, as it will be used."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return True
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(FLAGS + pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def usable(rules: list[Rule]) -> list[Rule]:
+    """Enabled rules whose patterns the engine accepts; others are left out with a warning, so one
+    bad rule fails nothing. A broken guard leaves out its rule as well."""
+    out = []
+    for r in sorted(rules, key=lambda r: r.id):
+        if not r.enabled or not r.match:
+            continue
+        bad = [p for p in (r.match, r.requires, r.not_match) if p and p.strip() and not compiles(renamed_groups(p)[0])]
+        if bad:
+            logging.getLogger(__name__).warning("rule %s is left out, its pattern is not valid: %s", r.id, bad[0])
+        else:
+            out.append(r)
+    return out
+
+
 def match_array(rules: list[Rule], text: Column, ecosystem: Column) -> Column:
     """Matches of a text, best first: by falling score, then rule id."""
     low = F.lower(text)
     branches = []
-    for r in sorted(rules, key=lambda r: r.id):
-        if not r.enabled or not r.match:
-            continue
+    for r in usable(rules):
         plain, names = renamed_groups(r.match)
         cond = applies(r, ecosystem) & _found(text, low, plain)
         if r.requires and r.requires.strip():
@@ -256,7 +284,7 @@ def match_array(rules: list[Rule], text: Column, ecosystem: Column) -> Column:
             )
         )
     if not branches:
-        raise ValueError("no enabled rule")
+        raise ValueError("no enabled rule with a valid pattern")
     # sorted by hand on the two leading fields: maps have no order
     return F.array_sort(F.array_compact(F.array(*branches)), lambda a, b: F.when(a["neg"] < b["neg"], -1).when(a["neg"] > b["neg"], 1).when(a["rule_id"] < b["rule_id"], -1).when(a["rule_id"] > b["rule_id"], 1).otherwise(0))
 

@@ -135,7 +135,7 @@ def _marker(p: str) -> str:
     return f"regexp_matches(excerpt, {_q('(?im)' + p)})"
 
 
-_SCORES = ", ".join(f"{{'score': {' + '.join(f'CASE WHEN {_marker(p)} THEN {w} ELSE 0 END' for p, w in ms)}, 'precedence': {-i}, 'ecosystem': '{n}'}}" for i, (n, ms) in enumerate(D.MARKERS.items()))
+_SCORES = ", ".join(f"{{'score': {' + '.join(f'CASE WHEN {_marker(p)} THEN {w} ELSE 0 END' for p, w in D.weighted(n))}, 'precedence': {-i}, 'ecosystem': '{n}'}}" for i, n in enumerate(D.PRECEDENCE))
 
 
 @query(f"SELECT id, CASE WHEN best.score >= 2 THEN best.ecosystem ELSE 'generic' END AS detected, best.score::INT AS score FROM (SELECT id, list_max([{_SCORES}]) AS best FROM analyses)")

@@ -15,12 +15,13 @@ def _root(field: str) -> Column:
     return F.try_element_at("matches", F.lit(1))[field]
 
 
-def analyze(units: DataFrame, pack: list[rules.Rule], raw: str = "text", around: int = 3, cap: int = X.WINDOW_CHARS) -> DataFrame:
+def analyze(units: DataFrame, pack: list[rules.Rule], raw: str = "text", around: int = 3, cap: int | None = None) -> DataFrame:
     """``units`` plus what is stored of an analysis: ``text`` (normalised), ``ecosystem``,
     ``matches`` (best first), ``rule_id``, ``matched``, ``fingerprint``, ``log_hash``, ``excerpt``
     and ``tokens``. The hash is that of the raw text; the fingerprint is made from the matched
     line, else from the lines that speak of errors; the excerpt is the matched line with its
-    context, else the whole text. Nothing is shuffled. A null text stays unmatched.
+    context, else the whole text. Nothing is shuffled. A null text stays unmatched. Texts are taken
+    whole; ``cap`` cuts the middle of longer ones, as :func:`faultloom.functions.text.window_text`.
     """
     x = units.withColumnRenamed(raw, "__raw").withColumn("log_hash", X.log_hash("__raw"))
     x = x.withColumn("text", X.normalize(X.window_text("__raw", cap))).drop("__raw")

@@ -16,14 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) is a private folder made and set.
+    Only in local mode is a private folder made and set where the setting is absent.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="faultloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(path)  # so the next call finds the same one
     return path
 
 

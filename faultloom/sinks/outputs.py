@@ -54,13 +54,15 @@ def rules_json(rules: Iterable) -> str:
     return json.dumps(rows, ensure_ascii=False)
 
 
-def statistics_json(h: DataFrame, top: int = 10) -> str:
-    """Totals, recurrence, time to resolve, ecosystems and the most frequent failures, as one object."""
+def statistics_json(h: DataFrame, top: int = 10, ecosystems: int | None = None) -> str:
+    """Totals, recurrence, time to resolve, ecosystems (all, or the first by name) and the most
+    frequent failures, as one object."""
     from faultloom.operators import stats
 
     t, r, m = stats.totals(h).first(), stats.recurrence_rate(h).first(), stats.time_to_resolve(h).first()
     rows = [{"fingerprint": x.fingerprint, "ruleId": x.rule_id, "count": x.n, "openCount": x.open_count, "flaky": x.flaky, "lastSeen": x.last_seen.isoformat()} for x in stats.top_failures(h, top).collect()]
-    eco = {x.ecosystem: x.n for x in stats.by_ecosystem(h).limit(1000).collect()}
+    by = stats.by_ecosystem(h).orderBy("ecosystem")
+    eco = {x.ecosystem: x.n for x in (by if ecosystems is None else by.limit(ecosystems)).collect()}
     out = {**t.asDict(), "recurrenceRate": round(r.recurrence_rate, 4), "byEcosystem": eco, "topFailures": rows}
     if m.n:
         out |= {"meanTimeToResolutionSeconds": m.mean_us / 1e6, "resolvedWithTiming": m.n}

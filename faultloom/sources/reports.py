@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Outcomes that count as failed, extensions that are read, names of formats.
 FAILED = {"failed", "error", "timeout", "aborted"}
 EXTENSIONS = ("log", "txt", "out", "xml", "trx", "gz")
 _FORMATS = {"": "auto", "auto": "auto", "log": "log", "raw": "log", "text": "log", "junit": "junit", "xml": "junit", "trx": "trx", "dotnet": "trx"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -53,7 +54,8 @@ def deduplicated(stream: DataFrame, window_seconds: int = 300, delay: str = "1 h
         keep, last = sent_times(at, state.get[0] if state.exists else None, window)
         state.update((int(last),))
         state.setTimeoutTimestamp(max(last // 1000 + window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pdf.iloc[keep][["event", "fingerprint", "at", "id"]]
+        if len(keep):
+            yield pdf.iloc[keep][["event", "fingerprint", "at", "id"]]
 
     return stream.withWatermark("at", delay).groupBy("event", "fingerprint").applyInPandasWithState(step, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -84,39 +86,64 @@ def daily_counts(stream: DataFrame, scratch: Scratch, time: str = "analyzed_at",
     return scratch.spark.read.parquet(path)
 
 
+def blocks_before(no: int) -> list[tuple[int, int]]:
+    """The fewest blocks of 2^k aligned batches that hold the batches 0 to no - 1."""
+    out, at = [], 0
+    while at < no:
+        size = 1 << ((no - at).bit_length() - 1)
+        out.append((at, at + size))
+        at += size
+    return out
+
+
 def recurrence(stream: DataFrame, scratch: Scratch) -> DataFrame:
     """``(id, event)`` of arriving rows ``(id, fingerprint)``: ``new-failure`` for a fingerprint's
-    first row in id order of its batch, else ``recurrence``. What was seen is a table that every
-    batch appends to; batches are idempotent, each writes under its own number."""
+    first row in id order of its batch, else ``recurrence``. What was seen is kept in blocks of
+    2^k batches, merged like a binary counter, so a batch reads at most log2 of them; batches are
+    idempotent, each writes under its own number."""
     path, spark = f"{scratch.root}/recurrence", scratch.spark
 
     def write(df: DataFrame, no: int) -> None:
         first = df.groupBy("fingerprint").agg(F.min("id").alias("first_id"))
-        earlier = [f"{path}/seen/{i}" for i in range(no)]
+        earlier = [f"{path}/seen/{a}-{b}" for a, b in blocks_before(no)]
         seen = spark.read.parquet(*earlier) if earlier else spark.createDataFrame([], "fingerprint string")
         first = first.join(seen.withColumn("seen", F.lit(True)), "fingerprint", "left")
         event = F.when(F.col("seen") | (F.col("id") > F.col("first_id")), "recurrence").otherwise("new-failure")
         df.join(first, "fingerprint").select("id", event.alias("event")).write.mode("overwrite").parquet(f"{path}/out/batch={no}")
-        first.where("seen IS NULL").select("fingerprint").write.mode("overwrite").parquet(f"{path}/seen/{no}")
+        first.where("seen IS NULL").select("fingerprint").write.mode("overwrite").parquet(f"{path}/seen/{no}-{no + 1}")
+        size = 2
+        while (no + 1) % size == 0:
+            a = no + 1 - size
+            parts = spark.read.parquet(f"{path}/seen/{a}-{a + size // 2}", f"{path}/seen/{a + size // 2}-{no + 1}")
+            parts.coalesce(max(1, parts.rdd.getNumPartitions() // 2)).write.mode("overwrite").parquet(f"{path}/seen/{a}-{no + 1}")
+            size *= 2
 
     stream.select("id", "fingerprint").writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id long, event string").parquet(f"{path}/out").select("id", "event")
 
 
-def deliver(stream: DataFrame, send: Callable[[dict], None], scratch: Scratch) -> None:
+def deliver(stream: DataFrame, send: Callable[[dict], None], scratch: Scratch) -> DataFrame:
     """Hand every row of an append-mode stream to ``send``, wherever it lies; a channel that fails
     for one event does not hold up the others. Rows may come again after a failure, so ``send``
-    should be idempotent."""
+    should be idempotent. What could not be sent comes back as ``(event json, error)``."""
+    path = f"{scratch.root}/undelivered"
+
+    def each(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            lost = []
+            for r in pdf["event"]:
+                try:
+                    send(json.loads(r))
+                except Exception as x:  # noqa: BLE001
+                    lost.append((r, f"{type(x).__name__}: {x}"))
+            yield pd.DataFrame(lost, columns=["event", "error"])
 
-    def each(rows: Iterator) -> None:
-        for r in rows:
-            try:
-                send(r.asDict())
-            except Exception:  # noqa: BLE001
-                continue
+    def write(df: DataFrame, no: int) -> None:
+        df.select(F.to_json(F.struct(*df.columns)).alias("event")).mapInPandas(each, "event string, error string").write.mode("overwrite").parquet(f"{path}/{no}")
 
-    q = stream.writeStream.foreachBatch(lambda df, no: df.foreachPartition(each)).option("checkpointLocation", f"{scratch.root}/deliver").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{scratch.root}/deliver").trigger(availableNow=True).start()
     q.awaitTermination()
+    return scratch.spark.read.schema("event string, error string").option("recursiveFileLookup", "true").parquet(path)
 
 
 class Budget:
