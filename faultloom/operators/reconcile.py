@@ -67,6 +67,19 @@ def likely_fixed(h: DataFrame, commits: DataFrame, heads_: DataFrame, observed:
     return rows.join(reached, ["repo_id", "git_commit"]).where("git_commit <> head").select("id", "fingerprint", "head")
 
 
+def resolution_events(fixed: DataFrame, at, between: DataFrame | None = None) -> DataFrame:
+    """Events ``(id, seq, kind, note, at, commit)`` of rows found by :func:`likely_fixed`, for
+    :func:`faultloom.operators.history.fold_resolutions`.
+
+    ``between`` gives ``(id, subjects array<string>)`` of the commits since the failure. A row
+    found under several heads is resolved by the smallest.
+    """
+    x = fixed.groupBy("id").agg(F.min("head").alias("head"))
+    x = x.join(between, "id", "left") if between is not None else x.withColumn("subjects", F.lit(None).cast("array<string>"))
+    told = note(F.col("head"), F.coalesce("subjects", F.array().cast("array<string>")))
+    return x.select("id", F.lit(0).cast("long").alias("seq"), F.lit("auto").alias("kind"), told.alias("note"), F.lit(at).cast("timestamp").alias("at"), F.col("head").alias("commit"))
+
+
 # The wording of notes.
 NOTE = "Likely fixed by {head} — auto-detected."
 NOTE_COMMITS = " Commits since the failure:\n"
@@ -81,4 +94,4 @@ def note(head, subjects, shown: int = 3):
     return F.when(n > 0, F.concat(first, F.lit(NOTE_COMMITS), listed, more)).otherwise(first)
 
 
-__all__ = ["ancestors", "commits_between", "heads", "likely_fixed", "note", "reach"]
+__all__ = ["ancestors", "commits_between", "heads", "likely_fixed", "note", "reach", "resolution_events"]

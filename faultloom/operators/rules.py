@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,7 +241,7 @@ def compiles(pattern: str) -> bool:
         return True
     try:
         spark._jvm.java.util.regex.Pattern.compile(FLAGS + pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 

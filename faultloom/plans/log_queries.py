@@ -87,9 +87,9 @@ def fingerprint_logs(s, d):
     return _a(s, d).select("id", X.fingerprint("rule_id", sig).alias("fingerprint"), X.log_hash("excerpt").alias("log_hash"))
 
 
-@query(r"SELECT doc_id, right(regexp_replace(text, '^\s+|\s+$', '', 'g'), 6000) AS tail FROM documents WHERE text IS NOT NULL AND doc_kind = 'log'")
+@query(r"SELECT doc_id, right(regexp_replace(text, '^\s+|\s+$', '', 'g'), 6000) AS tail FROM documents WHERE text IS NOT NULL")
 def tail_excerpts(s, d):
-    return table(s, d, "documents").where("text IS NOT NULL AND doc_kind = 'log'").select("doc_id", X.tail_excerpt("text").alias("tail"))
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.tail_excerpt("text").alias("tail"))
 
 
 def _pack(s, d) -> list[R.Rule]:
@@ -166,11 +166,18 @@ def _filled(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens", F.coalesce("tokens", X.term_counts(X.normalize("excerpt")), F.create_map().cast("map<string,int>")))
 
 
-_BAGS = "bags AS (SELECT id, unnest(map_entries(tokens)) AS e FROM {} WHERE tokens IS NOT NULL), t AS (SELECT id, e.key AS term, e.value AS tf FROM bags)"
-_IDF = "n AS (SELECT count(*)::DOUBLE AS n FROM {} WHERE tokens IS NOT NULL), i AS (SELECT term, count(*)::BIGINT AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY term)"
+def _bags(table_name: str, key: str, n: str) -> str:
+    """Terms of every row, as :func:`_filled`, and their idf over ``n`` rows."""
+    src = f"(SELECT {key} AS id, tokens, excerpt FROM {table_name})"
+    derived = TERMS_SQL.replace("FROM analyses", f"FROM {src} WHERE tokens IS NULL")
+    return f"""t AS (SELECT id, e.key AS term, e.value AS tf FROM (SELECT id, unnest(map_entries(tokens)) AS e FROM {src} WHERE tokens IS NOT NULL) UNION ALL SELECT id, term, n AS tf FROM ({derived})),
+    n AS (SELECT {n}::DOUBLE AS n FROM {table_name}), i AS (SELECT term, count(*)::BIGINT AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM t GROUP BY term)"""
 
 
-@query(f"WITH {_BAGS.format('analyses')}, {_IDF.format('analyses')} SELECT term, df, round_even(idf, 6) AS idf FROM i")
+_BAGS = _bags("analyses", "id", "count(*)")
+
+
+@query(f"WITH {_BAGS} SELECT term, df, round_even(idf, 6) AS idf FROM i")
 def idf_terms(s, d):
     a = _filled(_a(s, d))
     return V.idf(V.term_rows(a, "id", F.col("tokens")), F.lit(a.count())).select("term", "df", F.bround("idf", 6).alias("idf"))
@@ -179,7 +186,7 @@ def idf_terms(s, d):
 _W = "w AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM t JOIN i USING (term))"
 
 
-@query(f"""WITH {_BAGS.format('analyses')}, {_IDF.format('analyses')}, {_W},
+@query(f"""WITH {_BAGS}, {_W},
     s AS (SELECT a.id AS query_id, b.id, round(sum(a.w * b.w), 12) AS score FROM w a JOIN w b USING (term) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) > 0)
     SELECT query_id, id, round_even(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) <= 3""")
 def tfidf_top(s, d):
@@ -198,7 +205,7 @@ def _incoming(s, d) -> DataFrame:
     return _filled(table(s, d, "incoming")).withColumnRenamed("record_id", "id")
 
 
-_PAIRS = f"""WITH RECURSIVE {_BAGS.format('(SELECT record_id AS id, tokens FROM incoming)')}, {_IDF.format('incoming')}, {_W},
+_PAIRS = f"""WITH RECURSIVE {_bags('incoming', 'record_id', '(SELECT count(DISTINCT id) FROM t)').replace("::DOUBLE AS n FROM incoming", "::DOUBLE AS n")}, {_W},
     p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM w a JOIN w b USING (term) WHERE a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5 - 1e-12)"""
 
 
@@ -208,7 +215,7 @@ def cosine_pairs(s, d):
 
 
 _CLUSTERS = f"""{_PAIRS}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
-    c AS (SELECT record_id AS id, record_id AS root FROM incoming WHERE tokens IS NOT NULL UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.id), k AS (SELECT id, min(root) AS cluster FROM c GROUP BY 1),
+    c AS (SELECT record_id AS id, record_id AS root FROM incoming UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.id), k AS (SELECT id, min(root) AS cluster FROM c GROUP BY 1),
     x AS (SELECT cluster, id, rule_id, matched, CASE WHEN trim(coalesce(ecosystem, '')) = '' THEN 'unknown' ELSE ecosystem END AS eco, analyzed_at FROM k JOIN incoming ON record_id = id),
     v AS (SELECT cluster, rule_id, count(*) AS n FROM x WHERE matched GROUP BY 1, 2)"""
 

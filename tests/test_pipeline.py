@@ -59,3 +59,20 @@ def test_deliver(spark, tmp_path):
     assert sorted(p.name for p in out.iterdir()) == ["0", "1", "3", "4"]
     ask = events.limited(lambda t: t.upper(), events.Budget(per_run=1), 3)
     assert (ask("abcdef"), ask("abcdef")) == ("DEF", None)
+
+
+def test_drafts_that_say_nothing_are_refused():
+    from faultloom.operators.assist import too_broad
+
+    for p in ("", ".*", "(.+)", "^.*$", r"[\s\S]*", "(?s).*", "^(.*)$", r"\w*", r"\s", "x?", r"(?<a>.+)"):
+        assert too_broad(p), p
+    for p in ("error", "failed", "exception", "exit code (?<n>\\d+)"):
+        assert not too_broad(p), p
+
+
+def test_blocks_of_batches():
+    from faultloom.streaming.events import blocks_before
+
+    for n in range(70):
+        b = blocks_before(n)
+        assert [x for a, e in b for x in range(a, e)] == list(range(n)) and len(b) <= 7 and all(a % (e - a) == 0 for a, e in b)

@@ -118,3 +118,30 @@ def test_the_prefilter_changes_no_match(spark):
         got = {m.rule_id for m in r.matches}
         assert f"r{r.id}" in got and f"g{r.id}" not in got, (forms[r.id], got)
     assert required_literal(r"missing header \d{1,3}") == "missing header " and required_literal(r"undefined reference\p{Alpha}{2,20}x") == "undefined reference"
+
+
+def test_a_rule_that_does_not_compile_is_left_out(spark, caplog):
+    from faultloom.operators import rules as R
+
+    good, bad, guard = R.Rule("good", "boom", confidence=0.5), R.Rule("bad", "(?<x>[a-z", confidence=0.9), R.Rule("guard", "boom", confidence=0.8, not_match="(")
+    df = spark.createDataFrame([(1, "boom"), (2, "quiet")], "id long, text string").selectExpr("*", "'generic' AS ecosystem")
+    got = {r.id: [m.rule_id for m in r.matches] for r in R.match_rules(df, [bad, good, guard]).collect()}
+    assert got == {1: ["good"], 2: []} and "bad" in caplog.text
+
+
+def test_precedence_and_hand_written_detections(spark):
+    """Expected names were written by hand, line by line."""
+    from pyspark.sql import functions as F
+
+    from faultloom.operators import detect as D
+
+    cases = {
+        "error CS1002: ; expected": "dotnet", "npm ERR! code ERESOLVE": "node", "Traceback (most recent call last):": "python", "[INFO] BUILD FAILURE": "java", "BUILD FAILED in 12s": "java", "e: /src/A.kt:3:1 unresolved": "java",
+        "go: cannot find package \"x\"": "go", "error[E0382]: borrow of moved value": "rust", "rake aborted!": "ruby", "PHP Fatal error:  Uncaught": "php", "main.o: undefined reference to `f'": "cpp",
+        "Step 3/9 : RUN make": "infra", "pod is in CrashLoopBackOff": "infra", "** BUILD FAILED **": "swift", "[error] A.scala:10: type mismatch": "scala", "** (CompileError) lib/a.ex:3": "elixir", "Execution failed for task ':app:mergeDebugResources'.": "android",
+        "yarn 1.22": "generic", "a hidden gem": "generic", "permission denied: x": "generic", "plain words": "generic", "python3 runs pytest": "python", "gradlew": "generic", "ran gradle with gradlew": "java",
+        # equal points: the earlier in the order of precedence wins
+        "Cargo.toml beside go.mod": "rust", "Dockerfile beside cmake": "cpp", "aapt then xcodebuild": "android", "composer then Gemfile": "php",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string").select("t", "want", D.ecosystem(F.col("t")).alias("got"))
+    assert [(r.t, r.got) for r in df.collect() if r.got != r.want] == []

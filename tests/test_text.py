@@ -74,3 +74,20 @@ def test_small_functions(spark):
     ).first()
     assert (r.t, r.w, r.c, r.h, r.e, r.p, r.i, r.j) == ("N.C.m(x)", "N.C.m", True, "1.5m", "x%3A 100%25%0A", "a/b.xml", "do it {y}", '{"a": {"b": 1}}')
     assert r.v == [1.0, 2.5] and r.v0 is None
+
+
+def test_templates_are_filled_in_one_pass(spark):
+    caps = F.create_map(F.lit("a"), F.lit("{b}"), F.lit("b"), F.lit("x"))
+    assert one(spark, "{a}-{b}-{c}-{", lambda c: X.interpolate(c, caps)) == "{b}-x-{c}-{"
+    assert one(spark, "", lambda c: X.interpolate(c, caps)) == "" and one(spark, None, lambda c: X.interpolate(c, caps)) is None
+
+
+def test_nothing_is_cut_unless_asked_for(spark):
+    long = "line\n" * 3_000_000
+    assert one(spark, long, lambda c: F.length(X.window_text(c))) == len(long)
+
+
+def test_terms_of_a_long_text_are_counted_in_time(spark):
+    text = " ".join(f"word{i % 5000}" for i in range(200_000))
+    got = one(spark, text, X.term_counts)
+    assert len(got) == 5000 and set(got.values()) == {40} and one(spark, "", X.term_counts) == {}
