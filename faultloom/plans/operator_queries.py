@@ -18,7 +18,7 @@ from faultloom.plans import history_queries, log_queries, pipeline
 from faultloom.plans.log_queries import _MATCHES, _SCORES, _pack
 from faultloom.sinks import outputs
 from faultloom.session import Scratch, spread, table
-from faultloom.sources import reports
+from faultloom.sources import packs, reports
 from faultloom.streaming import events
 
 NOW = datetime(2026, 3, 1, tzinfo=timezone.utc)
@@ -325,3 +325,11 @@ def explained_logs(s, d):
     bad = R.Rule("broken-rule", r"(?<open>[a-z", confidence=1.0)
     x = R.match_rules(_logs(s, d), [bad, *_pack(s, d)])
     return x.where(F.size("matches") > 0).agg(F.count("*").alias("n"))
+
+
+@query(None)
+def built_in_matches(s, d):
+    """What the library's own packs find in all texts."""
+    t = spread(table(s, d, "documents").select("doc_id", "ecosystem", "text"))
+    m = R.match_rules(t, packs.built_in())
+    return m.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.rule_id", "m.score")

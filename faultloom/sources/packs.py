@@ -43,6 +43,14 @@ def load_packs(*directories: str | Path, base: list[Rule] | None = None) -> list
     return override(*tiers)
 
 
+BUILT_IN = Path(__file__).resolve().parents[1] / "packs"
+
+
+def built_in() -> list[Rule]:
+    """The rules that come with the library, a pack for each ecosystem."""
+    return load_packs(BUILT_IN)
+
+
 def search_path(home: str | Path | None, start: str | Path, configured: list[str] = (), given: list[str] = (), folder: str = ".build-rules") -> list[Path]:
     """Directories that hold packs, least important first: the user's, those found on the way up
     from ``start`` (the nearest last), configured ones, given ones. Each is named once."""
