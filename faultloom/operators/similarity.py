@@ -125,6 +125,78 @@ def _merge_top(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> Ite
             yield q, int(ids[c]), float(row[c])
 
 
+class _Block:
+    """An inverted index over a block of query vectors, for products with batches of the corpus.
+
+    Terms in more than a sixteenth of the queries, at most sixteen times as many as a query has,
+    are columns of a dense matrix; the others have postings.
+    """
+
+    def __init__(self, rows: list):
+        self.ids = np.array([r.id for r in rows], np.int64)
+        t = np.array([x for r in rows for x in r.t], np.int64)
+        w = np.array([x for r in rows for x in r.w], np.float64)
+        q = np.repeat(np.arange(len(rows)), [len(r.t) for r in rows])
+        self.terms, slot = np.unique(t, return_inverse=True)
+        order = np.argsort(slot, kind="stable")
+        self.q, self.w = q[order], w[order]
+        self.at = np.append(0, np.cumsum(np.bincount(slot, minlength=len(self.terms))))
+        often = np.diff(self.at) * 16 > len(rows)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), len(rows)))
+        hit = self.column[slot] >= 0
+        self.dense[self.column[slot[hit]], q[hit]] = w[hit]
+        self.order = np.argsort(self.ids)
+
+    def scores(self, ids: np.ndarray, row: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """``(rows, queries)`` products; a row with itself has none."""
+        n, m = len(ids), len(self.ids)
+        slot = np.minimum(np.searchsorted(self.terms, t), max(len(self.terms) - 1, 0))
+        known = self.terms[slot] == t if len(self.terms) else np.zeros(len(t), bool)
+        row, slot, w = row[known], slot[known], w[known]
+        col = self.column[slot]
+        x = np.zeros((n, len(self.dense)))
+        x[row[col >= 0], col[col >= 0]] = w[col >= 0]
+        out = x @ self.dense
+        row, slot, w = row[col < 0], slot[col < 0], w[col < 0]
+        many = self.at[slot + 1] - self.at[slot]
+        post = np.repeat(self.at[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out += np.bincount(np.repeat(row, many) * m + self.q[post], np.repeat(w, many) * self.w[post], n * m).reshape(n, m)
+        place = np.minimum(np.searchsorted(self.ids, ids, sorter=self.order), m - 1)
+        same = self.ids[self.order[place]] == ids
+        out[np.flatnonzero(same), self.order[place[same]]] = 0.0
+        return np.round(out, 12)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each query: higher scores, then higher ids."""
+    o = np.lexsort((-ids, -score, q))
+    q, ids, score = q[o], ids[o], score[o]
+    keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[keep], ids[keep], score[keep]
+
+
+def _top_of_block(block: _Block, k: int, rows_at_once: int = 2000):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        floor = np.zeros(len(block.ids))  # the k-th best score of each query so far
+        for b in batches:
+            for start in range(0, b.num_rows, rows_at_once):
+                part = b.slice(start, rows_at_once)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                (row, t), (_, w) = _flat(part.column(1)), _flat(part.column(2))
+                s = block.scores(ids, row, t, w)
+                edge = np.partition(s, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.zeros(s.shape[1])
+                r, q = np.nonzero((s >= np.maximum(edge, floor)) & (s > 0))
+                best = _best(np.append(best[0], q), np.append(best[1], ids[r]), np.append(best[2], s[r, q]), k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(floor)) == k)
+                floor[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
+
+    return scan
+
+
 def tfidf_top(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     """``(query_id, id, score, rank)``: for each query vector the k corpus vectors of highest
     cosine above zero, the newer (higher id) first on ties.
@@ -133,43 +205,20 @@ def tfidf_top(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     query is all rows but itself, plus the query: idf counts are those of the whole corpus table.
     Queries are read in blocks of ``BLOCK_QUERIES``; each block is an inverted index that every
     partition of the corpus runs against, keeping k rows a query before anything is shuffled.
+    Terms meet by 64-bit hash.
     """
     scratch = Scratch(corpus.sparkSession)
     rows = term_rows(corpus, "id", F.col("terms"))
-    n = corpus.count()
-    idfs = scratch.save(idf(rows, F.lit(n)))
-    vectors = lambda df: weights(term_rows(df, "id", F.col("terms")), idfs).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v"))
-    mine = scratch.save(vectors(corpus).select("id", F.col("v.term").alias("t"), F.col("v.w").alias("w")))
-    asked = vectors(queries).select("id", F.col("v.term").alias("t"), F.col("v.w").alias("w"))
+    idfs = scratch.save(idf(rows, F.lit(corpus.count())))
+    vectors = lambda df: weights(term_rows(df, "id", F.col("terms")), idfs).groupBy("id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("v")).select(F.col("id").cast("long").alias("id"), F.col("v.t").alias("t"), F.col("v.w").alias("w"))
+    mine = scratch.save(vectors(corpus))
+    asked = vectors(queries)
     schema = "query_id long, id long, score double"
     out = None
     block: list = []
 
     def run_block(block: list) -> DataFrame:
-        index: dict[str, tuple[list, list]] = {}
-        for q, r in enumerate(block):
-            for t, w in zip(r.t, r.w):
-                e = index.setdefault(t, ([], []))
-                e[0].append(q)
-                e[1].append(w)
-        index_np = {t: (np.array(a), np.array(b)) for t, (a, b) in index.items()}
-        qid = np.array([r.id for r in block], np.int64)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = np.array(b.column(0).to_pylist(), np.int64)
-                s = np.zeros((len(qid), len(ids)))
-                for c, (ts, ws) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                    col = s[:, c]
-                    for t, w in zip(ts, ws):
-                        e = index_np.get(t)
-                        if e is not None:
-                            col[e[0]] += e[1] * w
-                s[qid[:, None] == ids[None, :]] = 0.0
-                top = list(_merge_top(np.round(s, 12), ids, k, 0.0))
-                yield pa.RecordBatch.from_arrays([pa.array([int(qid[x[0]]) for x in top], pa.int64()), pa.array([x[1] for x in top], pa.int64()), pa.array([x[2] for x in top], pa.float64())], names=["query_id", "id", "score"])
-
-        return spread(mine).mapInArrow(scan, schema)
+        return spread(mine).mapInArrow(_top_of_block(_Block(block), k), schema)
 
     for r in asked.toLocalIterator():
         block.append(r)
