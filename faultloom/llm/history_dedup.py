@@ -554,7 +554,14 @@ class AcceptedHistory:
             raise RuntimeError("another program has written this state")
 
     def _write(self, rows: DataFrame, rank: int) -> None:
-        """``rows (ord, at, h, fp)`` as a new segment, merged with those of its rank."""
+        """``rows (ord, at, h, fp)`` as a new segment, merged at once with all those that its rank
+        and the ranks it thereby reaches call for."""
+        old = []
+        while self.live and self.live[-1][0] == rank:
+            old.append(f"{self.path}/{self.live.pop()[1]}/rows")
+            rank += 1
+        if old:
+            rows = rows.select("ord", "at", "h", "fp").unionByName(self.spark.read.schema(_ROWS).parquet(*old))
         self.made += 1
         name = f"{self.made}-{uuid.uuid4().hex[:8]}"
         path = f"{self.path}/{name}"
@@ -574,10 +581,6 @@ class AcceptedHistory:
 
         x.groupBy("block", "sub", "shard").applyInArrow(build, _SEGMENT_SCHEMA).write.partitionBy("block").parquet(f"{path}/index")
         self.live.append((rank, name))
-        if len(self.live) > 1 and self.live[-2][0] == rank:
-            (_, a), (_, b) = self.live[-2:]
-            self.live = self.live[:-2]
-            self._write(self.spark.read.schema(_ROWS).parquet(f"{self.path}/{a}/rows", f"{self.path}/{b}/rows"), rank + 1)
 
     def accept(self, rows: DataFrame, terms: Column, time: str = "analyzed_at", key: str = "fingerprint") -> None:
         """Take rows in without a check, as one segment of the highest rank so far or of rank 10."""
@@ -623,9 +626,9 @@ class AcceptedHistory:
         return new.join(no, "ord", "left_semi").select("record_id")
 
 
-def refused_by_batches(history: DataFrame, incoming: DataFrame, history_terms: Column, incoming_terms: Column, path: str, record_id: str = "record_id", batch: str = "batch_no", time: str = "analyzed_at", key: str = "fingerprint") -> DataFrame:
-    """``(record_id)`` refused when the batches of ``incoming`` are offered one after the other to
-    the segments stored under ``path``; rows as of :func:`refused_records`.
+def refused_by_batches(history: DataFrame, incoming: DataFrame, history_terms: Column, incoming_terms: Column, path: str, record_id: str = "record_id", batch: str = "batch_no", time: str = "analyzed_at", key: str = "fingerprint", together: int = 1) -> DataFrame:
+    """``(record_id)`` refused when the batches of ``incoming`` are offered one after the other, or
+    some ``together``, to the segments stored under ``path``; rows as of :func:`refused_records`.
 
     The history is read once, into the first segment, and never again. Batches are a few numbers,
     read on the driver; nulls are left out, as are further copies of a record id.
@@ -636,7 +639,8 @@ def refused_by_batches(history: DataFrame, incoming: DataFrame, history_terms: C
     first = Window.partitionBy(record_id).orderBy(batch)
     once = incoming.where(F.col(batch).isNotNull() & F.col(record_id).isNotNull()).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     out = None
-    for r in once.select(F.col(batch).alias("b")).distinct().orderBy("b").collect():
-        got = kept.offer(once.where(F.col(batch) == r.b), incoming_terms, record_id, batch, time, key)
+    numbers = [r.b for r in once.select(F.col(batch).alias("b")).distinct().orderBy("b").collect()]
+    for at in range(0, len(numbers), together):
+        got = kept.offer(once.where(F.col(batch).isin(numbers[at : at + together])), incoming_terms, record_id, batch, time, key)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else incoming.sparkSession.createDataFrame([], "record_id long")

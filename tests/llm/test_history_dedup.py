@@ -195,3 +195,5 @@ def test_query_by_batches_agrees(spark, tmp_path):
     new = [(i, i // 15, when(), f"f{rng.randrange(200)}", terms()) for i in range(45)] + [(None, 1, T0, "f", terms()), (50, None, T0, "f", terms())]
     got = refused_by_batches(spark.createDataFrame([(*r, "x", "y", "z") for r in old], OLD), spark.createDataFrame([(*r, "x", "y", "z") for r in new], NEW), F.col("terms"), F.col("terms"), str(tmp_path / "b"))
     assert {r.record_id for r in got.collect()} == brute(old, new)
+    got = refused_by_batches(spark.createDataFrame([(*r, "x", "y", "z") for r in old], OLD), spark.createDataFrame([(*r, "x", "y", "z") for r in new], NEW), F.col("terms"), F.col("terms"), str(tmp_path / "c"), together=2)
+    assert {r.record_id for r in got.collect()} == brute(old, new)
