@@ -45,7 +45,7 @@ class Limits:
     tokens than that is cut like one that is too long."""
 
     tokens: int = 2048
-    segments: int = 48
+    segments: int = 128
     loss: int = 2048
 
 
