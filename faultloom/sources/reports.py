@@ -5,7 +5,6 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,9 @@ def parse_format(text: str | None) -> str | None:
     return _FORMATS.get((text or "").strip().lower())
 
 
-def _root(content: str) -> ET.Element:
+def _root(content: str | ET.Element) -> ET.Element:
+    if isinstance(content, ET.Element):
+        return content
     if "<!DOCTYPE" in content or "<!ENTITY" in content:
         raise ET.ParseError("document types are not read")
     return ET.fromstring(content.lstrip("\ufeff").strip())
@@ -37,20 +38,25 @@ def _text(e: ET.Element | None) -> str | None:
     return None if e is None else "".join(e.itertext())
 
 
-def detect_format(path: str | None, content: str) -> str:
-    """``trx``, ``junit`` or ``log``: by extension, then by the root of well-formed XML."""
+def sniff(path: str | None, content: str) -> tuple[str, str | ET.Element]:
+    """The format and what is to be read: the parsed root where that had to be looked at."""
     if (path or "").lower().endswith(".trx"):
-        return "trx"
+        return "trx", content
     if content.lstrip("\ufeff \t\r\n").startswith("<"):
         try:
-            root = _local(_root(content))
+            root = _root(content)
         except ET.ParseError:
-            return "log"
-        if root.lower() == "testrun":
-            return "trx"
-        if root in ("testsuites", "testsuite"):
-            return "junit"
-    return "log"
+            return "log", content
+        if _local(root).lower() == "testrun":
+            return "trx", root
+        if _local(root) in ("testsuites", "testsuite"):
+            return "junit", root
+    return "log", content
+
+
+def detect_format(path: str | None, content: str) -> str:
+    """``trx``, ``junit`` or ``log``: by extension, then by the root of well-formed XML."""
+    return sniff(path, content)[0]
 
 
 def assembly_name(v: str | None) -> str | None:
@@ -64,7 +70,7 @@ def _failure(name: str, cls: str | None, message: str, details: str | None, meth
     return {"name": name, "classname": cls, "message": message, "details": (details or "").strip() or None, "method": method, "assembly": assembly, "full_name": f"{cls}.{name}" if (cls or "").strip() else name}
 
 
-def junit_failures(content: str) -> list[dict]:
+def junit_failures(content: str | ET.Element) -> list[dict]:
     out: list[dict] = []
 
     def walk(e: ET.Element, suite: str | None) -> None:
@@ -83,7 +89,7 @@ def junit_failures(content: str) -> list[dict]:
     return out
 
 
-def trx_failures(content: str) -> list[dict]:
+def trx_failures(content: str | ET.Element) -> list[dict]:
     root = _root(content)
     child = lambda e, n: None if e is None else next((c for c in e if _local(c) == n), None)
     tests: dict[str, tuple] = {}
@@ -117,11 +123,11 @@ def _parse(forced: str | None):
             for source, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not content:
                     continue
-                kind = forced or detect_format(source, content)
+                kind, body = (forced, content) if forced else sniff(source, content)
                 if kind == "log":
                     continue
                 try:
-                    found = trx_failures(content) if kind == "trx" else junit_failures(content)
+                    found = trx_failures(body) if kind == "trx" else junit_failures(body)
                 except ET.ParseError:
                     if forced:
                         raise
@@ -142,17 +148,32 @@ def test_failures(files: DataFrame, forced: str | None = None) -> DataFrame:
     return files.select("source", "content").mapInArrow(_parse(forced), FAILURES)
 
 
+def unit_text(f: dict) -> str:
+    """What is analysed of a failing test: its name, then message and details unless blank."""
+    parts = [f"FAILED: {f['full_name']}", *(x.strip(" ") for x in (f["message"], f["details"]) if x and x.strip(" "))]
+    return "\n".join(parts) + "\n"
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows: list[tuple] = []
+        for source, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            kind, body = sniff(source, content or "")
+            if kind == "log":
+                rows.append((source, content, 0))
+                continue
+            try:
+                found = trx_failures(body) if kind == "trx" else junit_failures(body)
+            except ET.ParseError:
+                continue  # a report by its name only
+            rows += [("::".join(x for x in (source, f["full_name"]) if x is not None), unit_text(f), i) for i, f in enumerate(found)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 2 else pa.string()) for k in range(3)], names=["source", "text", "seq"])
+
+
 def units(files: DataFrame) -> DataFrame:
-    """``(source, text, seq)``: a raw log is one unit, a report one unit per failing test."""
-    f = test_failures(files)
-    blank = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
-    expanded = f.select(F.concat_ws("::", "source", "full_name").alias("source"), F.concat(F.concat_ws("\n", F.concat(F.lit("FAILED: "), "full_name"), blank(F.col("message")), blank(F.col("details"))), F.lit("\n")).alias("text"), "seq")
-    def detected(source: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([detect_format(a, b) for a, b in zip(source, content)])
-
-    kind = F.pandas_udf(detected, "string")
-    logs = files.where(kind("source", F.coalesce("content", F.lit(""))) == "log").select("source", F.col("content").alias("text"), F.lit(0).alias("seq"))
-    return logs.unionByName(expanded)
+    """``(source, text, seq)``: a raw log is one unit, a report one unit per failing test. Every
+    file is read and parsed once; a null content is a log without text."""
+    return files.select("source", "content").mapInArrow(_units, "source string, text string, seq int")
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
