@@ -22,11 +22,18 @@ Bounded buckets. Only buckets of at most ``bucket`` rows are paired. Larger ones
 selections, are refined: let a set have E empty and H overfull ones among its masks. A pair that
 meets in no live bucket has M(r) <= E + H on both sides, and as r <= 2w for the one of larger w,
 that one has M(2w) <= E + H as well. So only such sets, called open, are looked up once more, by
-exact prefixes in the global order (rare terms, then frequent ones): the smaller set's first
-a - ceil(2t/(1+t)*a) + 1 terms and the larger one's first b - ceil(t*b) + 1 terms share one. For
-all other pairs the masks are a proof by themselves.
-
-What tasks know of terms and buckets (shared, frequent, overfull) are bit arrays of fixed size,
+exact prefixes in the global order (rarer terms first, by level of frequency): the smaller set's
+first a - ceil(2t/(1+t)*a) + 1 terms and the larger one's first b - ceil(t*b) + 1 terms share one.
+For all other pairs the masks are a proof by themselves.
+
+Frequent prefix terms. Rows that share one prefix term are divided by the second term they share,
+those still many by the third, and so on up to ``DEPTH``: a pair that has o terms in common has its
+l-th common term, l <= o, within the first l - 1 places beyond the prefixes. A row carries the
+places that follow along with its term, so this needs no further shuffle, and a term's rows are
+compared with each other only where few are left. Pairs that need no further term in common (one
+set is hardly more than the terms shared so far) are compared before the rows are divided.
+
+What tasks know of terms and buckets (levels of frequency, overfull) are bit arrays of fixed size,
 indexed by hash. A collision errs on the safe side only: a single term kept in the vectors, a rare
 term ordered among the frequent, a bucket refined instead of paired.
 
@@ -42,6 +49,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,9 +62,16 @@ FLAG_BITS = 1 << 26  # 8 MiB per bit array, whatever the data
 Q = 2  # code bits of a part: 3 masks
 FIRST_SIZE = 128  # sets up to this size share the first family of tables
 GROUP_ROWS = 50_000  # rows of sorted buckets paired together
+LEVELS = (1, 8, 64, 256, 2048, 16384)  # a term of more rows than these comes later in the order
+DIVIDED = 4  # terms of so many levels and above may be divided by further terms
+FEW = 64  # rows under a term that may be the smaller of a pair: not divided further
+DEPTH = 4  # terms in common by which rows are divided at most
+PAIRS_AT_ONCE = 1 << 20
+ENTRIES = 1 << 21  # terms of rows that are divided at once
+ROWS_AT_ONCE = 1 << 17
 _FIELDS = [T.StructField("key", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())]
 _KEYS = T.StructType(_FIELDS)
-_PREFIX = T.StructType([*_FIELDS, T.StructField("smaller", T.BooleanType()), T.StructField("open", T.BooleanType())])
+_PREFIX = T.StructType([*_FIELDS, T.StructField("place", T.IntegerType()), T.StructField("rest", T.BinaryType())])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -224,22 +239,115 @@ def pairs_of_buckets(key, rep, n, s1, s2, f: Fraction, likeness: Fraction) -> tu
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _pair_up(f: Fraction, likeness: Fraction):
+def prefix_lengths(n: np.ndarray, likeness: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of which the first common one is among, for a set as the smaller and as the larger."""
+    p, q = likeness.numerator, likeness.denominator
+    return n + (-2 * p * n) // (p + q) + 1, n + (-p * n) // q + 1
+
+
+def _first_with_rest(group, sm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(order, first, end)``: rows by group, those that may be the smaller first; for each of
+    these its place in that order and the end of its group."""
+    order = np.lexsort((~sm, group))
+    g = group[order]
+    first = np.flatnonzero(sm[order])
+    return order, first, np.searchsorted(g, g[first], "right")
+
+
+def _pairs(first: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every place of ``first`` with all later ones of its group, some at a time."""
+    many = end - first - 1
+    edge = np.cumsum(many)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        m = many[at:to]
+        i = np.repeat(first[at:to], m)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        at = to
+
+
+def pairs_of_prefixes(key, rep, n, s1, s2, place, is_open, off, rest, f: Fraction, likeness: Fraction, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one prefix term, of which one is open, that sizes and sketches allow.
+
+    ``rest[off[i]:off[i + 1]]`` are the terms that follow the place of row i in the order.
+    """
+    as_smaller, as_larger = prefix_lengths(n, likeness)
+    p, q = likeness.numerator, likeness.denominator
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def compare(row, at, group, begins, depth: int) -> None:
+        order, first, end = _first_with_rest(group, begins)
+        r = row[order]
+        size, opened, may = n[r], is_open[r], at[order] < as_smaller[r] + depth - 1
+        for i, j in _pairs(first, end):
+            ok = np.minimum(size[i], size[j]) * q >= np.maximum(size[i], size[j]) * p
+            # the smaller set has to be one that may be; of equal sizes either
+            ok &= (opened[i] | opened[j]) & ((size[i] <= size[j]) | may[j])
+            i, j = r[i[ok]], r[j[ok]]
+            # two terms of a row may have one short hash
+            ok = (i != j) & near(n[i], n[j], s1[i] ^ s1[j], s2[i] ^ s2[j], f, likeness)
+            i, j = rep[i[ok]], rep[j[ok]]
+            found.append((np.minimum(i, j), np.maximum(i, j)))
+
+    def divide(row, at, group, depth: int) -> None:
+        """Rows with places ``at`` of their last common term so far, which is their ``depth``-th."""
+        group = np.unique(group, return_inverse=True)[1]
+        sm = at < as_smaller[row] + depth - 1
+        small = np.bincount(group[sm], minlength=len(group))
+        some = small[group] > 0
+        row, at, group, sm = row[some], at[some], group[some], sm[some]
+        more = np.bincount(group[off[row + 1] > off[row]], minlength=len(small)) > 0  # rare terms come without others
+        whole = ~((small > few) & more & (depth < DEPTH))[group]
+        # of rows that are divided: those that, as the smaller, need no further term in common
+        done = sm & (-((-2 * p * n[row]) // (p + q)) <= depth)
+        compare(row, at, group, np.where(whole, sm, done), depth)
+        keep = np.flatnonzero(~whole)
+        keep = keep[np.argsort(group[keep], kind="stable")]
+        r, last, g = row[keep], at[keep], group[keep]
+        # places after the last one, up to those that the next common term can have
+        begin = off[r] + last - place[r]
+        many = np.maximum(np.minimum(off[r + 1], off[r] + as_larger[r] + depth - place[r] - 1) - begin, 0)
+        edge = np.append(0, np.cumsum(many))
+        at_group = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)]), len(g))
+        k = 0
+        while k < len(at_group) - 1:
+            i = at_group[k]
+            k = max(k + 1, int(np.searchsorted(edge[at_group], edge[i] + ENTRIES, "right")) - 1)
+            j = at_group[k]
+            slices = int(edge[j] - edge[i]) // ENTRIES + 1  # of a large group: some of its terms at a time
+            for x in range(slices):
+                parts = []
+                for u in range(i, j, ROWS_AT_ONCE):
+                    z = slice(u, min(j, u + ROWS_AT_ONCE))
+                    m = many[z]
+                    step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    term = rest[np.repeat(begin[z], m) + step].astype(np.int64)
+                    mine = term % slices == x
+                    parts.append((np.repeat(r[z], m)[mine], (np.repeat(last[z], m) + 1 + step)[mine], (np.repeat(g[z], m) * 65536 + term)[mine]))
+                divide(*(np.concatenate(y) for y in zip(*parts)), depth + 1)
+
+    divide(np.arange(len(key)), place, key, 1)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _pair_up(pairs_of):
     """Buckets, sorted by key, are paired some together; the last one waits for its rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
+        enough = GROUP_ROWS
 
         def work(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
+            nonlocal held, rows, enough
             t = pa.Table.from_batches(held).combine_chunks()
             key = t.column("key").to_numpy()
             stop = len(key) if final else int(np.searchsorted(key, key[-1], "left"))
-            cols = [t.column(c).to_numpy()[:stop] for c in ("rep", "n", "s1", "s2")]
-            a, b = pairs_of_buckets(key[:stop], cols[0], cols[1].astype(np.int64), cols[2], cols[3], f, likeness)
+            a, b = pairs_of(t.slice(0, stop)) if stop else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             held = t.slice(stop).to_batches()
             rows = len(key) - stop
+            enough = max(GROUP_ROWS, 2 * rows)
             if len(a):
                 both = np.unique(np.rec.fromarrays([a, b]))  # one pair meets in many tables
                 yield pa.RecordBatch.from_arrays([pa.array(both.f0.copy()), pa.array(both.f1.copy())], names=["a", "b"])
@@ -248,7 +356,7 @@ def _pair_up(f: Fraction, likeness: Fraction):
             if x.num_rows:
                 held.append(x)
                 rows += x.num_rows
-                if rows >= GROUP_ROWS:
+                if rows >= enough:
                     yield from work(False)
         if held:
             yield from work(True)
@@ -256,8 +364,31 @@ def _pair_up(f: Fraction, likeness: Fraction):
     return run
 
 
-def _prefixes(shared, frequent, overfull, f: Fraction, likeness: Fraction):
-    """Prefix terms of every set, in the order: rare, frequent, and by hash among these."""
+def _of_buckets(f: Fraction, likeness: Fraction):
+    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, rep, n, s1, s2 = (t.column(c).to_numpy() for c in _KEYS.names)
+        return pairs_of_buckets(key, rep, n.astype(np.int64), s1, s2, f, likeness)
+
+    return pairs_of
+
+
+def _of_prefixes(f: Fraction, likeness: Fraction):
+    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, rep, n, s1, s2, place = (t.column(c).to_numpy() for c in _PREFIX.names[:-1])
+        col = t.column("rest").combine_chunks()
+        off = np.append(0, np.cumsum(pc.binary_length(col).to_numpy() // 2))
+        rest = np.frombuffer(b"".join(col.to_pylist()), np.uint16)
+        return pairs_of_prefixes(key, rep, n.astype(np.int64), s1, s2, place.astype(np.int64) >> 1, (place & 1).astype(bool), off, rest, f, likeness)
+
+    return pairs_of
+
+
+def _prefixes(levels, overfull, f: Fraction, likeness: Fraction):
+    """Prefix terms of every set in the order: by level of frequency, and by hash within one.
+
+    ``place`` is twice the place, and one more for open sets. Terms that may be divided bring the
+    16-bit hashes of those that follow, as far as common terms are looked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,19 +397,20 @@ def _prefixes(shared, frequent, overfull, f: Fraction, likeness: Fraction):
             rep, off, h = _sets(b)
             n = np.diff(off)
             row = np.repeat(np.arange(len(n)), n)
-            known = flagged(shared.value, h)
-            _, _, is_open = _masked(off, h, shared.value, overfull.value, f, likeness)
-            kind = np.where(known, 1 + flagged(frequent.value, h), 0)
+            _, _, is_open = _masked(off, h, levels[0].value, overfull.value, f, likeness)
+            kind = sum(flagged(x.value, h).astype(np.int8) for x in levels)
+            kind[~flagged(levels[0].value, h)] = 0
             o = np.lexsort((h, kind, row))
             place = np.arange(len(h)) - np.repeat(off[:-1], n)  # from 0, in the order
-            p, q = likeness.numerator, likeness.denominator
-            as_larger = n + (-p * n) // q + 1
-            as_smaller = n + (-2 * p * n) // (p + q) + 1
-            use = (kind[o] > 0) & (place < as_larger[row])
+            _, as_larger = prefix_lengths(n, likeness)
+            use = np.flatnonzero((kind[o] > 0) & (place < as_larger[row]))
             r = row[use]
+            short = mix(h[o]).astype(np.uint16).tobytes()
+            to = np.where(kind[o][use] >= DIVIDED, np.minimum(off[1:][r], off[:-1][r] + as_larger[r] + DEPTH - 1), use + 1)
+            rest = [short[2 * i + 2 : 2 * j] for i, j in zip(use.tolist(), to.tolist())]
             s1, s2 = parity_sketch(h, off[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[o][use]), pa.array(rep[r]), pa.array(n[r].astype(np.int32)), pa.array(s1[r]), pa.array(s2[r]), pa.array(place[use] < as_smaller[r]), pa.array(is_open[r])], names=_PREFIX.names
+                [pa.array(h[o][use]), pa.array(rep[r]), pa.array(n[r].astype(np.int32)), pa.array(s1[r]), pa.array(s2[r]), pa.array((2 * place[use] + is_open[r]).astype(np.int32)), pa.array(rest, pa.binary())], names=_PREFIX.names
             )
 
     return run
@@ -289,21 +421,13 @@ def candidate_pairs(sets: DataFrame, likeness: Fraction, bucket: int, scratch: S
     f = (1 - likeness) / (1 + likeness)
     sc = sets.sparkSession.sparkContext
     counts = scratch.save(sets.select(F.explode("h").alias("x")).groupBy("x").count().where("count > 1"))
-    shared = sc.broadcast(flag_array(counts, bits))
-    frequent = sc.broadcast(flag_array(counts.where(F.col("count") > bucket), bits))
-    full = sets.mapInArrow(_emit(shared, None, f, likeness, True), "key long").groupBy("key").count().where(F.col("count") > bucket)
+    levels = [sc.broadcast(flag_array(counts.where(F.col("count") > k), bits)) for k in LEVELS]
+    full = sets.mapInArrow(_emit(levels[0], None, f, likeness, True), "key long").groupBy("key").count().where(F.col("count") > bucket)
     overfull = sc.broadcast(flag_array(full.select(F.col("key").alias("x")), bits))
-    keys = sets.mapInArrow(_emit(shared, overfull, f, likeness, False), _KEYS)
-    masks = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(f, likeness), "a long, b long")
-    prefix = sets.mapInArrow(_prefixes(shared, frequent, overfull, f, likeness), _PREFIX)
-    x, y = prefix.alias("x"), prefix.alias("y")
-    # the smaller set is x; of equal sizes each may be either
-    meet = (
-        (F.col("x.key") == F.col("y.key")) & F.col("x.smaller") & (F.col("x.open") | F.col("y.open")) & (F.col("x.rep") != F.col("y.rep"))
-        & (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") * likeness.denominator >= F.col("y.n") * likeness.numerator)
-        & ((F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))) * f.denominator <= (F.col("x.n") + F.col("y.n")) * f.numerator)
-    )
-    refined = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    keys = sets.mapInArrow(_emit(levels[0], overfull, f, likeness, False), _KEYS)
+    masks = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(_of_buckets(f, likeness)), "a long, b long")
+    prefix = sets.mapInArrow(_prefixes(levels, overfull, f, likeness), _PREFIX)
+    refined = prefix.repartition("key").sortWithinPartitions("key").mapInArrow(_pair_up(_of_prefixes(f, likeness)), "a long, b long")
     return masks, refined
 
 

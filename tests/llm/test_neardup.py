@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from faultloom.llm import neardup
 from faultloom.llm.neardup import covering_keys, flag_array, flagged, least_agreements, parity_sketch, similar_groups, similar_pairs, similar_sets, term_hashes
 
 SCHEMA = "id long, terms array<string>, h string, rep string, key string"
@@ -130,3 +131,45 @@ def test_groups_agree_with_pairs(spark):
     df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA)
     got = {r.id: (r.group_id, r.n_links) for r in similar_groups(df, F.col("terms")).collect()}
     assert got == {i: (g, sum(i in p for p in pairs)) for i, g in group.items()}
+
+
+def prefix_rows(sets, levels=3):
+    """What rows of prefixes carry, for sets of numbers in their order."""
+    out = {k: [] for k in ("key", "rep", "n", "s1", "s2", "place", "open")}
+    off, rest = [0], []
+    for rep, t in sets:
+        t = np.array(sorted(t))
+        s1, s2 = parity_sketch(neardup.mix(t), np.array([0]))
+        _, longest = neardup.prefix_lengths(np.array([len(t)]), Fraction(7, 10))
+        for i in range(int(longest[0])):
+            for k, v in (("key", t[i]), ("rep", rep), ("n", len(t)), ("s1", s1[0]), ("s2", s2[0]), ("place", i), ("open", True)):
+                out[k].append(v)
+            rest += t[i + 1 : longest[0] + neardup.DEPTH - 1].tolist()
+            off.append(len(rest))
+    return [np.array(v) for v in out.values()] + [np.array(off), np.array(rest).astype(np.uint16)]
+
+
+@pytest.mark.parametrize("entries", [1 << 21, 50])
+def test_frequent_prefix_terms_are_divided_by_further_terms(monkeypatch, entries):
+    """Pairs come out whole, and terms in most sets do not have all their rows compared."""
+    monkeypatch.setattr(neardup, "ENTRIES", entries)
+    rng = random.Random(21)
+    sets = []
+    for i in range(150):
+        base = rng.sample(range(200), rng.choice([1, 2, 3, 4, 6, 12, 20]))
+        base += [x + 65536 for x in base[:2]]  # of one short hash
+        sets += [set(base), set(base) ^ set(rng.sample(range(200), 2)), {0, *base}]
+    sets = [(i, t) for i, t in enumerate({frozenset(t): 0 for t in sets}) if t]
+    f, likeness = Fraction(3, 17), Fraction(7, 10)
+    want = brute(sets, likeness)
+    for few in (0, 3, 10**6):
+        a, b = neardup.pairs_of_prefixes(*prefix_rows(sets), f, likeness, few)
+        assert want <= set(zip(a.tolist(), b.tolist())) and (a < b).all()
+    hot = [(i, {0, *rng.sample(range(1, 2000), 40)}) for i in range(1500)]
+    compared = {}
+    pairs = neardup._pairs
+    for few in (neardup.FEW, 10**6):
+        compared[few] = []
+        monkeypatch.setattr(neardup, "_pairs", lambda *x: (compared[few].append(len(p[0])) or p for p in pairs(*x)))
+        neardup.pairs_of_prefixes(*prefix_rows(hot), f, likeness, few)
+    assert sum(compared[10**6]) > 3 * sum(compared[neardup.FEW])
