@@ -59,6 +59,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """Edges ``(u long, v long)`` contracted within each task; what they connect stays connected."""
+    return edges.mapInArrow(_contract, "u long, v long")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -87,7 +92,7 @@ def min_label_components(edges: DataFrame, scratch: Scratch | None = None, max_r
     state = {k: F.expr(x) for k, x in _STATE.items()}
     e, before = scratch.save_with(e0.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **state)
     for _ in range(max_rounds if before["n"] else 0):
-        nxt, now = scratch.save_with(_small_star(_large_star(e.mapInArrow(_contract, "u long, v long"))), **state)
+        nxt, now = scratch.save_with(_small_star(_large_star(contract(e))), **state)
         scratch.drop(e)
         e = nxt
         if now == before:

@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from faultloom.operators.components import min_label_components
+from faultloom.operators import cosine_join
+from faultloom.operators.components import contract, min_label_components
 from faultloom.session import Scratch, spread
 
 BLOCK_QUERIES = 2048
+FREQUENT = 1 << 18  # terms sent to every task
 
 
 def term_rows(df: DataFrame, row_id: str, terms: Column) -> DataFrame:
@@ -32,39 +34,69 @@ def weights(rows: DataFrame, idfs: DataFrame) -> DataFrame:
     return w.join(norm, "id").where("norm > 0").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def term_bags(df: DataFrame, row_id: str, terms: Column) -> DataFrame:
+    """``(id, e)`` of a ``map<string,int>`` column, e an array of ``(term, tf)``; like
+    :func:`term_rows`, but nothing is shuffled unless ids repeat."""
+    if df.groupBy(row_id).count().where("count > 1").limit(1).count():
+        return _bags(term_rows(df, row_id, terms))
+    return df.select(F.col(row_id).alias("id"), F.map_entries(terms).cast("array<struct<term: string, tf: int>>").alias("e"))
+
+
+def _bags(rows: DataFrame) -> DataFrame:
+    return rows if "e" in rows.columns else rows.groupBy("id").agg(F.collect_list(F.struct(F.col("term").cast("string").alias("term"), F.col("tf").cast("int").alias("tf"))).alias("e"))
+
+
 def copies(rows: DataFrame) -> DataFrame:
     """``(id, first)``: for each id with terms the smallest id that has the same terms as often."""
-    same = rows.groupBy("id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", "tf")))), 256).alias("bag"))
+    same = _bags(rows).where("size(e) > 0").select("id", F.unhex(F.sha2(F.to_json(F.array_sort("e")), 256)).alias("bag"))
     return same.join(same.groupBy("bag").agg(F.min("id").alias("first")), "bag").select("id", "first")
 
 
+def _numbers(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(term, df, number)``, numbers from 0 by falling df."""
+    placed = scratch.save(counts.orderBy(F.desc("df"), "term").withColumn("m", F.monotonically_increasing_id()))
+    sizes = {r.p: r["count"] for r in placed.groupBy(F.shiftright("m", 33).alias("p")).count().collect()}
+    before = [0]
+    for p in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(p, 0))
+    at = F.get(F.lit(before), F.shiftright("m", 33).cast("int"))
+    return placed.select("term", "df", (F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + at).alias("number"))
+
+
 def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = None, only: DataFrame | None = None) -> DataFrame:
     """``(a, b, cosine)`` with a < b: all pairs of vectors at ``threshold`` or above.
 
-    ``only`` holds the ``id`` to compare; idf counts are those of all rows.
+    ``rows`` are those of :func:`term_rows` or :func:`term_bags`. ``only`` holds the ``id`` to
+    compare; idf counts are those of all rows.
 
     A vector is indexed by its rarest terms only, up to where the rest has a norm below the
-    threshold: two vectors that share none of these cannot reach it. Terms in one row are never
-    joined, and no term's rows are compared beyond those that hold it among their rarest. All that
-    two vectors share lies at their rarest common term or beyond, so by Cauchy-Schwarz the product
-    there plus the product of the norms beyond bounds their cosine; pairs below are not compared.
+    threshold: two vectors that share none of these cannot reach it. An entry carries its vector
+    packed, so pairs are computed where entries meet (:mod:`cosine_join`): what is shuffled follows
+    the rows, not the pairs. Terms in one row are never indexed; the ``FREQUENT`` most frequent
+    ones are numbered where they are read, others by a join.
     """
     scratch = scratch or Scratch(rows.sparkSession)
-    n = rows.agg(F.count_distinct("id")).first()[0]
-    idfs = scratch.save(idf(rows, F.lit(n)))
-    w = weights(rows, idfs)
-    w = scratch.save(w if only is None else w.join(only, "id", "left_semi"))
-    order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term"))
-    ranked = w.join(idfs.select("term", "df"), "term").withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # slightly below, so rounding loses nothing
-    keys = scratch.save(ranked.where((F.col("rest") >= threshold * threshold * (1 - 1e-9)) & (F.col("df") > 1)).select("term", "id", "w", F.sqrt(F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0))).alias("beyond")))
-    a, b = keys.alias("a"), keys.alias("b")
-    bound = F.col("a.w") * F.col("b.w") + F.col("a.beyond") * F.col("b.beyond")
-    cand = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id")) & (bound >= threshold - 1e-7)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    vec = scratch.save(w.select("id", F.struct(F.xxhash64("term").alias("t"), "w").alias("e")).groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("v")).select("id", F.col("v.t").alias("t"), F.col("v.w").alias("w")))
-    side = lambda x: vec.select(F.col("id").alias(x), F.col("t").alias("t" + x), F.col("w").alias("w" + x))
-    both = cand.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "wa", "tb", "wb")
-    return both.mapInArrow(_dots, "a long, b long, cosine double").where(F.col("cosine") >= threshold - 1e-12)
+    bags = _bags(rows).where("size(e) > 0")
+    seen = Observation()
+    counts = bags.observe(seen, F.count("id").alias("n")).select(F.explode("e.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
+    numbers = _numbers(counts, scratch)
+    idfs = cosine_join.Idf(seen.get["n"], [(r.df, r["count"]) for r in numbers.groupBy("df").count().collect()])
+    often = numbers.where(F.col("number") < FREQUENT).select("number", "term").toArrow().sort_by("number").column("term").combine_chunks()
+    mine = bags.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "e")
+    mine = mine if only is None else mine.join(only, "id", "left_semi")
+    x = spread(mine).mapInArrow(cosine_join.numbered(often), "id long, term array<int>, tf array<int>, rare array<struct<term: string, tf: int>>")
+    square = F.col("tf").cast("double") * F.col("tf")
+    if len(often) < FREQUENT:
+        single = F.aggregate(F.transform("rare", lambda r: r["tf"].cast("double") * r["tf"]), F.lit(0.0), lambda s, r: s + r)
+        x = x.select("id", "term", "tf", F.expr("cast(array() as array<struct<number: int, tf: int>>)").alias("more"), single.alias("single"))
+    else:
+        x = scratch.save(x)
+        rest = numbers.where(F.col("number") >= FREQUENT).select("term", F.col("number").cast("int").alias("number"))
+        rare = x.select("id", F.explode("rare").alias("r")).select("id", "r.term", "r.tf").join(rest, "term", "left")
+        more = rare.groupBy("id").agg(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "tf"))).alias("more"), F.sum(F.when(F.col("number").isNull(), square)).alias("single"))
+        x = x.drop("rare").join(more, "id", "left")
+    index = x.mapInArrow(cosine_join.entries(idfs, threshold), cosine_join.ENTRIES)
+    return index.repartition("term").sortWithinPartitions("term").mapInArrow(cosine_join.compare(idfs, threshold), cosine_join.PAIRS)
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,26 +104,12 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(col)), np.diff(off)), col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
 
 
-def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dot products of pairs of sparse vectors with hashed terms, a batch at a time."""
-    for b in batches:
-        (ia, ta), (ib, tb) = _flat(b.column("ta")), _flat(b.column("tb"))
-        wa, wb = _flat(b.column("wa"))[1], _flat(b.column("wb"))[1]
-        terms, rank = np.unique(np.append(ta, tb), return_inverse=True)
-        ka, kb = ia * len(terms) + rank[: len(ta)], ib * len(terms) + rank[len(ta) :]
-        order = np.argsort(kb)
-        at = np.minimum(np.searchsorted(kb, ka, sorter=order), max(len(kb) - 1, 0))
-        hit = kb[order[at]] == ka if len(kb) else np.zeros(len(ka), bool)
-        dot = np.bincount(ia[hit], wa[hit] * wb[order[at[hit]]], minlength=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(dot, pa.float64())], names=["a", "b", "cosine"])
-
-
 def cluster_members(meta: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``meta`` with ``cluster``, the smallest id of its single-link cluster; rows that resemble no
     other are clusters of their own. Of copies the first is compared and the others follow it."""
     scratch = Scratch(meta.sparkSession)
     first = scratch.save(copies(rows))
-    pairs = cosine_pairs(rows, threshold, scratch, first.where("id = first").select("id")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = contract(cosine_pairs(rows, threshold, scratch, first.where("id = first").select("id")).select(F.col("a").alias("u"), F.col("b").alias("v")))
     comp = min_label_components(pairs, scratch).withColumnRenamed("vertex", "first")
     own = first.join(comp, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     return scratch.save(meta.join(own, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))

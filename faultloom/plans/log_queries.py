@@ -211,7 +211,7 @@ _PAIRS = f"""WITH RECURSIVE {_bags('incoming', 'record_id', '(SELECT count(DISTI
 
 @query(f"{_PAIRS} SELECT a, b, round_even(cosine, 4) AS cosine FROM p")
 def cosine_pairs(s, d):
-    return V.cosine_pairs(V.term_rows(_incoming(s, d), "id", F.col("tokens")), 0.5).select("a", "b", F.bround("cosine", 4).alias("cosine"))
+    return V.cosine_pairs(V.term_bags(_incoming(s, d), "id", F.col("tokens")), 0.5).select("a", "b", F.bround("cosine", 4).alias("cosine"))
 
 
 _CLUSTERS = f"""{_PAIRS}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p),
@@ -221,7 +221,7 @@ _CLUSTERS = f"""{_PAIRS}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a F
 
 
 def _clustered(x: DataFrame) -> DataFrame:
-    return V.cluster_members(x.select("id", "rule_id", "matched", "ecosystem", "analyzed_at"), V.term_rows(x, "id", F.col("tokens")))
+    return V.cluster_members(x.select("id", "rule_id", "matched", "ecosystem", "analyzed_at"), V.term_bags(x, "id", F.col("tokens")))
 
 
 @query(f"{_CLUSTERS} SELECT id, cluster FROM x")
@@ -238,7 +238,7 @@ def failure_clusters(s, d):
 @query(None)
 def history_pairs(s, d):
     """``cosine_pairs`` over the whole history."""
-    return V.cosine_pairs(V.term_rows(_filled(_a(s, d)), "id", F.col("tokens")), 0.5).select("a", "b", F.bround("cosine", 4).alias("cosine"))
+    return V.cosine_pairs(V.term_bags(_filled(_a(s, d)), "id", F.col("tokens")), 0.5).select("a", "b", F.bround("cosine", 4).alias("cosine"))
 
 
 @query(None)
