@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+VECTORS = "id long, norm double, v binary, own boolean"
 ENTRIES = "term int, id long, norm double, v binary"
 PAIRS = "a long, b long, cosine double"
 ROWS_AT_ONCE = 8192
@@ -124,8 +125,9 @@ def _lists(c: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(c)), np.diff(off)), c.values.slice(off[0], off[-1] - off[0])
 
 
-def entries(idf: Idf, threshold: float):
-    """``(id, term, tf, more, single)`` to index entries, each with its whole packed vector."""
+def packed(idf: Idf):
+    """``(id, term, tf, more, single)`` to ``(id, norm, v, own)``. Equal rows of shared terms are equal
+    here; ``own`` tells that a row has terms of its own besides, which only its norm shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,14 +137,27 @@ def entries(idf: Idf, threshold: float):
             row = np.append(row, late)
             term = np.append(term.to_numpy(), more.field(0).to_numpy()).astype(np.int64)
             tf = np.append(tf.to_numpy(), more.field(1).to_numpy()).astype(np.int64)
-            single = pc.fill_null(b.column("single"), 0.0).to_numpy(zero_copy_only=False)
-            square = np.bincount(row, (tf * idf.of(term)) ** 2, b.num_rows) + single * idf.single**2
-            norm = np.sqrt(square)
-            o = np.lexsort((term, row))
+            o = np.lexsort((tf, term, row))
             row, term, tf = row[o], term[o], tf[o]
+            single = pc.fill_null(b.column("single"), 0.0).to_numpy(zero_copy_only=False)
+            norm = np.sqrt(np.bincount(row, (tf * idf.of(term)) ** 2, b.num_rows) + single * idf.single**2)
             if len(row):  # a term that a repeated id holds twice
                 new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])))
                 row, term, tf = row[new], term[new], np.add.reduceat(tf, new)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(norm), pack(b.num_rows, row, term, tf), pa.array(single > 0)], names=["id", "norm", "v", "own"])
+
+    return run
+
+
+def entries(idf: Idf, threshold: float):
+    """``(id, norm, v)`` to index entries, each with its whole vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            norm, v = b.column("norm").to_numpy(), b.column("v")
+            row, term, tf = unpack(v)
             ok = norm[row] > 0
             row, term, tf = row[ok], term[ok], tf[ok]
             w = tf * idf.of(term) / norm[row]
@@ -151,7 +166,6 @@ def entries(idf: Idf, threshold: float):
             rest = total - np.append(0, total)[(np.cumsum(k) - k)[row]]
             keep = rest >= threshold * threshold * (1 - 1e-9)  # slightly below, so rounding loses nothing
             at = row[keep]
-            v = pack(b.num_rows, row, term, tf)
             yield pa.RecordBatch.from_arrays([pa.array(term[keep], pa.int32()), b.column("id").take(pa.array(at)), pa.array(norm[at]), v.take(pa.array(at))], names=["term", "id", "norm", "v"])
 
     return run

@@ -46,12 +46,6 @@ def _bags(rows: DataFrame) -> DataFrame:
     return rows if "e" in rows.columns else rows.groupBy("id").agg(F.collect_list(F.struct(F.col("term").cast("string").alias("term"), F.col("tf").cast("int").alias("tf"))).alias("e"))
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """``(id, first)``: for each id with terms the smallest id that has the same terms as often."""
-    same = _bags(rows).where("size(e) > 0").select("id", F.unhex(F.sha2(F.to_json(F.array_sort("e")), 256)).alias("bag"))
-    return same.join(same.groupBy("bag").agg(F.min("id").alias("first")), "bag").select("id", "first")
-
-
 def _numbers(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """``(term, df, number)``, numbers from 0 by falling df."""
     placed = scratch.save(counts.orderBy(F.desc("df"), "term").withColumn("m", F.monotonically_increasing_id()))
@@ -63,19 +57,10 @@ def _numbers(counts: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.select("term", "df", (F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + at).alias("number"))
 
 
-def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = None, only: DataFrame | None = None) -> DataFrame:
-    """``(a, b, cosine)`` with a < b: all pairs of vectors at ``threshold`` or above.
-
-    ``rows`` are those of :func:`term_rows` or :func:`term_bags`. ``only`` holds the ``id`` to
-    compare; idf counts are those of all rows.
-
-    A vector is indexed by its rarest terms only, up to where the rest has a norm below the
-    threshold: two vectors that share none of these cannot reach it. An entry carries its vector
-    packed, so pairs are computed where entries meet (:mod:`cosine_join`): what is shuffled follows
-    the rows, not the pairs. Terms in one row are never indexed; the ``FREQUENT`` most frequent
-    ones are numbered where they are read, others by a join.
-    """
-    scratch = scratch or Scratch(rows.sparkSession)
+def packed_vectors(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, cosine_join.Idf]:
+    """``(id, norm, v, own)`` for each id with terms, v its shared terms and their counts, packed, own
+    whether it has others; and the idf of these terms. The ``FREQUENT`` most frequent terms are numbered where rows are read,
+    others by a join."""
     bags = _bags(rows).where("size(e) > 0")
     seen = Observation()
     counts = bags.observe(seen, F.count("id").alias("n")).select(F.explode("e.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
@@ -83,9 +68,7 @@ def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = No
     idfs = cosine_join.Idf(seen.get["n"], [(r.df, r["count"]) for r in numbers.groupBy("df").count().collect()])
     often = numbers.where(F.col("number") < FREQUENT).select("number", "term").toArrow().sort_by("number").column("term").combine_chunks()
     mine = bags.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "e")
-    mine = mine if only is None else mine.join(only, "id", "left_semi")
     x = spread(mine).mapInArrow(cosine_join.numbered(often), "id long, term array<int>, tf array<int>, rare array<struct<term: string, tf: int>>")
-    square = F.col("tf").cast("double") * F.col("tf")
     if len(often) < FREQUENT:
         single = F.aggregate(F.transform("rare", lambda r: r["tf"].cast("double") * r["tf"]), F.lit(0.0), lambda s, r: s + r)
         x = x.select("id", "term", "tf", F.expr("cast(array() as array<struct<number: int, tf: int>>)").alias("more"), single.alias("single"))
@@ -93,12 +76,29 @@ def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = No
         x = scratch.save(x)
         rest = numbers.where(F.col("number") >= FREQUENT).select("term", F.col("number").cast("int").alias("number"))
         rare = x.select("id", F.explode("rare").alias("r")).select("id", "r.term", "r.tf").join(rest, "term", "left")
-        more = rare.groupBy("id").agg(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "tf"))).alias("more"), F.sum(F.when(F.col("number").isNull(), square)).alias("single"))
+        square = F.sum(F.when(F.col("number").isNull(), F.col("tf").cast("double") * F.col("tf")))
+        more = rare.groupBy("id").agg(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "tf"))).alias("more"), square.alias("single"))
         x = x.drop("rare").join(more, "id", "left")
-    index = x.mapInArrow(cosine_join.entries(idfs, threshold), cosine_join.ENTRIES)
+    return x.mapInArrow(cosine_join.packed(idfs), cosine_join.VECTORS), idfs
+
+
+def _compared(vectors: DataFrame, idfs: cosine_join.Idf, threshold: float) -> DataFrame:
+    index = vectors.select("id", "norm", "v").mapInArrow(cosine_join.entries(idfs, threshold), cosine_join.ENTRIES)
     return index.repartition("term").sortWithinPartitions("term").mapInArrow(cosine_join.compare(idfs, threshold), cosine_join.PAIRS)
 
 
+def cosine_pairs(rows: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
+    """``(a, b, cosine)`` with a < b: all pairs of vectors at ``threshold`` or above.
+
+    ``rows`` are those of :func:`term_rows` or :func:`term_bags`. A vector is indexed by its rarest
+    terms only, up to where the rest has a norm below the threshold: two vectors that share none of
+    these cannot reach it. An entry carries its vector packed, so pairs are computed where entries
+    meet (:mod:`cosine_join`): what is shuffled follows the rows, not the pairs. Terms in one row
+    are never indexed.
+    """
+    return _compared(*packed_vectors(rows, scratch or Scratch(rows.sparkSession)), threshold)
+
+
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = col.offsets.to_numpy()
     return np.repeat(np.arange(len(col)), np.diff(off)), col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
@@ -108,8 +108,13 @@ def cluster_members(meta: DataFrame, rows: DataFrame, threshold: float = 0.5) ->
     """``meta`` with ``cluster``, the smallest id of its single-link cluster; rows that resemble no
     other are clusters of their own. Of copies the first is compared and the others follow it."""
     scratch = Scratch(meta.sparkSession)
-    first = scratch.save(copies(rows))
-    pairs = contract(cosine_pairs(rows, threshold, scratch, first.where("id = first").select("id")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    vectors, idfs = packed_vectors(rows, scratch)
+    text = lambda c: F.encode(F.col(c).cast("string"), "utf-8")
+    # terms of one row alone are not packed; a row that has any is no copy
+    vectors = scratch.save(vectors.withColumn("bag", F.when(F.col("own"), text("id")).otherwise(F.unhex(F.sha2(F.concat("v", text("norm")), 256)))))
+    chosen = scratch.save(vectors.groupBy("bag").agg(F.min("id").alias("id"), F.first("norm").alias("norm"), F.first("v").alias("v")))
+    first = vectors.select("id", "bag").join(chosen.select("bag", F.col("id").alias("first")), "bag").select("id", "first")
+    pairs = contract(_compared(chosen, idfs, threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     comp = min_label_components(pairs, scratch).withColumnRenamed("vertex", "first")
     own = first.join(comp, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     return scratch.save(meta.join(own, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))

@@ -67,3 +67,13 @@ def test_what_is_shuffled_follows_the_rows(spark):
     df = spark.createDataFrame([(i, {"x": 1, "y": 1, f"z{i % 5}": 1}) for i in range(200)], "id long, terms map<string,int>")
     plan = V.cosine_pairs(V.term_bags(df, "id", F.col("terms")), 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") <= 2 and "Join" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 3])
+def test_copies_follow_the_first_of_them(spark, monkeypatch, frequent):
+    """A row with further terms of its own is no copy; terms in another order are."""
+    monkeypatch.setattr(V, "FREQUENT", frequent)
+    docs = [(9, {"a": 1, "b": 2}), (4, {"b": 2, "a": 1}), (6, {"a": 1, "b": 1}), (7, {"c": 1, "d": 3}), (8, {"c": 1, "d": 3, "own": 90}), (5, {"c": 1, "d": 3, "mine": 90}), (1, {"alone": 1}), (2, {"else": 1}), (3, {})]
+    df = spark.createDataFrame(docs, "id long, terms map<string,int>")
+    got = V.cluster_members(df.select("id"), V.term_bags(df, "id", F.col("terms")), 0.8)
+    assert {r.id: r.cluster for r in got.collect()} == {9: 4, 4: 4, 6: 4, 7: 7, 8: 8, 5: 5, 1: 1, 2: 2, 3: 3}
