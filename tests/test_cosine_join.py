@@ -77,3 +77,11 @@ def test_copies_follow_the_first_of_them(spark, monkeypatch, frequent):
     df = spark.createDataFrame(docs, "id long, terms map<string,int>")
     got = V.cluster_members(df.select("id"), V.term_bags(df, "id", F.col("terms")), 0.8)
     assert {r.id: r.cluster for r in got.collect()} == {9: 4, 4: 4, 6: 4, 7: 7, 8: 8, 5: 5, 1: 1, 2: 2, 3: 3}
+
+
+def test_rows_are_packed_where_they_are_read(spark):
+    """No bag of terms is joined, grouped or sorted on the way to the vectors that clusters compare."""
+    df = spark.createDataFrame([(i, {"x": 1, f"y{i % 7}": 2, f"own{i}": 1}) for i in range(50)], "id long, terms map<string,int>")
+    vectors, _ = V.packed_vectors(V.term_bags(df, "id", F.col("terms")), V.Scratch(spark))
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert vectors.count() == 50 and not any(x in plan for x in ("Join", "Aggregate", "Sort"))
