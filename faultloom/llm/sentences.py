@@ -62,6 +62,8 @@ _OPEN = "".join(re.escape(c) for c in _PAIRS)
 _THAI = "ก-๎"
 _TOKEN = re.compile(rf"[{_SOLID}]|[{_WIDE}…]+|[{_OPEN}]|[^\s{_SOLID}{_WIDE}…{_OPEN}]+…*")
 _PARTS = re.compile(rf"({_TOKEN.pattern})(\s*)")  # every character of a block is in one
+_PART = re.compile(rf"(?:{_TOKEN.pattern})\s*")
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")  # a line without surrounding white space
 _FENCE = re.compile(r"[ \t]{0,3}(```|~~~)")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}[ \t]+")
 _ITEM = re.compile(r"[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+")
@@ -644,29 +646,6 @@ def units(text: str, kind: str | None, model: EventModel) -> Iterator[tuple[int,
                 s = begins[i + 1]
 
 
-def _cut(model_state: tuple):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = EventModel.of(model_state)
-        for b in batches:
-            ids: list = []
-            no: list[int] = []
-            starts: list[int] = []
-            ends: list[int] = []
-            for doc, text, kind in zip(*(c.to_pylist() for c in b.columns)):
-                if not text:
-                    continue
-                k = 0
-                for s, e in units(text, kind, model):
-                    k += 1
-                    ids.append(doc)
-                    no.append(k)
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=SCHEMA.names)
-
-    return run
-
-
 def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str | None = "doc_kind", n: int = SAMPLE_DOCS, span: int = 20_000) -> list[str]:
     """Texts for a model of its own, which :func:`sentence_units` does not use unless it is given one:
     at most ``n`` prose texts by hash of their id; of a text of more than ``span`` characters a
@@ -687,55 +666,143 @@ def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return [r.t for r in ids.collect()]
 
 
-_TOKENS = "words array<string>, n array<long>, code binary, gap binary, size binary"
+_TOKENS = "words array<string>, n array<long>, part binary, code binary, gap binary, size binary, begin binary, ids array<long>, doc binary, line binary"
+_CLOSES, _SPACED_AFTER, _FREE, _DOTS, _BOUND, _ENDS_THAI, _STARTS_THAI, _FOLLOWS = (1 << i for i in range(8))  # what a part tells
+_parts: dict[str | tuple, tuple[str, int, int, int]] = {}
+
+
+class _Numbers(dict):
+    """Numbers of keys in order of their first use."""
+
+    def __missing__(self, key) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+def _part(x: str | tuple) -> tuple[str, int, int, int]:
+    """Word of a part, its length without and with the white space behind, and what :func:`_gaps` asks of it."""
+    got = _parts.get(x)
+    if got is None:
+        if len(_parts) > 200_000:
+            _parts.clear()
+        if isinstance(x, str):
+            raw = x.rstrip()
+            n, full, first, last = len(raw), len(x), raw[0], raw[-1]
+            if raw.isascii() and raw.isalnum():
+                got = _parts[x] = raw if raw.isalpha() else _DIGITS.sub("0", raw), n, full, _SPACED_AFTER * (full > n)
+                return got
+            w, tells = _word(raw)
+            closing = tells >= _CLOSING
+        else:
+            w, n, full, last = x
+            closing, first = "." in w, "("
+        told = _CLOSES * closing + _SPACED_AFTER * (full > n) + _FREE * (w[-1] in _WIDE or w[0] == "<") + _DOTS * (w[-1] == "…")
+        told += _BOUND * (w[0] == "<" and last not in "」』）”】") + _ENDS_THAI * ("ก" <= last <= "๎") + _STARTS_THAI * ("ก" <= first <= "๎") + _FOLLOWS * bool(_GOES_ON.match(first))
+        got = _parts[x] = w, n, full, told
+    return got
+
+
+def _block_parts(text: str, start: int, end: int) -> list[str | tuple]:
+    """The words of a block with the white space behind each; of quoted and bracketed stretches the
+    word they are to the model, its lengths and last character."""
+    find = _PART.findall
+    if not _OPENER.search(text, start, end):
+        return find(text, start, end)
+    out: list[str | tuple] = []
+    at = start
+    for i, j in spans(text, start, end).items():
+        out += find(text, at, i)
+        body = text[i + 1 : j - 1].rstrip()
+        w = ("<r" if text[i] in _BRACKETS else "<q") + ("." if body[-1:] in _STOP and body else "") + (":" if i > start and text[i - 1].isspace() else "") + ">"
+        space = _SPACE.match(text, j, end)
+        at = space.end() if space else j
+        out.append((w, j - i, at - i, text[j - 1]))
+    return out + find(text, at, end)
+
+
+def _gaps(told: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The kinds of gap that :func:`tokens` gives, from what each part tells; ``last`` tells where a block ends."""
+    follow = np.roll(told, -1)
+    follow[last] = 0
+    is_ = lambda x, bit: (x & bit) != 0
+    spaced = is_(told, _SPACED_AFTER) | last
+    closed = is_(told, _CLOSES) & (spaced | is_(told, _FREE) | is_(told, _DOTS) & is_(follow, _FOLLOWS))
+    thai = ~closed & spaced & is_(told, _ENDS_THAI) & is_(follow, _STARTS_THAI)
+    return (closed & (spaced | ~is_(told, _BOUND))).astype(np.int8) + 2 * thai.astype(np.int8)
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prose texts to the words of their blocks, numbered within rows of about ``ROW_TOKENS`` words:
-    distinct words and their counts, numbers, kinds of gap, sizes of blocks."""
-    index: dict[str, int] = {}
-    code, size, gap = array("i"), array("i"), bytearray()
+    """Texts ``(id, text, kind)`` to the words of their blocks, numbered within rows of whole texts
+    and about ``ROW_TOKENS`` words: distinct words and their counts; of distinct parts the word's
+    number and lengths; numbers of parts, kinds of gap, sizes and first places of blocks; ids of
+    texts, each block's text; and text, start and end of lines that are units by themselves."""
+    index = _Numbers()
+    code, size, begin, doc, line, ids = array("i"), array("i"), array("i"), array("i"), array("i"), []
 
     def row() -> pa.RecordBatch:
-        words, n = list(index), np.bincount(np.frombuffer(code, np.int32))
-        columns = [pa.array([words], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64())), *[pa.array([bytes(x)], pa.binary()) for x in (code, gap, size)]]
-        return pa.RecordBatch.from_arrays(columns, names=["words", "n", "code", "gap", "size"])
+        number, get = _Numbers(), _parts.get
+        words, *rest = zip(*[get(x) or _part(x) for x in index]) if index else [()] * 4
+        part = np.array([[number[w] for w in words], *rest], np.int32).T
+        x = np.frombuffer(code, np.int32)
+        last = np.zeros(len(x), bool)
+        last[np.cumsum(np.frombuffer(size, np.int32)) - 1] = True
+        gap = _gaps(part[:, 3][x], last)
+        n = np.bincount(part[:, 0], np.bincount(x, minlength=len(part)), len(number)).astype(np.int64)
+        columns = [pa.array([list(number)], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64()))]
+        columns += [pa.array([y.tobytes()], pa.binary()) for y in (part[:, :3], code, gap, size, begin)]
+        columns += [pa.array([ids], pa.list_(pa.int64())), pa.array([doc.tobytes()], pa.binary()), pa.array([line.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["words", "n", "part", "code", "gap", "size", "begin", "ids", "doc", "line"])
 
     for b in batches:
-        for text in b.column(0).to_pylist():
-            for start, end, is_line in blocks(text):
-                if is_line:
-                    continue
-                w, _, _, g = tokens(text, start, end)
-                if not w:
-                    continue
-                code.extend([index.setdefault(x, len(index)) for x in w])
-                gap.extend(g)
-                size.append(len(w))
-                if len(code) >= ROW_TOKENS:
-                    yield row()
-                    index = {}
-                    code, size, gap = array("i"), array("i"), bytearray()
-    if code:
+        for key, text, kind in zip(*(c.to_pylist() for c in b.columns)):
+            if not text:
+                continue
+            d = len(ids)
+            ids.append(key)
+            if kind == _LOGISH:
+                for m in _LINE.finditer(text):
+                    line.extend((d, *m.span()))
+            else:
+                for start, end, is_line in blocks(text):
+                    if is_line:
+                        line.extend((d, *_LINE.search(text, start, end).span()))
+                    elif parts := _block_parts(text, start, end):
+                        while text[start].isspace():
+                            start += 1
+                        code.extend(map(index.__getitem__, parts))
+                        size.append(len(parts))
+                        begin.append(start)
+                        doc.append(d)
+            if len(code) + len(line) >= ROW_TOKENS:
+                yield row()
+                index = _Numbers()
+                code, size, begin, doc, line, ids = array("i"), array("i"), array("i"), array("i"), array("i"), []
+    if ids:
         yield row()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, bytes, np.ndarray]]:
+def _numbers(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.int32)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for b in batches:
-        for words, n, code, gap, size in zip(*(c.to_pylist() for c in b.columns)):
-            yield words, n, np.frombuffer(code, np.int32), gap, np.frombuffer(size, np.int32)
+        for words, n, part, code, gap, size in zip(*b.columns):
+            if len(words):
+                yield words.as_py(), n.values.to_numpy(), _numbers(part)[::3][_numbers(code)], np.frombuffer(gap.as_buffer(), np.int8), _numbers(size)
 
 
-def _distinct(rows: np.ndarray, top: int) -> tuple[list, list]:
-    """Distinct rows of numbers below ``top``, and their counts."""
+def _distinct(rows: np.ndarray, top: int, places: bool = False) -> tuple[list, list | np.ndarray]:
+    """Distinct rows of numbers below ``top``, and their counts, or for each row which of them it is."""
     width = rows.shape[1]
+    told = {"return_inverse": True} if places else {"return_counts": True}
     if top**width < 1 << 62:  # one number a row is sorted much faster
         unit = top ** np.arange(width - 1, -1, -1)
-        key, count = np.unique(rows @ unit, return_counts=True)
+        key, more = np.unique(rows @ unit, **told)
         rows = key[:, None] // unit % top
     else:
-        rows, count = np.unique(rows, axis=0, return_counts=True)
-    return rows.tolist(), count.tolist()
+        rows, more = np.unique(rows, axis=0, **told)
+    return rows.tolist(), more.reshape(-1) if places else more.tolist()
 
 
 class _Counts:
@@ -784,10 +851,10 @@ def _neighbours(vocab: set[str], wanted: set[str]):
     return run
 
 
-def _stretches(x: np.ndarray, gap: np.ndarray, last: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
-    """The stretches of blocks that hold adjacent possible boundaries, by their kinds of gap: all
-    that their posteriors depend on, words from the one before to the second after. ``last`` tells
-    where a block ends."""
+def _stretches(gap: np.ndarray, last: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Places of the stretches of blocks that hold adjacent possible boundaries, by their kinds of
+    gap: all that their posteriors depend on, words from the one before to the second after.
+    ``last`` tells where a block ends."""
     first = np.append(True, last[:-1])
     open_ = (gap == 1) & ~last
     k = np.flatnonzero(open_ & (first | ~np.append(False, open_[:-1])))
@@ -795,11 +862,11 @@ def _stretches(x: np.ndarray, gap: np.ndarray, last: np.ndarray) -> Iterator[tup
     length = m - k + 1
     led = ~first[k] & (gap[k - 1] != 2)
     more = ~last[m + 1]
-    sort = np.stack([length, led, gap[m + 1] == 2, more], axis=1)
-    for kind in np.unique(sort, axis=0):
-        at = k[(sort == kind).all(axis=1)]
-        n, led_, two, more_ = kind.tolist()
-        yield "0" * led_ + "1" * n + ("2" if two else "0") + "0" * more_, x[at[:, None] + np.arange(-led_, n + 1 + more_)]
+    sort = length * 8 + led * 4 + (gap[m + 1] == 2) * 2 + more
+    for kind in np.unique(sort).tolist():
+        at = k[sort == kind]
+        n, led_, two, more_ = kind // 8, kind // 4 % 2, kind // 2 % 2, kind % 2
+        yield "0" * led_ + "1" * n + ("2" if two else "0") + "0" * more_, at[:, None] + np.arange(-led_, n + 1 + more_)
 
 
 def _counted(vocab: set[str]):
@@ -813,7 +880,7 @@ def _counted(vocab: set[str]):
             ids: dict[str, int] = {B: 0}
             to = np.array([ids.setdefault(norm(w), len(ids)) for w in words])
             names = list(ids)
-            x, gap = to[code], np.frombuffer(gap, np.int8)
+            x = to[code]
             end = np.cumsum(size)
             begin = end - size
             last = np.zeros(len(x), bool)
@@ -825,7 +892,7 @@ def _counted(vocab: set[str]):
                 for r, c in zip(*_distinct(np.stack(columns, axis=1), len(names))):
                     out.add(kind, [*lead, *[names[y] for y in r]], c)
 
-            for w, c in zip(to.tolist(), n):
+            for w, c in zip(to.tolist(), n.tolist()):
                 out.add("word", (names[w],), c)
             out.add("word", (B,), len(size))
             sure = np.flatnonzero((gap == 2) & ~last)
@@ -834,8 +901,8 @@ def _counted(vocab: set[str]):
             maybe = gap == 1
             add("possible", before[maybe], x[maybe])
             add("end", before[maybe & last], x[maybe & last])
-            for kinds, rows in _stretches(x, gap, last):
-                add("stretch", *rows.T, lead=(kinds,))
+            for kinds, places in _stretches(gap, last):
+                add("stretch", *x[places].T, lead=(kinds,))
             plain = np.array([bool(_ONE_SOLID.match(w)) for w in names])[x].astype(np.int64)
             for i in np.flatnonzero(np.add.reduceat(plain, begin) > 0.6 * size).tolist():
                 part = slice(begin[i], end[i])
@@ -846,6 +913,54 @@ def _counted(vocab: set[str]):
     return run
 
 
+def _boundaries(words: list[str], code: np.ndarray, gap: np.ndarray, size: np.ndarray, model: EventModel) -> np.ndarray:
+    """Whether a unit ends after each word, as :func:`units` decides; equal stretches are weighed once."""
+    ids = _Numbers()
+    x = np.array([ids[model.norm(w)] for w in words])[code]
+    names = list(ids)
+    end = np.cumsum(size)
+    last = np.zeros(len(code), bool)
+    last[end - 1] = True
+    out = last | (gap == 2)
+    for kinds, places in _stretches(gap, last):
+        gaps = list(map(int, kinds))
+        k = kinds.index("1")
+        m = kinds.rindex("1")
+        rows, which = _distinct(x[places], len(names), places=True)
+        post = np.array([model.posteriors([names[y] for y in r], gaps, k, m) for r in rows])
+        out[places[:, k : m + 1]] = post[which] > 0.5
+    if model.plain:
+        sorts = np.array([(bool(_ONE_SOLID.match(w)), bool(_LETTERED.match(w))) for w in words], np.int64)[code]
+        begin = end - size
+        open_ = (np.add.reduceat(sorts, begin) > 0.6 * size[:, None]).any(axis=1) & (size > 1) & (np.maximum.reduceat(gap, begin) == 0)
+        for i in np.flatnonzero(open_).tolist():
+            part = slice(begin[i], end[i])
+            out[part] = np.array(model.plain.decide([names[y] for y in x[part].tolist()], [1] * int(size[i]))) > 0.5
+    return out
+
+
+def _cut(model: EventModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentence units of tokenised texts."""
+    for b in batches:
+        for words, _, part, number, gap, size, begin, ids, doc, line in zip(*b.columns):
+            docs, starts, ends = _numbers(line).reshape(-1, 3).T
+            if len(words):
+                size = _numbers(size)
+                word, long, full = _numbers(part).reshape(-1, 3)[_numbers(number)].T
+                at = np.cumsum(full) - full
+                at += np.repeat(_numbers(begin) - at[np.cumsum(size) - size], size)
+                stop = _boundaries(words.as_py(), word, np.frombuffer(gap.as_buffer(), np.int8), size, model)
+                start = np.append(True, stop[:-1])
+                docs = np.append(docs, np.repeat(_numbers(doc), size)[stop])
+                starts, ends = np.append(starts, at[start]), np.append(ends, (at + long)[stop])
+            order = np.lexsort((starts, docs))
+            docs = docs[order]
+            of = np.bincount(docs, minlength=len(ids))
+            no = np.arange(1, len(docs) + 1) - np.repeat(np.cumsum(of) - of, of)
+            columns = [ids.values.take(pa.array(docs)), pa.array(no, pa.int32()), pa.array(starts[order], pa.int32()), pa.array(ends[order], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=SCHEMA.names)
+
+
 def _weighed(model: Callable[[], EventModel | None], plain: bool = False):
     """N-grams of stretches as the model believes of their boundaries, or without a model as
     :func:`first_belief` does; or of whole blocks what the model for text without marks learns."""
@@ -888,20 +1003,15 @@ def _sums(counts: DataFrame, unit: int = 1) -> dict[str, Counter]:
     return out
 
 
-def train_on(docs: DataFrame, text: str = "text", kind: str | None = "doc_kind", rounds: int = ROUNDS, rare: float = RARE) -> EventModel:
-    """The model that :func:`train` fits, from every prose text of the table, each text whole.
+def train_on(saved: DataFrame, scratch: Scratch, rounds: int = ROUNDS, rare: float = RARE) -> EventModel:
+    """The model that :func:`train` fits, from every prose text of a table of tokenised texts, each text whole.
 
-    Texts are tokenised once, where they are read. What the rounds need of them is counted there
-    too: equal stretches around possible boundaries have equal posteriors, so each round weighs
+    What the rounds need of the texts is counted where they lie: equal stretches around possible boundaries have equal posteriors, so each round weighs
     distinct stretches only. The driver gets the vocabulary, at most 1/``rare`` words, and the
     n-grams next to possible boundaries, which are the model; no text.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    prose = docs.where(F.col(text).isNotNull())
-    if kind:
-        prose = prose.where(F.coalesce(F.col(kind), F.lit("")) != _LOGISH)
-    saved = scratch.save(spread(prose.select(F.col(text).cast("string").alias("text"))).mapInArrow(_tokenised, _TOKENS))
+    spark = saved.sparkSession
+    rows = saved.select("words", "n", "part", "code", "gap", "size")
     each = saved.select(F.explode(F.arrays_zip("words", "n")).alias("x")).select(F.col("x.words").alias("w"), F.col("x.n").alias("n"))
     counts, seen = scratch.save_with(each.groupBy("w").agg(F.sum("n").alias("n")), total=F.sum("n"))
     total = seen["total"] or 0
@@ -910,12 +1020,11 @@ def train_on(docs: DataFrame, text: str = "text", kind: str | None = "doc_kind",
     vocab = set(freq)
     wanted = {w for w, n in freq.items() if n < COMMON * total and w[0] != "<"}
     share = thinned(total)
-    near = saved.mapInArrow(_neighbours(vocab, wanted), _Counts.schema).groupBy("kind", "key").agg((1 - F.pow(F.lit(1 - share), F.sum("n"))).alias("seen"))
+    near = rows.mapInArrow(_neighbours(vocab, wanted), _Counts.schema).groupBy("kind", "key").agg((1 - F.pow(F.lit(1 - share), F.sum("n"))).alias("seen"))
     variety = near.groupBy(F.split("key", " ")[0].alias("w")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("seen"))).alias(k) for k in ("before", "after")])
     vocab = vocab - {r.w for r in variety.collect() if min(r.before, r.after) > max(4, VARIETY * freq[r.w] * share)}
 
-    counted = scratch.save(saved.mapInArrow(_counted(vocab), _Counts.schema).groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    scratch.drop(saved)
+    counted = scratch.save(rows.mapInArrow(_counted(vocab), _Counts.schema).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     got = _sums(counted.where("kind NOT IN ('stretch', 'solid')"))
     of = lambda k: counted.where(F.col("kind") == k).select("key", "n")
     model = EventModel(vocab)
@@ -963,11 +1072,16 @@ def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     have no units; a null kind means prose; texts of any length are cut whole; repeated rows come
     out as often as they occur; an empty table gives no rows; other columns are not read.
     """
-    model = model or train_on(docs, text, kind)
-    shared = docs.sparkSession.sparkContext.broadcast(model.state())
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"))
+    rows = spread(rows).mapInArrow(_tokenised, _TOKENS)
+    if model is None:
+        scratch = Scratch(spark)
+        rows = scratch.save(rows)
+        model = train_on(rows, scratch)
+    shared = spark.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _cut(shared.value)(batches)
+        yield from _cut(EventModel.of(shared.value), batches)
 
-    return spread(rows).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)

@@ -192,3 +192,31 @@ def test_sightings_of_a_larger_table_are_rates():
     one.observe(n3, e3)
     ten.observe(*(S.Counter({k: 10 * n for k, n in c.items()}) for c in (n3, e3)), 0.1)
     assert same(one.end2, ten.end2) and same(one.end3, ten.end3) and S.thinned(5) == 1.0 and S.thinned(10 * S.SIGHTED) == pytest.approx(0.1)
+
+
+def test_tables_are_cut_as_single_texts_are(learnt, monkeypatch):
+    """Rows of many texts, whose equal stretches are weighed once, against one text after another."""
+    rng = random.Random(9)
+    bits = ["a", "B.", "etc.", "3.5", "١٢", "no. ", "…", "...", "<b>", "<x.", "。", "」。", "「是。」", '"Go. ', '" ', "(see 1.) ", "(", ")", "“No!” ", "กข", "ค ", " ", "  ", "\n", "\n\n", "\r\n", " ", "\n```\n", "\n- ", "\n1. ", "# ", "构建失败了", "请检查", "ນີ້ແມ່ນ ", "។", "?! ", "¿Q?", "é.", "\x1c", "😀. "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(1500)] + ["A b. C d. " * 300, "", None, " \n ", "构建失败了请检查日志文件磁盘空间不足", "ນີ້ແມ່ນປະໂຫຍກ ນີ້ແມ່ນປະໂຫຍກທີສອງ"]
+    rows = [(None if i % 50 == 7 else i // 2, t, rng.choice(["log", "issue", "chat", None])) for i, t in enumerate(texts)]
+    want = [(d, no, s, e) for d, t, k in rows if t for no, (s, e) in enumerate(units(t, k, learnt), 1)]
+    for size in (1, 300, S.ROW_TOKENS):
+        monkeypatch.setattr(S, "ROW_TOKENS", size)
+        batch = S.pa.RecordBatch.from_arrays([S.pa.array(c) for c in zip(*rows)], names=["doc_id", "text", "kind"])
+        tokenised = list(S._tokenised(iter([batch])))
+        assert [tuple(r.values()) for b in S._cut(learnt, iter(tokenised)) for r in b.to_pylist()] == want
+    weighed = []
+    monkeypatch.setattr(EventModel, "posteriors", lambda m, w, *x: weighed.append(w) or [0.9] * (x[2] - x[1] + 1))
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(c) for c in ([1] * 500, ["Logs, etc. are kept. It waits. So."] * 500, ["issue"] * 500)], names=["doc_id", "text", "kind"])
+    assert sum(len(b) for b in S._cut(learnt, S._tokenised(iter([batch])))) == 2000 and len(weighed) == 3
+
+
+def test_texts_are_read_once_to_learn_and_to_cut(spark, tmp_path):
+    rows = [(i, "Dr. Falmor saw it. It failed again! Logs, etc. are kept.\n\nWe waited... (See card 12.)", "issue") for i in range(40)] + [(99, " a. b\n\nc", "log"), (100, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, doc_kind string").write.parquet(str(tmp_path / "docs"))
+    got = sentence_units(spark.read.parquet(str(tmp_path / "docs")))
+    assert got.inputFiles() and not any("/docs/" in f for f in got.inputFiles())
+    assert got.where("doc_id = 99").orderBy("sent_no").collect() == [(99, 1, 1, 5), (99, 2, 7, 8)] and got.select("doc_id").distinct().count() == 41
+    given = sentence_units(spark.read.parquet(str(tmp_path / "docs")), model=EventModel(set()))
+    assert all("/docs/" in f for f in given.inputFiles())  # nothing is stored for a model at hand
