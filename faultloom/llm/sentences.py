@@ -60,7 +60,7 @@ if regex is not None:  # the whole property Sentence_Terminal, from the library'
 _PAIRS = {'"': '"', "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‹": "›", "【": "】", "《": "》"}
 _OPEN = "".join(re.escape(c) for c in _PAIRS)
 _THAI = "ก-๎"
-_TOKEN = re.compile(rf"[{_SOLID}]|[{_WIDE}…]+|[{_OPEN}]|[^\s{_SOLID}{_WIDE}…{_OPEN}]+…*")
+_TOKEN = re.compile(rf"[^\s{_SOLID}{_WIDE}…{_OPEN}]+…*|[{_SOLID}]|[{_WIDE}…]+|[{_OPEN}]")
 _PARTS = re.compile(rf"({_TOKEN.pattern})(\s*)")  # every character of a block is in one
 _PART = re.compile(rf"(?:{_TOKEN.pattern})\s*")
 _LINE = re.compile(r"\S(?:[^\n]*\S)?")  # a line without surrounding white space
@@ -105,6 +105,13 @@ _SHAPES = ((re.compile(r"[a-zß-öø-ÿа-џ]+"), "x"), (re.compile(r"[A-ZÀ-Ö
 
 
 def shape(word: str) -> str:
+    if word.isascii():  # most words are letters and perhaps a mark
+        body = word if word[-1:].isalpha() else word[:-1]
+        if body.isalpha():
+            if body.islower():
+                return "x" + word[len(body) :]
+            if body[0].isupper() and body[1:].islower():
+                return "Xx" + word[len(body) :]
     for p, to in _SHAPES:
         word = p.sub(to, word)
     return word[:8]
@@ -196,7 +203,9 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     while at < n:
         e = text.find("\n", at)
         e = n if e < 0 else e
-        if _FENCE.match(text, at, e):
+        if not fenced and text[at : at + 1].isalpha():  # most lines: they go on or begin a block
+            start, stop = (at if start < 0 else start), e
+        elif _FENCE.match(text, at, e):
             if start >= 0:
                 yield start, stop, False
                 start = -1
@@ -903,7 +912,7 @@ def _counted(vocab: set[str]):
             add("end", before[maybe & last], x[maybe & last])
             for kinds, places in _stretches(gap, last):
                 add("stretch", *x[places].T, lead=(kinds,))
-            plain = np.array([bool(_ONE_SOLID.match(w)) for w in names])[x].astype(np.int64)
+            plain = np.array([not w.isascii() and bool(_ONE_SOLID.match(w)) for w in names])[x].astype(np.int64)
             for i in np.flatnonzero(np.add.reduceat(plain, begin) > 0.6 * size).tolist():
                 part = slice(begin[i], end[i])
                 out.add("solid", ["".join(map(str, gap[part].tolist())), *[names[y] for y in x[part].tolist()]], 1)
@@ -930,7 +939,7 @@ def _boundaries(words: list[str], code: np.ndarray, gap: np.ndarray, size: np.nd
         post = np.array([model.posteriors([names[y] for y in r], gaps, k, m) for r in rows])
         out[places[:, k : m + 1]] = post[which] > 0.5
     if model.plain:
-        sorts = np.array([(bool(_ONE_SOLID.match(w)), bool(_LETTERED.match(w))) for w in words], np.int64)[code]
+        sorts = np.array([(0, 0) if w.isascii() else (bool(_ONE_SOLID.match(w)), bool(_LETTERED.match(w))) for w in words], np.int64)[code]
         begin = end - size
         open_ = (np.add.reduceat(sorts, begin) > 0.6 * size[:, None]).any(axis=1) & (size > 1) & (np.maximum.reduceat(gap, begin) == 0)
         for i in np.flatnonzero(open_).tolist():
