@@ -497,6 +497,10 @@ def believed(w: list[str], gaps: list[int], belief: list[float]) -> Iterator[tup
             continue
         q = belief[i]
         x = w[i + 2] if i + 2 < n else B
+        if i and not q and not belief[i - 1]:  # none before and none here, as between most characters
+            yield (w[i - 1], w[i], w[i + 1]), 1.0
+            yield (w[i], w[i + 1], x), 1.0
+            continue
         # the word before is a boundary itself with its own belief
         for u, pu in [(B, 1.0)] if not i else [(w[i - 1], 1 - belief[i - 1]), (B, belief[i - 1])]:
             if (1 - q) * pu > 1e-4:
@@ -820,15 +824,15 @@ class _Counts:
     schema = "kind string, key string, n long"
 
     def __init__(self):
-        self.n: dict = defaultdict(int)
+        self.n: dict = defaultdict(lambda: defaultdict(int))
 
-    def add(self, kind: str, key: tuple | list, n: int) -> None:
-        self.n[kind, " ".join(key)] += n
+    def add(self, kind: str, key: tuple, n: int) -> None:
+        self.n[kind][key] += n
 
     def batches(self, least: int = 1) -> Iterator[pa.RecordBatch]:
-        if len(self.n) >= least:
-            kinds, keys = zip(*self.n)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(list(self.n.values()), pa.int64())], names=["kind", "key", "n"])
+        if sum(map(len, self.n.values())) >= least:
+            for kind, sums in self.n.items():
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(sums), pa.string()), pa.array(list(map(" ".join, sums)), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["kind", "key", "n"])
             self.n.clear()
 
 
@@ -899,7 +903,7 @@ def _counted(vocab: set[str]):
 
             def add(kind: str, *columns: np.ndarray, lead: tuple = ()) -> None:
                 for r, c in zip(*_distinct(np.stack(columns, axis=1), len(names))):
-                    out.add(kind, [*lead, *[names[y] for y in r]], c)
+                    out.add(kind, (*lead, *[names[y] for y in r]), c)
 
             for w, c in zip(to.tolist(), n.tolist()):
                 out.add("word", (names[w],), c)
@@ -915,7 +919,7 @@ def _counted(vocab: set[str]):
             plain = np.array([not w.isascii() and bool(_ONE_SOLID.match(w)) for w in names])[x].astype(np.int64)
             for i in np.flatnonzero(np.add.reduceat(plain, begin) > 0.6 * size).tolist():
                 part = slice(begin[i], end[i])
-                out.add("solid", ["".join(map(str, gap[part].tolist())), *[names[y] for y in x[part].tolist()]], 1)
+                out.add("solid", ("".join(map(str, gap[part].tolist())), *[names[y] for y in x[part].tolist()]), 1)
             yield from out.batches(HELD)
         yield from out.batches()
 
@@ -987,15 +991,17 @@ def _weighed(model: Callable[[], EventModel | None], plain: bool = False):
                     if len(w) < 2:
                         continue
                     gaps = [1] * len(w)
+                    word, possible, ends = out.n["word"], out.n["possible"], out.n["end"]
                     for x in (*w, B):
-                        out.add("word", (x,), n * ONE)
+                        word[(x,)] += n * ONE
                     for x in certain(w, gaps):
                         out.add("ngram", _key(*x), n * ONE)
                     for x, q in zip(contexts(w, belief), belief):
-                        out.add("possible", x, n * ONE)
-                        out.add("end", x, n * round(q * ONE))
+                        possible[x] += n * ONE
+                        ends[x] += n * round(q * ONE) if q else 0
+                ngrams = out.n["ngram"]
                 for x, p in believed(w, gaps, belief):
-                    out.add("ngram", x, n * round(p * ONE))
+                    ngrams[x] += n * round(p * ONE)
                 yield from out.batches(HELD)
         yield from out.batches()
 
